@@ -16,6 +16,21 @@ from episodika.config import DEFAULTS
 RRF_K = DEFAULTS.rrf_k
 
 
+MAX_HITS = 10_000
+
+
+def pin(hits: DataFrame, max_rows: int = MAX_HITS) -> DataFrame:
+    """A bounded result computed once and kept as a local relation, so that later steps do not repeat the search.
+
+    More rows than a hit list can have is an error, never a silent cut.
+    """
+    rows = hits.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        raise ValueError(f"more than {max_rows} rows where a bounded hit list is expected")
+    # one partition: windows, groupings and joins over these few rows then need no shuffle at all
+    return hits.sparkSession.createDataFrame(rows, hits.schema).coalesce(1)
+
+
 def ranked(hits: DataFrame) -> DataFrame:
     """Adds the 0-based position by score (ties by chunk id) to a top-k result."""
     order = W.orderBy(F.col("score").desc(), F.col("chunk_id").asc())
@@ -23,7 +38,7 @@ def ranked(hits: DataFrame) -> DataFrame:
 
 
 def _stack(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    return reduce(DataFrame.unionByName, frames).coalesce(1)
 
 
 def _numbered(lists: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
@@ -95,6 +110,7 @@ def decide(
     ambiguous episodes: the runner-up of the same series is closer than ``margin``; up to three. Otherwise episode.
     """
     spark = episodes.sparkSession
+    episodes = pin(episodes)
     eps = episodes.filter(F.col("score").isNotNull())
     eps = eps.withColumn("place", F.row_number().over(W.orderBy(*fusion_order())))
     eps = eps.withColumn(
@@ -125,7 +141,7 @@ def decide(
         "position", F.col("in_series")
     )
     single = rows.filter("status = 'episode' AND place = 1").withColumn("position", F.lit(1))
-    found = by_series.unionByName(by_episode).unionByName(single).filter("position <= 3")
+    found = _stack([by_series, by_episode, single]).filter("position <= 3")
     found = found.select(
         F.when(F.col("status").startswith("ambiguous"), "ambiguous").otherwise(F.col("status")).alias("status"),
         F.col("position").cast("int").alias("position"),
@@ -133,7 +149,7 @@ def decide(
         F.when(F.col("status") != "ambiguous_series", F.col("abs_ep")).alias("abs_ep"),
         "score",
     )
-    blank = spark.range(1).select(F.lit("none").alias("status"), F.lit(1).alias("position"))
+    blank = spark.range(1).coalesce(1).select(F.lit("none").alias("status"), F.lit(1).alias("position"))
     nothing = blank.join(found.select(F.lit(1).alias("position")).distinct(), "position", "left_anti").select(
         "status",
         "position",

@@ -89,3 +89,14 @@ def vector_of(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
 def text_of(spark: SparkSession, sf_dir: str, item_id: int) -> str:
     """One stored passage as the question; a single row read by key."""
     return table(spark, sf_dir, "benchmark").filter(F.col("item_id") == item_id).select("text").first()["text"]
+
+
+def media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text chunks with the stored vector of the same number, where there is one."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return text_chunks(spark, sf_dir).join(e, "doc_id", "left")
+
+
+MEDIA_CHUNKS_SQL = TEXT_CHUNKS_SQL.replace("chunks AS (", "text_chunks AS (", 1) + """,
+chunks AS (SELECT t.*, CAST(e.embedding AS DOUBLE[]) AS embedding FROM text_chunks t
+           LEFT JOIN embeddings e ON e.vec_id = t.doc_id)"""
