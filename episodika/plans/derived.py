@@ -100,3 +100,63 @@ def media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 MEDIA_CHUNKS_SQL = TEXT_CHUNKS_SQL.replace("chunks AS (", "text_chunks AS (", 1) + """,
 chunks AS (SELECT t.*, CAST(e.embedding AS DOUBLE[]) AS embedding FROM text_chunks t
            LEFT JOIN embeddings e ON e.vec_id = t.doc_id)"""
+
+
+def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entries of the series of their customer; an entry has as many episodes as the order has lines."""
+    o = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("episodes"))
+    quarter = F.quarter("o_orderdate")
+    season_name = F.element_at(F.array(*[F.lit(x) for x in ("WINTER", "SPRING", "SUMMER", "FALL")]), quarter)
+    return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.concat(F.lit("c"), "o_custkey").alias("series_id"),
+        F.concat(F.lit("e"), "o_orderkey").alias("entry_key"),
+        F.concat(F.lit("Order "), "o_orderkey").alias("title"),
+        F.year("o_orderdate").alias("year"),
+        season_name.alias("season_of_year"),
+        "episodes",
+        F.when(F.col("o_orderstatus") == "O", "ONGOING").otherwise("FINISHED").alias("status"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("tmdb_season"),
+        F.when(F.col("o_orderstatus") == "P", quarter * 3).alias("tmdb_offset"),
+        F.round("o_totalprice").cast("bigint").alias("popularity"),
+        F.to_date("o_orderdate").alias("airdate"),
+        "o_orderkey",
+    )
+
+
+ENTRIES_SQL = """raw_entries AS (
+  SELECT 'c' || o_custkey AS series_id, 'e' || o_orderkey AS entry_key, 'Order ' || o_orderkey AS title,
+         CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter,
+         (SELECT CAST(nullif(count(*), 0) AS INTEGER) FROM lineitem WHERE l_orderkey = o_orderkey) AS episodes,
+         CASE WHEN o_orderstatus = 'O' THEN 'ONGOING' ELSE 'FINISHED' END AS status,
+         CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS tmdb_season,
+         CASE WHEN o_orderstatus = 'P' THEN CAST(quarter(o_orderdate) * 3 AS INTEGER) END AS tmdb_offset,
+         CAST(round(o_totalprice) AS BIGINT) AS popularity, CAST(o_orderdate AS DATE) AS airdate, o_orderkey
+  FROM orders),
+entries AS (
+  SELECT *, CAST(row_number() OVER w AS INTEGER) AS order_in_series,
+         CAST(coalesce(sum(episodes) OVER (PARTITION BY series_id ORDER BY year, quarter, tmdb_season,
+              coalesce(tmdb_offset, 0), title, entry_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS abs_offset
+  FROM raw_entries
+  WINDOW w AS (PARTITION BY series_id ORDER BY year, quarter, tmdb_season, coalesce(tmdb_offset, 0), title, entry_key))"""
+
+
+def listed_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as the episode list of an outside source, by outside season."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_suppkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat(F.lit("c"), "o_custkey").alias("series_id"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("season"),
+        F.to_date("l_shipdate").alias("airdate"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+    )
+
+
+LISTED_SQL = """listed AS (
+  SELECT 'c' || o_custkey AS series_id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS season,
+         CAST(l_shipdate AS DATE) AS airdate, l_orderkey, l_linenumber, l_partkey, l_suppkey
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from episodika.plans.registry.base import ORACLES, QUERIES
 
-MODULES = ["retrieval", "finding"]
+MODULES = ["retrieval", "finding", "ingest"]
 
 for _module in MODULES:
     import_module(f"episodika.plans.registry.{_module}")
