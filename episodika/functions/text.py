@@ -31,6 +31,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also where the body uses it inside another lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     """Both ends without any Unicode white space."""
     return F.regexp_replace(_col(text), r"(?U)^\s+|\s+\z", "")
@@ -163,25 +168,38 @@ def sentences(text: Column | str) -> Column:
 
 
 def fixed_pieces(text: Column | str, size: int = PARAGRAPH_TARGET) -> Column:
-    flat = strip(F.regexp_replace(_col(text), r"(?U)\s+", " "))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(flat) - 1), F.lit(size))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(
-        F.transform(starts, lambda i: F.substring(flat, i + 1, F.lit(size)))
-    )
+    def cut(flat: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(flat) - 1), F.lit(size))
+        return F.when(flat == "", F.array().cast("array<string>")).otherwise(
+            F.transform(starts, lambda i: F.substring(flat, i + 1, F.lit(size)))
+        )
+
+    return let(strip(F.regexp_replace(_col(text), r"(?U)\s+", " ")), cut)
 
 
 def overlapping_pieces(pieces: Column) -> Column:
     """Each piece with the last sentence of the piece before and the first sentence of the piece after."""
-    cut = F.transform(pieces, lambda p: F.struct(p.alias("text"), sentences(p).alias("s")))
-    around = F.transform(
-        cut,
-        lambda p, i: F.array(
-            F.when(i > 0, F.try_element_at(F.get(cut, i - 1)["s"], F.lit(-1))),
-            p["text"],
-            F.try_element_at(F.get(cut, i + 1)["s"], F.lit(1)),
-        ),
-    )
-    return F.transform(around, lambda xs: F.array_join(F.filter(xs, lambda x: x.isNotNull() & (x != "")), "\n"))
+
+    def edges(p: Column) -> Column:
+        return let(
+            sentences(p),
+            lambda s: F.struct(
+                p.alias("text"),
+                F.try_element_at(s, F.lit(1)).alias("first"),
+                F.try_element_at(s, F.lit(-1)).alias("last"),
+            ),
+        )
+
+    def join(cut: Column) -> Column:
+        around = F.transform(
+            cut,
+            lambda p, i: F.array(
+                F.when(i > 0, F.get(cut, i - 1)["last"]), p["text"], F.get(cut, i + 1)["first"]
+            ),
+        )
+        return F.transform(around, lambda xs: F.array_join(F.filter(xs, lambda x: x.isNotNull() & (x != "")), "\n"))
+
+    return let(F.transform(pieces, edges), join)
 
 
 def norm_title(title: Column | str) -> Column:

@@ -60,8 +60,9 @@ def compare(spark, con, sf_dir, name, fn, sql):
         types = {d[0]: str(d[1]) for d in rel.description}
         return took, len(got[1]), "ok" if got[1] else "ok BUT EMPTY"
     problem = f"columns {got[0]} / {want[0]}" if got[0] != want[0] else f"rows {len(got[1])} / {len(want[1])}"
-    extra = [r for r in got[1] if r not in set(want[1])][:3]
-    missing = [r for r in want[1] if r not in set(got[1])][:3]
+    have, wanted = set(got[1]), set(want[1])
+    extra = [r for r in got[1] if r not in wanted][:3]
+    missing = [r for r in want[1] if r not in have][:3]
     return took, len(got[1]), f"DIFFERENT {problem}\n   spark: {str(extra)[:900]}\n   sql:   {str(missing)[:900]}"
 
 
