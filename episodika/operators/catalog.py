@@ -61,15 +61,10 @@ def mentions(texts: DataFrame, index: DataFrame) -> DataFrame:
     names = _searchable(index).select("name", "series_id", "popularity", _prefix(F.col("name")).alias("prefix"))
     hay = texts.select("text_id", norm_name("text").alias("hay")).filter(F.length("hay") >= MIN_HANGUL)
     spots = F.sequence(F.lit(1), F.length("hay"))
+    pieces = lambda n: F.transform(spots, lambda i: F.substring(F.col("hay"), i, F.lit(n)))
+    # two-letter pieces only where a name with Hangul could stand
     grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                spots,
-                lambda i: F.array(
-                    F.substring(F.col("hay"), i, F.lit(MIN_HANGUL)), F.substring(F.col("hay"), i, F.lit(MIN_OTHER))
-                ),
-            )
-        )
+        F.when(F.col("hay").rlike(HANGUL), F.concat(pieces(MIN_HANGUL), pieces(MIN_OTHER))).otherwise(pieces(MIN_OTHER))
     )
     # distinct pieces per text keep the long text itself out of the exploded rows' key
     found = (

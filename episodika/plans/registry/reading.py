@@ -102,17 +102,14 @@ def list_series(spark, sf_dir):
 @query(
     "episode_labels",
     """SELECT l_orderkey AS abs_ep, CASE WHEN l_linenumber < 5 THEN l_linenumber || '기 ' || CAST(l_partkey AS INTEGER) || '화 ' ELSE '' END
-      || '(전체 ' || l_orderkey || '화)' || CASE WHEN l_returnflag = 'N' THEN '' ELSE ' 〈' || l_returnflag || l_linestatus || '〉' END AS label FROM lineitem WHERE l_suppkey = 7
-      AND l_orderkey BETWEEN 1 AND 400""",
+      || '(전체 ' || l_orderkey || '화)' || CASE WHEN l_returnflag = 'N' THEN '' ELSE ' 〈' || l_returnflag || l_linestatus || '〉' END AS label FROM lineitem""",
 )
 def episode_labels(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("s"), "l_suppkey").alias("series_id"), F.col("l_orderkey").cast("int").alias("abs_ep"),
-        F.when(F.col("l_linenumber") < 5, F.col("l_linenumber")).alias("tmdb_season"), F.col("l_partkey").cast("int").alias("tmdb_number"),
-        F.lit(None).cast("string").alias("title_ko"), F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", "l_linestatus")).alias("title_en"),
-        F.lit("").alias("fandom_title"),
-    )
-    return catalog.episodes_of(e, "s7", range(1, 401)).select(F.col("abs_ep").cast("long").alias("abs_ep"), "label")
+    line = table(spark, sf_dir, "lineitem")
+    title = F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", "l_linestatus"))
+    season = F.when(F.col("l_linenumber") < 5, F.col("l_linenumber"))
+    label = t.episode_label(season, F.col("l_partkey"), F.col("l_orderkey"), title)
+    return line.select(F.col("l_orderkey").alias("abs_ep"), label.alias("label"))
 
 
 @query(
