@@ -12,6 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spreads a table over all cores before heavy per-row work when its files give fewer scan tasks than cores.
+
+    A large table has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"), "page_id")
+
+
 # Viewers used by the registered queries: position per series.
 VECTOR_WATCHED = {"s0": 5, "s1": 20, "s2": 0, "s3": 50, "s4": 12, "s7": 33}
 TEXT_WATCHED = {"src0": 10, "src1": 0, "src2": 25, "src3": 50, "src4": 7, "src11": 31}
@@ -45,7 +62,7 @@ VECTOR_CHUNKS_SQL = """chunks AS (
 
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     # one chunk type per language: event, plot, episode, character
     kind = (
         F.when(F.col("lang") == "en", "event")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F, types as T
 from episodika.operators import vectors
 from episodika.operators.gate import ALL_EPISODES
 from episodika.plans import embedding, evaluate
-from episodika.plans.derived import TEXT_CHUNKS_SQL, VECTOR_CHUNKS_SQL, table, text_chunks, vector_chunks
+from episodika.plans.derived import TEXT_CHUNKS_SQL, VECTOR_CHUNKS_SQL, documents, table, text_chunks, vector_chunks
 from episodika.plans.registry.base import query
 from episodika.plans.registry.retrieval import MAX_QUESTIONS, QUESTIONS_SQL
 from episodika.session import shared_folder
@@ -63,8 +63,8 @@ def ranks_sql(method: str, where: str) -> str:
       (SELECT g.query_id, g.series_id AS home, g.gold_ep, c.series_id, c.abs_ep, c.chunk_id, list_cosine_similarity(c.embedding, g.q) AS score FROM gold g, chunks c WHERE {where})),
     {method}_e AS (SELECT query_id, home, gold_ep, series_id, abs_ep, min(rank) AS at_ FROM {method}_h WHERE rank <= 60 AND abs_ep IS NOT NULL GROUP BY ALL),
     {method}_p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at_) AS place FROM {method}_e),
-    {method}_s AS (SELECT query_id, home, series_id, row_number() OVER (PARTITION BY query_id ORDER BY min(at_)) AS show FROM {method}_e GROUP BY ALL),
-    {method} AS (SELECT '{method}' AS method, g.query_id, min(p.place) AS rank, min(s.show) AS show FROM gold g LEFT JOIN {method}_p p ON p.query_id = g.query_id AND p.series_id = g.series_id AND p.abs_ep = g.gold_ep
+    {method}_s AS (SELECT query_id, home, series_id, row_number() OVER (PARTITION BY query_id ORDER BY min(at_)) AS place FROM {method}_e GROUP BY query_id, home, series_id),
+    {method} AS (SELECT '{method}' AS method, g.query_id, min(p.place) AS rank, min(s.place) AS series_place FROM gold g LEFT JOIN {method}_p p ON p.query_id = g.query_id AND p.series_id = g.series_id AND p.abs_ep = g.gold_ep
       LEFT JOIN {method}_s s ON s.query_id = g.query_id AND s.series_id = g.series_id GROUP BY 2)"""
 
 
@@ -77,7 +77,7 @@ def all_ranks(spark, sf_dir):
     return a.unionByName(b).withColumnRenamed("episode_rank", "rank")
 
 
-@query("ranks_in_hit_lists", RANKS_SQL + " SELECT method, query_id, CAST(rank AS INTEGER) AS rank, CAST(show AS INTEGER) AS series_rank FROM r")
+@query("ranks_in_hit_lists", RANKS_SQL + " SELECT method, query_id, CAST(rank AS INTEGER) AS rank, CAST(series_place AS INTEGER) AS series_rank FROM r")
 def ranks_in_hit_lists(spark, sf_dir):
     return all_ranks(spark, sf_dir).select("method", "query_id", "rank", "series_rank")
 
@@ -153,7 +153,7 @@ def incremental_embedding(spark, sf_dir):
 # no SQL check: cuts are chosen one after the other; a test compares with hand-made sentences
 @query("chunk_semantic")
 def chunk_semantic(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = documents(spark, sf_dir).select("doc_id", "text")
     rows = embedding.semantic_pieces(d, "text", letter_encoder)
     return rows.select("doc_id", F.posexplode("pieces").alias("i", "piece")).select("doc_id", "i", F.length("piece").alias("n"))
 

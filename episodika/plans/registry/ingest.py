@@ -72,7 +72,7 @@ owned AS (
 )
 def owner_asof(spark, sf_dir):
     order = [F.col(c) for c in EPISODE_ORDER]
-    points = align.number_from_one(listed_episodes(spark, sf_dir), "series_id", order, "n", F.trunc("airdate", "year"))
+    points = align.number_from_one(listed_episodes(spark, sf_dir), {"n": "series_id"}, order, F.trunc("airdate", "year"))
     points = points.select("series_id", F.col("n").cast("int").alias("abs_ep"))
     return align.owner_of(points, entries(spark, sf_dir))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from episodika.functions import text as t, wikitext
 from episodika.operators import align, linkage
 from episodika.plans import chunks
-from episodika.plans.derived import ENTRIES_SQL, raw_entries, table
+from episodika.plans.derived import documents, raw_entries, table
 from episodika.plans.registry.base import query
 from episodika.plans.registry.texts import sql_clean_markup, sql_clean_plot, sql_is_placeholder, sql_paragraphs
 
@@ -240,7 +240,7 @@ def wiki_discovery(spark, sf_dir):
 # ---- wiki markup ----------------------------------------------------------------------------------------------------
 def marked_up(spark, sf_dir):
     """Documents written as wiki pages: an infobox chosen by language, a plot section, a cast list."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     box = F.when(F.col("lang") == "en", "Infobox episode").when(F.col("lang") == "fr", "Infobox_Character").when(F.col("lang") == "de", "Navbox").otherwise("Spell box")
     text = F.concat(
         F.lit("{{"), box, F.lit("|season=Season "), F.floor(F.col("doc_id") / 100).cast("string"), F.lit("|number="), F.col("doc_id") % 1000,
@@ -283,7 +283,7 @@ def wiki_page_kinds(spark, sf_dir):
 
 # ---- chunk builder --------------------------------------------------------------------------------------------------
 def builder_inputs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     none, words = F.lit(None).cast("string"), F.array().cast("array<string>")
     by_source = d.groupBy("source").agg(F.min_by("text", "doc_id").alias("description"))
     series = by_source.select(
@@ -360,7 +360,7 @@ def chunk_builder(spark, sf_dir):
 )
 def wiki_chunks(spark, sf_dir):
     series, _, _, episodes, _ = builder_inputs(spark, sf_dir)
-    d = table(spark, sf_dir, "documents").filter("lang = 'fr' AND n_chars > 500")
+    d = documents(spark, sf_dir).filter("lang = 'fr' AND n_chars > 500")
     title = F.concat(F.lit("Page "), "doc_id")
     own = F.array(F.concat(F.lit(" page_"), "doc_id"), F.lit("Missing"))
     pages = d.select(

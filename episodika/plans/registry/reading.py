@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from episodika.functions import text as t
 from episodika.operators import catalog
 from episodika.plans import reading
-from episodika.plans.derived import MEDIA_CHUNKS_SQL, TEXT_CHUNKS_SQL, media_chunks, table, text_chunks, vector_of
+from episodika.plans.derived import MEDIA_CHUNKS_SQL, TEXT_CHUNKS_SQL, documents, media_chunks, table, text_chunks, vector_of
 from episodika.plans.registry.base import query
 from episodika.plans.registry.retrieval import sim
 from episodika.plans.registry.texts import sql_paragraphs, sql_strip
@@ -258,7 +258,7 @@ dchunks AS (SELECT source || ':char:' || doc_id AS chunk_id, source AS series_id
     SELECT kind, name, md5(text) AS digest, first_ep, role FROM o""",
 )
 def dictionary(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     ep = F.when(F.col("n_chars") > 900, F.floor(F.col("doc_id") / 20).cast("int")).alias("abs_ep")
     source = F.array(F.struct(F.lit("src").alias("name"), F.lit("CC").alias("license"), F.lit(None).cast("string").alias("url"))).alias("sources")
     people = d.filter("lang IN ('en', 'es')").select(

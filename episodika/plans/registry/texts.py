@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from episodika.functions import dates, dialogue, ground, text as t
 from episodika.operators.dedup import digest, keep_one
-from episodika.plans.derived import table, text_of
+from episodika.plans.derived import documents, pages, spread, table, text_of
 from episodika.plans.registry.base import query
 from episodika.plans.tidy import tidy
 
@@ -88,14 +88,10 @@ def sql_sentences(x: str) -> str:
     return f"list_filter(list_transform({cut}, lambda s: {sql_strip('s')}), lambda s: s <> '')"
 
 
-def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
-
-
 # ---- cleaning -------------------------------------------------------------------------------------------------------
 @query("clean_html", f"SELECT page_id, length(x) AS n, md5(x) AS digest FROM (SELECT page_id, {sql_clean_html('html')} AS x FROM pages)")
 def clean_html(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", t.clean_html("html").alias("x"))
+    rows = pages(spark, sf_dir).select("page_id", t.clean_html("html").alias("x"))
     return rows.select("page_id", F.length("x").cast("long").alias("n"), F.md5("x").alias("digest"))
 
 
@@ -442,7 +438,8 @@ def parse_dates(spark, sf_dir):
         F.when(F.dayofmonth(d) == 1, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(F.date_add(d, 1), "yyyy MMMM d")),
     )
     found = dates.parse_dates(parts)
-    return table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
+    return orders.select(
         "o_orderkey", F.array_join(F.transform(found, lambda x: x.cast("string")), ",").alias("days")
     )
 
