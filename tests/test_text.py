@@ -1,0 +1,174 @@
+"""Text rules on hand-made cases."""
+
+import datetime as dt
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from episodika.functions import dialogue, ground, text as t, wikitext
+from episodika.functions.stem import english_stems, stem
+from episodika.plans import embedding
+from episodika.plans.tidy import tidy
+
+WORDS = {
+    "caresses": "caress", "ponies": "poni", "cries": "cri", "agreed": "agre", "hopping": "hop", "hoping": "hope", "titans": "titan",
+    "generously": "generous", "relational": "relat", "conditional": "condit", "skies": "sky", "dying": "die", "abilities": "abil",
+    "electrical": "electr", "troubled": "troubl", "happily": "happili", "consistency": "consist", "by": "by", "say": "say",
+}
+
+
+def values(spark, fn, texts):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    return [r["v"] for r in df.select("i", fn(F.col("t")).alias("v")).orderBy("i").collect()]
+
+
+def test_stems():
+    assert {w: stem(w) for w in WORDS} == WORDS
+
+
+def test_documents_are_stemmed_without_stop_words(spark):
+    assert values(spark, english_stems, ["The Titans were running, the titan ran.", None]) == [["titan", "run", "ran"], []]
+
+
+def test_html_is_cleaned(spark):
+    raw = "A &amp; B<br/>next~!secret<br>gone!~ <i>it</i>\n\n\n\nend &eacute;&#39; "
+    assert values(spark, t.clean_html, [raw, None, ""]) == ["A & B\nnext it \n\nend é'", "", ""]
+
+
+def test_markup_is_cleaned(spark):
+    raw = "__All Might__ [site](https://x.y/z) ~!spoiler\nover lines!~{{note|x}} [[Page|shown]] '''b'''<ref>r</ref>\n, tail\n\n\nend"
+    assert values(spark, t.clean_markup, [raw]) == ["All Might site shown b \ntail\nend"]
+
+
+def test_plot_noise_is_removed(spark):
+    keep = "This is a long enough English sentence that tells what happens in it."
+    tabs = f"Japanese=日本語の説明です。\n|-|Romaji=Nihongo no setsumei desu.\n|-|English= {keep}"
+    mixed = f"Sakata Gintoki\nTurn 3: Yuma\n\"Go!\"\n{keep} 日本"
+    assert values(spark, t.clean_plot, [tabs, mixed, None]) == [keep, f"\"Go!\"\n{keep} 日本", ""]
+
+
+def test_placeholders(spark):
+    texts = ["TBA", "tbd.", "Coming soon!", "???", "N/A", "Need translation of the page", "To be added by the end", "A plot."]
+    got = values(spark, t.is_placeholder, texts)
+    assert got == [True, True, True, True, True, True, False, False]
+
+
+def test_paragraphs_are_packed(spark):
+    long = " ".join(f"Sentence number {i} ends here." for i in range(80))
+    text = "a" * 300 + "\n\n" + "b" * 300 + "\n" + "c" * 300 + "\n" + long
+    got = values(spark, t.paragraphs, [text, "", "one"])
+    assert got[0][0] == "a" * 300 + "\n" + "b" * 300 and got[0][1].startswith("c" * 300)
+    assert all(len(x) <= 702 for x in got[0]) and got[1:] == [[], ["one"]]
+    assert "".join("".join(got[0]).split()) == "".join(text.split())
+
+
+def test_sentences_and_overlap(spark):
+    assert values(spark, t.sentences, ['He said "Go!" and left. Then? Yes.\nNew line'])[0] == ['He said "Go!', "and left.", "Then?", "Yes.", "New line"]
+    df = spark.createDataFrame([(["A one. A two.", "B one. B two.", "C one."],)], "p array<string>")
+    got = df.select(t.overlapping_pieces(F.col("p")).alias("v")).first()["v"]
+    assert got == ["A one. A two.\nB one.", "A two.\nB one. B two.\nC one.", "B two.\nC one."]
+
+
+def test_names(spark):
+    assert values(spark, t.name_key, ["Tōru Oikawa", "Oikawa  Toru", None]) == ["oikawa toru", "oikawa toru", ""]
+    assert values(spark, t.norm_name, ["테스트 칼날!", "Test_Blade"]) == ["테스트칼날", "testblade"]
+    assert values(spark, t.title_key, ["Attack on Titan (TV) Season 3 Part 2", "My Show 2nd Season"]) == ["attackontitan", "myshow"]
+    assert values(spark, lambda c: t.wiki_slugs(F.array(c)), ["Attack on Titan", "Re:Zero kara"]) == [
+        ["attack-on-titan", "attackontitan", "attackon"], ["re-zero-kara", "rezerokara", "rezero"]]
+
+
+def test_addresses(spark):
+    assert values(spark, lambda c: t.host_matches(c, "fandom.com"), ["https://a.fandom.com/x", "https://notfandom.com/", "x"]) == [True, False, False]
+    assert values(spark, lambda c: t.source_id(F.array(c), "host.net"), ["https://host.net/anime/12/", "https://host.net/anime/x", "https://o.net/3"]) == [12, None, None]
+
+
+PAGE = """{{Infobox episode|season=Season 3|number = 49|title=One for All|adapted from = Chapter 92<br>Chapter 93|airdate=June 9th, 2018}}
+'''One for All''' is an episode.
+== Summary ==
+[[File:x.png|thumb|A [[caption]]]]The fight [[begins|started]]. {{scrollbox|content=Inner text stays.}}
+=== Sub ===
+More text about the [[hero]].
+== Characters in Order of Appearance ==
+* [[All Might]]
+* [[Deku|Izuku]]
+* [[All Might]]
+"""
+
+
+def test_episode_page(spark):
+    e = values(spark, wikitext.parse_episode, [PAGE])[0]
+    assert (e["episode_no"], e["season"], e["title"], e["chapters"]) == (49, "season 3", "One for All", "Chapter 92, Chapter 93")
+    assert e["airdates"] == [dt.date(2018, 6, 9)] and e["characters"] == ["All Might", "Deku"] and e["span"] == 1
+    assert "caption" not in e["plot"] and "Inner text stays." in e["plot"] and e["plot"].endswith("More text about the hero.")
+
+
+@pytest.mark.parametrize("number, want", [("13.5", None), ("Episode 7", 7), ("#8", 8)])
+def test_episode_numbers_of_pages(spark, number, want):
+    assert values(spark, wikitext.parse_episode, [PAGE.replace("number = 49", f"number = {number}")])[0]["episode_no"] == want
+
+
+@pytest.mark.parametrize("filler", ["TBA", "To be added.", "???", "Under construction", "Summarize the episode here."])
+def test_placeholder_plots_are_empty(spark, filler):
+    page = "{{Infobox episode|a=1|b=2|number=3}}\n== Plot ==\n" + filler
+    assert values(spark, wikitext.parse_episode, [page])[0]["plot"] == ""
+
+
+def test_page_kinds(spark):
+    box = "{{%s|a=1|b=2|c=3|d=4|e=5}}\n" + "x" * 250
+    got = values(spark, wikitext.parse_page, [box % "Character Infobox", box % "Quirk", box % "Navbox", box % "Infobox_location", "short"])
+    assert [p["kind"] for p in got] == ["character", "ability", "other", "location", "stub"]
+
+
+def test_tidy_keeps_the_latest_of_equal_bodies(spark):
+    body = "The same scene text that is certainly longer than fifty characters."
+    rows = [("S", 1, "c", "character", None, "Hero [MAIN]\n__Hero__ is a ~!secret!~ fighter with a very long description of everything."),
+            ("S", 2, "e3", "event", 3, f"head 3\n{body}"), ("S", 3, "e4", "event", 4, f"head 4\n{body}"),
+            ("S", 4, "e5", "event", 5, "head 5\nTBA."), ("S", 5, "ep5", "episode", 5, "head\n에피소드 5"),
+            ("S", 6, "c2", "character", 9, "Twin [MAIN]\n__Hero__ is a ~!secret!~ fighter with a very long description of everything.")]
+    df = spark.createDataFrame(rows, "series_id string, seq long, chunk_id string, type string, abs_ep int, text string")
+    got = {r["chunk_id"]: r for r in tidy(df).collect()}
+    assert set(got) == {"c", "c2", "e4"} and got["e4"]["seq"] == 2
+    assert "secret" not in got["c"]["text"] and "__" not in got["c"]["text"]
+
+
+def test_quotes_must_stand_in_the_text(spark):
+    text = "Long ago " * 40 + "the red boulder crushed the old wooden bridge near the quiet village. " + "Nothing else " * 40
+    rows = [("the red boulder crushed the wooden bridge", True), ("a purple dragon burned seven distant castles", False), ("red boulder", False), (None, False)]
+    df = spark.createDataFrame([(q, text) for q, _ in rows], "q string, t string")
+    got = df.select(F.coalesce(ground.quoted(F.col("q"), F.col("t")), F.lit(False)).alias("v")).collect()
+    assert [r["v"] for r in got] == [w for _, w in rows]
+
+
+def test_what_a_message_says(spark):
+    msgs = ["7화까지 봤는데 8화 내용 알려줘", "11화 봤어 별 4개", "4.5점이야", "3기 11화", "별로였어"]
+    assert values(spark, dialogue.episode_numbers, msgs)[:2] == [["7"], ["11", "4"]]
+    assert values(spark, dialogue.says_season, msgs) == [False, False, False, True, False]
+    assert values(spark, lambda c: dialogue.rating_said(F.lit(4.5), c), msgs) == [False, False, True, False, False]
+    assert values(spark, lambda c: dialogue.rating_said(F.lit(4.0), c), msgs) == [False, True, False, False, False]
+    assert values(spark, dialogue.user_id_of, [None, "%ED%95%9C%EA%B8%80", "x", "a b"]) == ["local", "user:한글", None, None]
+
+
+def test_save_guards(spark):
+    rows = [("7화까지 봤어", None, 7, True, 1, False), ("테스트 칼날", "7화까지 봤어", 7, True, 1, False), ("9화", None, 7, True, 1, False),
+            ("3기 7화까지", None, 7, True, 1, False), ("7화까지", None, 7, False, 1, False), ("7화까지", None, 7, True, 2, False)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, m string, c string, n int, known boolean, k int, named boolean")
+    why = dialogue.save_allowed(F.col("m"), F.col("c"), F.col("n"), F.col("known"), F.col("k"), F.col("named"))
+    got = [r["w"] for r in df.select("i", why.alias("w")).orderBy("i").collect()]
+    assert got == [None, None, "number not said", "season notation", "unknown id", "several candidates"]
+
+
+def test_embedding_batches_and_units():
+    texts = ["x" * n for n in (10, 900, 20, 30_000, 40)]
+    batches = list(embedding.batches_of(texts, 32, 1_000))
+    assert [len(b) for b in batches] == [3, 1, 1] and sorted(i for b in batches for i in b) == [0, 1, 2, 3, 4]
+    seen = []
+    vecs = embedding.encode_texts(lambda ts: seen.append(ts) or np.array([[len(x), 1.0] for x in ts]), texts, "passage: ")
+    assert np.allclose(np.linalg.norm(vecs, axis=1), 1) and all(x.startswith("passage: ") for b in seen for x in b)
+
+
+def test_semantic_cut_prefers_the_largest_drop():
+    sentences = ["cats " * 50, "cats again " * 30, "dogs " * 50, "dogs again " * 30]
+    encoder = lambda ts: np.array([[1.0, 0.0] if "cats" in x else [0.0, 1.0] for x in ts])
+    assert embedding._cut(sentences, 2, encoder, 200) == [" ".join(sentences[:2]), " ".join(sentences[2:])]
+    assert embedding._cut(sentences, 1, encoder, 200) == [" ".join(sentences)]
