@@ -56,21 +56,23 @@ def mentions(texts: DataFrame, index: DataFrame) -> DataFrame:
     """Series whose name stands in a text: (text_id, series_id, name, popularity), longest names only.
 
     Every position of a text is joined with the names that share its first characters and then verified, an equi-join
-    whose size follows the text, not texts times names. A name inside a longer name found in the same text is dropped.
+    whose size follows the text, not texts times names. A position carries only as many characters as the longest name
+    has. A name inside a longer name found in the same text is dropped.
     """
     names = _searchable(index).select("name", "series_id", "popularity", _prefix(F.col("name")).alias("prefix"))
+    longest = names.agg(F.max(F.length("name"))).first()[0] or MIN_HANGUL
     hay = texts.select("text_id", norm_name("text").alias("hay")).filter(F.length("hay") >= MIN_HANGUL)
     spots = F.sequence(F.lit(1), F.length("hay"))
-    pieces = lambda n: F.transform(spots, lambda i: F.substring(F.col("hay"), i, F.lit(n)))
-    # two-letter pieces only where a name with Hangul could stand
-    grams = F.array_distinct(
-        F.when(F.col("hay").rlike(HANGUL), F.concat(pieces(MIN_HANGUL), pieces(MIN_OTHER))).otherwise(pieces(MIN_OTHER))
-    )
-    # distinct pieces per text keep the long text itself out of the exploded rows' key
+    cut = F.array_distinct(F.transform(spots, lambda i: F.substring(F.col("hay"), i, F.lit(longest))))
+    rows = hay.withColumn("tail", F.explode(cut)).select("text_id", "tail", F.col("hay").rlike(HANGUL).alias("hangul"))
+    # two-letter beginnings only where a name with Hangul could stand
+    starts = F.when(
+        F.col("hangul"), F.array(F.substring("tail", 1, MIN_HANGUL), F.substring("tail", 1, MIN_OTHER))
+    ).otherwise(F.array(F.substring("tail", 1, MIN_OTHER)))
     found = (
-        hay.withColumn("prefix", F.explode(grams))
+        rows.select("text_id", "tail", F.explode(starts).alias("prefix"))
         .join(names, "prefix")
-        .filter(F.col("hay").contains(F.col("name")))
+        .filter(F.col("tail").startswith(F.col("name")))
         .groupBy("text_id", "series_id")
         .agg(F.max(F.struct(F.length("name").alias("n"), F.col("popularity"), F.col("name"))).alias("best"))
     )

@@ -15,6 +15,8 @@ from episodika.operators.gate import Watched, narrowed, visible
 
 # Fixed value: what counts as a word of the question.
 QUERY_WORD = r"[A-Za-z0-9]{2,}"
+# Few query words: rows without any of them are recognised by substring tests before tokenising.
+MAX_PREFILTER = 8
 DOCUMENT_WORD = r"[\p{L}\p{N}]+"
 
 
@@ -68,7 +70,7 @@ def search(
     if not terms or series_ids == []:
         return rows.withColumn("score", F.lit(None).cast("double")).filter(F.lit(False))
     wanted = F.array(*[F.lit(t) for t in terms])
-    if analyzer == "simple":
+    if analyzer == "simple" and len(terms) <= MAX_PREFILTER:
         # a row containing no query word even as a substring needs no tokenising
         plausible = None
         for term in terms:

@@ -262,9 +262,9 @@ def evidence_boundary_split(spark, sf_dir):
     SELECT doc_id, lang, source, first_id FROM r WHERE pick = 1""",
 )
 def dedup_keep_latest(spark, sf_dir):
-    d = documents(spark, sf_dir).withColumn("first_id", F.col("doc_id"))
+    d = documents(spark, sf_dir).select("doc_id", "lang", "source", F.col("doc_id").alias("first_id"), digest("text").alias("body"))
     better = F.struct(F.floor(F.col("doc_id") / 20), -F.col("doc_id"))
-    return keep_one(d, ["lang", digest("text")], better, "first_id").select("doc_id", "lang", "source", "first_id")
+    return keep_one(d, ["lang", "body"], better, "first_id").drop("body")
 
 
 TIDY_SQL = f"""raw_chunks AS (SELECT source AS series_id, doc_id AS seq, 'c' || doc_id AS chunk_id,
