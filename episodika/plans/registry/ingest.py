@@ -72,7 +72,7 @@ owned AS (
 )
 def owner_asof(spark, sf_dir):
     order = [F.col(c) for c in EPISODE_ORDER]
-    points = align.number_from_one(listed_episodes(spark, sf_dir), {"n": "series_id"}, order, F.trunc("airdate", "month"))
+    points = align.number_from_one(listed_episodes(spark, sf_dir), {"n": "series_id"}, order, F.trunc("airdate", "quarter"))
     points = points.select("series_id", F.col("n").cast("int").alias("abs_ep"))
     return align.owner_of(points, entries(spark, sf_dir))
 
@@ -104,7 +104,7 @@ def owner_asof(spark, sf_dir):
 )
 def map_episodes(spark, sf_dir):
     mapped = align.map_episodes(
-        entries(spark, sf_dir), "tmdb", listed_episodes(spark, sf_dir), EPISODE_ORDER, F.trunc("airdate", "month")
+        entries(spark, sf_dir), "tmdb", listed_episodes(spark, sf_dir), EPISODE_ORDER, F.trunc("airdate", "quarter")
     )
     return mapped.select("series_id", "l_orderkey", "l_linenumber", "l_partkey", "abs_ep", "entry_key", "entry_ep", "method")
 

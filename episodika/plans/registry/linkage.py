@@ -257,7 +257,7 @@ PLAIN_SQL = r"regexp_replace(regexp_replace(text, '(?m)^[*#:;]+', '', 'g'), '(?m
 @query(
     "wiki_episode_fields",
     rf"""SELECT doc_id, CASE WHEN boxed THEN CAST(doc_id % 1000 AS INTEGER) END AS episode_no, CASE WHEN boxed THEN 'season ' || doc_id // 100 ELSE '' END AS season,
-      CASE WHEN boxed THEN 'Title ' || doc_id END AS title, CASE WHEN boxed THEN 'A, B' END AS chapters,
+      CASE WHEN boxed AND NOT regexp_matches('Title ' || doc_id, '\b(19|20)\d\d\b') THEN 'Title ' || doc_id END AS title, CASE WHEN boxed THEN 'A, B' END AS chapters,
       CASE WHEN boxed THEN CAST(make_date(CAST(2000 + (doc_id // 50) % 90 + 10 AS INTEGER), 6, 5) AS VARCHAR) ELSE '' END AS airdates, source || ',Other one' AS characters,
       md5(CASE WHEN length(x) = 0 THEN '' ELSE x END) AS plot
     FROM (SELECT *, lang IN ('en', 'fr') AS boxed, regexp_replace(regexp_replace({PLAIN_SQL}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS x FROM documents)""",
