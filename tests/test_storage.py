@@ -152,3 +152,16 @@ def test_catalogue_lookups(spark):
 def test_reports_render(spark):
     df = spark.createDataFrame([("a", 1), ("b", None)], "name string, n int")
     assert reports.as_markdown(df) == "| name | n |\n| --- | --- |\n| a | 1 |\n| b |  |\n"
+
+
+def test_every_table_has_its_keys_and_checks(spark):
+    from episodika.schema import TABLES, schema_of
+
+    assert len(TABLES) == 12
+    for name, spec in TABLES.items():
+        names = set(schema_of(spark, name).names)
+        assert {*spec.keys, *spec.not_null, *spec.partition_by, *spec.sort_by} <= names
+    spec = TABLES["watch_records"]
+    rows = spark.createDataFrame([("u", "A", -1, 6.0, NOW), ("u", "A", 2, None, NOW)], spec.columns)
+    broken = {r["constraint"]: r["n"] for r in tables.violations(rows, spec.keys, spec.not_null, spec.checks).collect()}
+    assert broken == {"unique key": 1, "seen_ep from 0": 1, "rating in range": 1}
