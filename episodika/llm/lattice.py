@@ -6,6 +6,10 @@ recursion in log space. The pieces are an existing vocabulary whose scores (rank
 words - forward and backward sums, added up per piece - fit them to the corpus. What comes to the driver is one number for each piece of the vocabulary and
 a few totals; words, counts and scores stay tables. Scores of distinct words meet the documents in a join.
 
+Texts keep to a language: each of the ``CLASSES`` commonest labels of the training rows has word shares of its own, discounted in the same
+way towards those of all rows, and a text's score is the log of its probabilities under the classes, weighted and added up. No label is
+looked at when a text is scored.
+
 The model is a probability distribution over texts as sequences of words and one end: shares, freed mass and lattice add up to 1.
 
 Defined cases: a null text is an empty text, which is its end alone. A document with a null id is a training document. Repeated rows count once
@@ -29,6 +33,8 @@ from episodika.llm.tokens import vocabulary_path
 from episodika.session import cut_lineage
 
 FOLDS, HELD_OUT, ROUNDS = 5, 1, 2
+#: commonest labels that have word shares of their own
+CLASSES = 8
 #: stands for a text's end among the words, which are never empty; its share of the base that discounting falls back on
 END, END_SHARE = "", 1e-3
 _BASE = np.uint64(0x100000001B3)
@@ -128,33 +134,40 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     return list(weights), np.array(list(weights.values()))
 
 
-def word_counts(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """key (one per row), doc_id, held_out, word, times: distinct words of each text and its end."""
+def classes_of(docs: DataFrame, label: str | None, most: int = CLASSES) -> list[str]:
+    """The ``most`` commonest labels; a model without labels has one class for all."""
+    if label is None or label not in docs.columns:
+        return []
+    rows = docs.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return [row[0] for row in rows.orderBy(F.desc("n"), label).limit(most).collect()]
+
+
+def word_counts(docs: DataFrame, labels: list[str], label: str | None, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """key (one per row), doc_id, held_out, class (-1: none), word, times: distinct words of each text and its end."""
     held = F.coalesce(F.pmod(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
-    base = docs.select(F.col(id).alias("doc_id"), held.alias("held_out"), whole(text).alias("text"))
+    group = F.coalesce(F.array_position(F.array(*map(F.lit, labels)), F.col(label)).cast("int") - 1, F.lit(-1)) if labels else F.lit(-1)
+    base = docs.select(F.col(id).alias("doc_id"), held.alias("held_out"), group.alias("class"), whole(text).alias("text"))
     kind = dict(base.dtypes)["doc_id"]
+    carried = ["doc_id", "held_out", "class"]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = TaskContext.get().partitionId() << 36
         for batch in batches:
-            keys, words, times, rows = [], [], [], []
+            words, times, rows = [], [], []
             for n, content in enumerate(batch["text"]):
                 counts = Counter(content.encode().lower().split())
                 counts[b""] = 1
                 words += [w.decode() for w in counts]
                 times += counts.values()
-                keys.append(key)
                 rows.append(len(counts))
-                key += 1
                 if len(words) > 100_000 or n == len(batch) - 1:
                     which = np.repeat(np.arange(n + 1 - len(rows), n + 1), rows)
-                    yield pd.DataFrame({
-                        "key": np.repeat(keys, rows), "doc_id": batch["doc_id"].iloc[which].to_numpy(), "held_out": batch["held_out"].iloc[which].to_numpy(),
-                        "word": words, "times": times,
-                    })
-                    keys, words, times, rows = [], [], [], []
+                    keys = np.repeat(np.arange(key, key + len(rows)), rows)
+                    yield pd.DataFrame({"key": keys, **{c: batch[c].to_numpy()[which] for c in carried}, "word": words, "times": times})
+                    key += len(rows)
+                    words, times, rows = [], [], []
 
-    return base.mapInPandas(count, f"key long, doc_id {kind}, held_out boolean, word string, times long")
+    return base.mapInPandas(count, f"key long, doc_id {kind}, held_out boolean, class int, word string, times long")
 
 
 def fit(vocab: DataFrame, path: str, rounds: int = ROUNDS) -> Lattice:
@@ -195,17 +208,26 @@ def _with_log(path: str, log: tuple) -> Lattice:
     return lattice
 
 
-def lm_scores(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, text: str = "text", id: str = "doc_id") -> DataFrame:
+def lm_scores(
+    docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, label: str | None = "lang", text: str = "text", id: str = "doc_id"
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``."""
     path = path or vocabulary_path("piece_bpe_32k.model")
-    counts = word_counts(docs, text, id)
-    vocab = cut_lineage(counts.groupBy("word").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("times"))).alias("c")))
-    known = vocab.where("c > 0").agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
-    ).first()
-    total, distinct, once, twice = known
+    labels = classes_of(docs, label)
+    counts = word_counts(docs, labels, label, text, id)
+    trained = F.when(F.col("held_out"), 0).otherwise(F.col("times"))
+    own = [F.sum(F.when(F.col("class") == k, trained).otherwise(0)).alias(f"c{k}") for k in range(len(labels))]
+    vocab = cut_lineage(counts.groupBy("word").agg(F.sum(trained).alias("c"), *own))
+    columns = [f"c{k}" for k in range(len(labels))] or ["c"]
+    sums = [f(c) for c in columns for f in (F.sum, lambda c: F.count_if(F.col(c) > 0))]
+    ends = [F.sum(F.when(F.col("word") == END, F.col(c)).otherwise(0)) for c in columns]
+    known = vocab.where("c > 0").agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), *sums, *ends).first()
+    total, distinct, once, twice, *rest = (x or 0 for x in known)
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
     freed = discount * distinct / total if total else 1.0
+    sizes = list(zip(rest[: 2 * len(columns) : 2], rest[1 : 2 * len(columns) : 2], strict=True))
+    documents = np.array(rest[2 * len(columns) :], float) + 1
+    log_class = np.log10(documents / documents.sum())
     lattice = fit(vocab, path, rounds)
     log = lattice.log, lattice.log_end
 
@@ -215,17 +237,24 @@ def lm_scores(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, te
             if not len(batch):
                 continue
             logs = own.forward([w.encode() for w in batch["word"]]) + math.log(1 - END_SHARE)
-            end = (batch["word"] == END).to_numpy()
-            logs[end] = math.log(END_SHARE)
-            share = np.maximum(batch["c"].to_numpy() - discount, 0) / total if total else np.zeros(len(batch))
+            logs[(batch["word"] == END).to_numpy()] = math.log(END_SHARE)
             with np.errstate(divide="ignore"):
+                share = np.maximum(batch["c"].to_numpy() - discount, 0) / max(total, 1)
                 logs = np.logaddexp(np.log(share), logs + math.log(freed))
-            yield batch.assign(logp=logs / math.log(10))
-
-    scored = vocab.mapInPandas(score, "word string, c long, logp double")
+                found = []
+                for c, (size, types) in zip(columns, sizes, strict=True):
+                    inside = np.maximum(batch[c].to_numpy() - discount, 0) / max(size, 1)
+                    found.append(np.logaddexp(np.log(inside), logs + (math.log(discount * types / size) if size else 0.0)) / math.log(10))
+            yield batch[["word", "c"]].assign(**{f"p{k}": p for k, p in enumerate(found)})
+
+    names = [f"p{k}" for k in range(len(columns))]
+    scored = vocab.mapInPandas(score, "word string, c long, " + ", ".join(f"{n} double" for n in names))
     base = F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
-    joined = counts.join(scored, "word")
-    return joined.groupBy("key", "doc_id", "held_out").agg(
+    sums = counts.join(scored, "word").groupBy("key", "doc_id", "held_out").agg(
         F.sum("times").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("times") * base).alias("base_score"), F.sum(F.col("times") * F.col("logp")).alias("score"),
-    ).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        F.sum(F.col("times") * base).alias("base_score"), *[F.sum(F.col("times") * F.col(n)).alias(n) for n in names],
+    )
+    each = F.array(*[F.col(n) + float(p) for n, p in zip(names, log_class, strict=True)])
+    top = F.array_max(each)
+    score_sum = top + F.log10(F.aggregate(each, F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - top)))
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", score_sum.alias("score"))
