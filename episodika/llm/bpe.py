@@ -6,8 +6,8 @@ anew and grows until its outer quarters are exactly the tokens that the two side
 then stand next to the same neighbours as before, and a sequence of byte pairs merged by rank is right when every two neighbours are right
 together. A window that reaches both ends is an encoding of the whole, so the search always ends.
 
-Inside a leaf, text is cut before each blank that a visible character follows - the tokenizer cuts there whatever surrounds
-the place - and pieces met before are not encoded again.
+Inside a leaf words met before are not encoded again. A leaf with unusual characters is first cut before each blank that a
+visible character follows: the tokenizer cuts there whatever surrounds the place.
 
 Defined cases: a null text is an empty text, with no tokens. Rows that repeat an id are told apart by the digest of their
 text; rows that repeat both come once per row. Columns other than id and text are not looked at. Empty table: empty result.
@@ -25,31 +25,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from episodika.llm.common import whole
-from episodika.llm.tokens import Pieces, gather, vocabulary_path
+from episodika.llm.tokens import LETTERS, Encoder, byte_stand_ins, gather, load, vocabulary_path
 
 #: longest text, in code points, that one call encodes; longer ones are halved
 LEAF = 1 << 14
 #: first window around a join, in tokens of each side; longer than any special token
 WINDOW = 16
 
+#: fixed value: the vocabulary's pattern of words
+WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?= \S)")
 
 
 @functools.lru_cache(maxsize=2)
-def _pieces(path: str) -> Pieces:
-    return Pieces(path, _CUT.split)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path, WORD, _CUT.split, lower=False)
 
 
 @functools.lru_cache(maxsize=2)
 def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all tokens end to end, where each starts, how long it is."""
-    from tokenizers import pre_tokenizers
-
-    # printable stand-ins of the 256 bytes, as published for byte-level vocabularies
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    stands = {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in own)}
-    assert set(stands) == set(pre_tokenizers.ByteLevel.alphabet())
-    vocabulary = _pieces(path).tokenizer.get_vocab(with_added_tokens=True)
+    stands = {c: b for b, c in enumerate(byte_stand_ins())}
+    vocabulary = load(path).get_vocab(with_added_tokens=True)
     table = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
         table[i] = bytes(stands[c] for c in token)
@@ -65,7 +62,7 @@ def decode(ids: np.ndarray, path: str) -> bytes:
 
 
 def encode(text: str, path: str) -> np.ndarray:
-    return _pieces(path).encode(text)
+    return _encoder(path).encode(text)
 
 
 def join(left: np.ndarray, right: np.ndarray, path: str, window: int = WINDOW) -> np.ndarray:

@@ -25,17 +25,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from episodika.llm.common import whole
-from episodika.llm.tokens import Pieces, vocabulary_path
+from episodika.llm.tokens import LETTERS, Encoder, vocabulary_path
 from episodika.session import cut_lineage
 
 LENGTH, END_ID, OPEN, FAN = 2048, 1, 32, 256
+#: fixed value: the vocabulary's pattern of words
+WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+"
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 @functools.lru_cache(maxsize=2)
-def _pieces(path: str) -> Pieces:
-    # this vocabulary drops blanks and never merges across them
-    return Pieces(path, lambda text: text.split(" "))
+def _encoder(path: str) -> Encoder:
+    # this vocabulary lower-cases, drops blanks and never merges across them
+    return Encoder(path, WORD, lambda text: text.split(" "), lower=True)
 
 
 class Packer:
@@ -118,7 +120,7 @@ def pack(
         for batch in batches:
             keys = batch["doc_id"].astype("object").where(batch["doc_id"].notna(), None)
             for doc, content in zip(keys, batch["text"], strict=True):
-                ids = np.concatenate([_pieces(path).encode(content), end])
+                ids = np.concatenate([_encoder(path).encode(content), end])
                 packer.add(doc, 0, ids, len(ids))
             yield _frame(packer.rows(), [], task)
         left = packer.close()

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable
 
 import numpy as np
 
-#: pieces of text whose ids a worker remembers before it starts anew
-REMEMBERED = 300_000
+#: words whose ids a worker remembers before it starts anew; about 200 bytes each
+REMEMBERED = 1_000_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -37,15 +38,44 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[shift + np.arange(total)]
 
 
-class Pieces:
-    """Encodes texts by pieces that the tokenizer treats on their own, remembering the ids of pieces met before.
+#: letters and signs whose kind, lower case and normal form are beyond doubt, all within one byte of Latin-1
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = bytes(b for b in range(256) if re.fullmatch(rf"[{LETTERS} \n\t\r!-~]", chr(b)))
 
-    ``cut`` must cut only where the tokenizer cuts too, whatever stands on both sides: the ids of a text are then the ids of
-    its pieces, end to end.
+
+def _plain(text: str) -> bool:
+    """No character that could be taken in two ways, and no mark of a special token."""
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
+def _stand_ins() -> dict[int, str]:
+    """Characters as byte-level vocabularies write their UTF-8, for ``str.translate``."""
+    byte = byte_stand_ins()
+    return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
+
+
+@functools.cache
+def byte_stand_ins() -> list[str]:
+    """The printable character that stands for each byte, as published for byte-level vocabularies."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+class Encoder:
+    """Ids of texts from the ids of their words, which a worker remembers.
+
+    A text of plain characters is cut by ``pattern``, the vocabulary's own, and each new word is merged by the tokenizer's model: much
+    cheaper than the whole library. Other texts are cut by ``cut``, which must cut only where the tokenizer cuts whatever stands on both
+    sides; pieces with unusual characters or marks of special tokens then go through the whole library.
     """
 
-    def __init__(self, path: str, cut: Callable[[str], list[str]], remembered: int = REMEMBERED):
-        self.tokenizer, self.cut, self.remembered = load(path), cut, remembered
+    def __init__(self, path: str, pattern: str, cut: Callable[[str], list[str]], lower: bool, remembered: int = REMEMBERED):
+        self.tokenizer, self.cut, self.lower, self.remembered = load(path), cut, lower, remembered
+        self.find, self.model, self.table = re.compile(pattern).findall, self.tokenizer.model, _stand_ins()
         self._clear()
 
     def _clear(self) -> None:
@@ -53,8 +83,19 @@ class Pieces:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _words(self, text: str) -> list[str]:
+        if _plain(text):
+            return self.find(text.lower() if self.lower else text)
+        # no plain word begins with the sign of a piece that is not plain
+        return [x for piece in self.cut(text) for x in (self._words(piece) if _plain(piece) else ["\0" + piece])]
+
+    def _ids(self, word: str) -> list[int]:
+        if word[0] == "\0":
+            return self.tokenizer.encode(word[1:], add_special_tokens=False).ids
+        return [t.id for t in self.model.tokenize(word if word.isalpha() and word.isascii() else word.translate(self.table))]
+
+    def _learn(self, pieces: set[str]) -> None:
+        encoded = [self._ids(piece) for piece in pieces]
         known, lengths = len(self.index), np.fromiter(map(len, encoded), np.int64, len(encoded))
         total = int(lengths.sum())
         while self.used + total > len(self.flat):
@@ -69,16 +110,14 @@ class Pieces:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as uint32."""
-        pieces = self.cut(text)
-        index = self.index
-        unknown = {piece for piece in pieces if piece not in index}
-        if unknown:
-            if len(index) + len(unknown) > self.remembered and index:
+        pieces = self._words(text)
+        slots = list(map(self.index.get, pieces))
+        if None in slots:
+            unknown = {piece for piece, slot in zip(pieces, slots, strict=True) if slot is None}
+            if len(self.index) + len(unknown) > self.remembered and self.index:
                 self._clear()
-                index, unknown = self.index, set(pieces)
-            self._learn(list(unknown))
-        slots = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-        return gather(self.flat, self.starts[slots], self.lengths[slots])
-
-    def encode_all(self, texts: Iterable[str]) -> list[np.ndarray]:
-        return [self.encode(text) for text in texts]
+                unknown = set(pieces)
+            self._learn(unknown)
+            slots = list(map(self.index.__getitem__, pieces))
+        at = np.array(slots, np.int64)
+        return gather(self.flat, self.starts[at], self.lengths[at])
