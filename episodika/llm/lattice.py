@@ -6,8 +6,8 @@ recursion in log space. The pieces are an existing vocabulary whose scores (rank
 words - forward and backward sums, added up per piece - fit them to the corpus. What comes to the driver is one number for each piece of the vocabulary and
 a few totals; words, counts and scores stay tables. Scores of distinct words meet the documents in a join.
 
-Texts keep to a language: each of the ``CLASSES`` commonest labels of the training rows has word shares of its own, discounted in the same
-way towards those of all rows, and a text's score is the log of its probabilities under the classes, weighted and added up. No label is
+Texts keep to a language: each of the ``CLASSES`` commonest labels of the training rows has word shares and a lattice of its own, discounted in
+the same way towards the shares of all rows, and a text's score is the log of its probabilities under the classes, weighted and added up. No label is
 looked at when a text is scored.
 
 The model is a probability distribution over texts as sequences of words and one end: shares, freed mass and lattice add up to 1.
@@ -35,6 +35,8 @@ from episodika.session import cut_lineage
 FOLDS, HELD_OUT, ROUNDS = 5, 1, 2
 #: commonest labels that have word shares of their own
 CLASSES = 8
+#: share of a class's freed mass that goes to its own lattice; the rest goes to the shares of all rows
+OWN_LATTICE = 0.8
 #: stands for a text's end among the words, which are never empty; its share of the base that discounting falls back on
 END, END_SHARE = "", 1e-3
 _BASE = np.uint64(0x100000001B3)
@@ -88,11 +90,14 @@ class Lattice:
         begin, reach = start + word[start], start - offsets[word[start]]
         return begin, begin + size, piece, reach, reach + size, offsets + np.arange(len(words)), lengths, len(raw) + len(words)
 
-    def forward(self, words: list[bytes]) -> np.ndarray:
-        """Log probability of each word: the sum over all its segmentations."""
+    def forward(self, words: list[bytes], weights: list[tuple[np.ndarray, float]] | None = None) -> np.ndarray:
+        """Log probability of each word, the sum over all its segmentations; a row for each of several sets of weights."""
         begin, end, piece, _, reach, offsets, lengths, nodes = self._edges(words)
-        alpha = self._sums(begin, end, piece, reach, offsets, nodes)
-        return alpha[offsets + lengths] + self.log_end
+        found = []
+        for self.log, self.log_end in weights or [(self.log, self.log_end)]:
+            alpha = self._sums(begin, end, piece, reach, offsets, nodes)
+            found.append(alpha[offsets + lengths] + self.log_end)
+        return np.array(found) if weights else found[0]
 
     def _sums(self, begin, end, piece, reach, starts, nodes) -> np.ndarray:
         sums = np.full(nodes, -np.inf)
@@ -170,44 +175,45 @@ def word_counts(docs: DataFrame, labels: list[str], label: str | None, text: str
     return base.mapInPandas(count, f"key long, doc_id {kind}, held_out boolean, class int, word string, times long")
 
 
-def fit(vocab: DataFrame, path: str, rounds: int = ROUNDS) -> Lattice:
-    """A lattice fitted to the distinct training words of ``vocab`` (word, c)."""
+Weights = tuple[np.ndarray, float]
+
+
+def fit(vocab: DataFrame, path: str, columns: list[str], rounds: int = ROUNDS) -> list[Weights]:
+    """Log weights of the pieces and of the end for each of the ``columns``, fitted to the distinct words that it counts."""
     pieces, weights = vocabulary(path)
-    lattice = Lattice(pieces, weights)
-    training = vocab.where((F.col("c") > 0) & (F.col("word") != END)).select("word")
-    types = training.count()
-    prior = weights / weights.sum()
-    for _ in range(rounds if types else 0):
-        log = lattice.log, lattice.log_end
-
-        def expect(batches: Iterator[pd.DataFrame], log=log) -> Iterator[pd.DataFrame]:
-            own = _with_log(path, log)
-            total = np.zeros(len(own.pieces))
+    training = vocab.where((F.col("word") != END) & (F.greatest(F.lit(0), *columns) > 0)).select("word", *columns)
+    types = [n or 0 for n in training.agg(F.count(F.lit(1)), *[F.count_if(F.col(c) > 0) for c in columns]).first()[1:]]
+    start, prior = Lattice(pieces, weights), weights / weights.sum()
+    fitted = [(start.log, start.log_end)] * len(columns)
+    for _ in range(rounds if any(types) else 0):
+
+        def expect(batches: Iterator[pd.DataFrame], fitted=fitted) -> Iterator[pd.DataFrame]:
+            own = _lattice(path)
+            totals = np.zeros((len(columns), len(pieces)))
             for batch in batches:
-                if len(batch):
-                    total += own.expected([w.encode() for w in batch["word"]])
-            some = np.flatnonzero(total)
-            yield pd.DataFrame({"piece": some, "n": total[some]})
-
-        counts = training.mapInPandas(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        found = np.zeros(len(pieces))
-        for piece, n in counts:
-            found[piece] = n
-        lattice.set_weights(found + 0.01 * types * prior + 1e-6, float(types))
-    return lattice
+                for k, c in enumerate(columns):
+                    words = [w.encode() for w in batch["word"][batch[c] > 0]]
+                    if words:
+                        own.log, own.log_end = fitted[k]
+                        totals[k] += own.expected(words)
+            k, piece = np.nonzero(totals)
+            yield pd.DataFrame({"k": k, "piece": piece, "n": totals[k, piece]})
+
+        found = np.zeros((len(columns), len(pieces)))
+        for k, piece, n in training.mapInPandas(expect, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n")).collect():
+            found[k, piece] = n
+        fitted = []
+        for own, n in zip(found, types, strict=True):
+            start.set_weights(own + 0.01 * max(n, 1) * prior + 1e-6, float(max(n, 1)))
+            fitted.append((start.log, start.log_end))
+    return fitted
 
 
 @functools.lru_cache(maxsize=2)
-def _empty(path: str) -> Lattice:
+def _lattice(path: str) -> Lattice:
     return Lattice(*vocabulary(path))
 
 
-def _with_log(path: str, log: tuple) -> Lattice:
-    lattice = _empty(path)
-    lattice.log, lattice.log_end = log
-    return lattice
-
-
 def lm_scores(
     docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, label: str | None = "lang", text: str = "text", id: str = "doc_id"
 ) -> DataFrame:
@@ -228,23 +234,22 @@ def lm_scores(
     sizes = list(zip(rest[: 2 * len(columns) : 2], rest[1 : 2 * len(columns) : 2], strict=True))
     documents = np.array(rest[2 * len(columns) :], float) + 1
     log_class = np.log10(documents / documents.sum())
-    lattice = fit(vocab, path, rounds)
-    log = lattice.log, lattice.log_end
+    fitted = fit(vocab, path, columns, rounds)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = _with_log(path, log)
         for batch in batches:
             if not len(batch):
                 continue
-            logs = own.forward([w.encode() for w in batch["word"]]) + math.log(1 - END_SHARE)
-            logs[(batch["word"] == END).to_numpy()] = math.log(END_SHARE)
+            lattices = _lattice(path).forward([w.encode() for w in batch["word"]], fitted) + math.log(1 - END_SHARE)
+            lattices[:, (batch["word"] == END).to_numpy()] = math.log(END_SHARE)
             with np.errstate(divide="ignore"):
                 share = np.maximum(batch["c"].to_numpy() - discount, 0) / max(total, 1)
-                logs = np.logaddexp(np.log(share), logs + math.log(freed))
+                every = np.logaddexp(np.log(share), np.logaddexp.reduce(lattices) - math.log(len(lattices)) + math.log(freed))
                 found = []
-                for c, (size, types) in zip(columns, sizes, strict=True):
+                for own, c, (size, types) in zip(lattices, columns, sizes, strict=True):
+                    behind = np.logaddexp(every + math.log(1 - OWN_LATTICE), own + math.log(OWN_LATTICE))
                     inside = np.maximum(batch[c].to_numpy() - discount, 0) / max(size, 1)
-                    found.append(np.logaddexp(np.log(inside), logs + (math.log(discount * types / size) if size else 0.0)) / math.log(10))
+                    found.append(np.logaddexp(np.log(inside), behind + (math.log(discount * types / size) if size else 0.0)) / math.log(10))
             yield batch[["word", "c"]].assign(**{f"p{k}": p for k, p in enumerate(found)})
 
     names = [f"p{k}" for k in range(len(columns))]
