@@ -7,6 +7,7 @@ the text without them, and Spark does the rest.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
@@ -57,10 +58,33 @@ KINDS = (
     ("location", r"location|place|city|country|island|village|world|town|planet|building|kingdom"),
     ("group", r"organi[sz]ation|group|team|clan|guild|squad|family|crew|affiliation|school|race|species|faction"),
 )
-MAX_WIKITEXT, MAX_SECTION, MAX_LINKS, MAX_CAST, MAX_FIELD = 400_000, 20_000, 400, 80, 2_000
-MIN_WIKITEXT, MIN_PLOT, MIN_PART, MIN_ANY, MAX_NOTE = 200, 500, 100, 40, 1_500
+MIN_WIKITEXT, MIN_PLOT, MIN_PART, MIN_ANY = 200, 500, 100, 40
 # -----------------------------------------------------------------------------------------------------------------------
 
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Longest section text, infobox field and note in characters, most links and cast members; None keeps all."""
+
+    section: int | None = None
+    field: int | None = None
+    note: int | None = None
+    links: int | None = None
+    cast: int | None = None
+
+
+NO_LIMITS = Limits()
+
+
+def _cut(value: Column, limit: int | None) -> Column:
+    return value if limit is None else F.substring(value, 1, limit)
+
+
+def _first(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
+
+
 _INLINE = re.compile(rf"\{{\{{\s*({INLINE}|{SCROLL})\s*\|([^{{}}]*)\}}\}}", re.I)
 _MARK = re.compile(r"\{\{|\}\}|\[\[|\]\]")
 _MEDIA = re.compile(r"\s*(file|image|category):", re.I)
@@ -182,10 +206,10 @@ def section_text(text: Column) -> Column:
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
-def field_text(value: Column) -> Column:
+def field_text(value: Column, limit: int | None = None) -> Column:
     t = F.regexp_replace(F.replace(plain(value), F.lit("⏎"), F.lit(",")), r"(?U)\s+", " ")
     t = F.regexp_replace(t, r"(?:\s*,)+", ",")
-    return F.substring(F.regexp_replace(t, r"^[ ,]+|[ ,]+$", ""), 1, MAX_FIELD)
+    return _cut(F.regexp_replace(t, r"^[ ,]+|[ ,]+$", ""), limit)
 
 
 def section_links(text: Column) -> Column:
@@ -236,14 +260,14 @@ def _box(page: Column, test) -> Column:
     return F.get(F.filter(page["templates"], lambda t: (t["n"] >= 3) & test(t)), F.lit(0))
 
 
-def _infobox(box: Column) -> Column:
+def _infobox(box: Column, limits: Limits) -> Column:
     none = F.create_map().cast("map<string,string>")
-    return F.coalesce(F.transform_values(box["fields"], lambda k, v: field_text(v)), none)
+    return F.coalesce(F.transform_values(box["fields"], lambda k, v: field_text(v, limits.field)), none)
 
 
-def parse_page(wikitext: Column) -> Column:
+def parse_page(wikitext: Column, limits: Limits = NO_LIMITS) -> Column:
     """Any page: kind, infobox name and fields, section texts, links. Very short pages are stubs."""
-    text = F.substring(F.coalesce(wikitext, F.lit("")), 1, MAX_WIKITEXT)
+    text = F.coalesce(wikitext, F.lit(""))
     page = _read_page(_prepared(text))
 
     def build(p: Column) -> Column:
@@ -254,11 +278,11 @@ def parse_page(wikitext: Column) -> Column:
             return F.struct(
                 F.when(F.length(text) < MIN_WIKITEXT, "stub").otherwise(F.coalesce(_kind_of(box["name"]), F.lit("other"))).alias("kind"),
                 box["name"].alias("infobox_name"),
-                _infobox(box).alias("infobox"),
+                _infobox(box, limits).alias("infobox"),
                 F.transform(
-                    told, lambda x: F.struct(x["title"].alias("title"), F.substring(x["text"], 1, MAX_SECTION).alias("text"))
+                    told, lambda x: F.struct(x["title"].alias("title"), _cut(x["text"], limits.section).alias("text"))
                 ).alias("sections"),
-                F.slice(F.array_distinct(F.flatten(F.transform(s, lambda x: x["links"]))), 1, MAX_LINKS).alias("links"),
+                _first(F.array_distinct(F.flatten(F.transform(s, lambda x: x["links"]))), limits.links).alias("links"),
             )
 
         return let(sections(p["rest"]), with_sections)
@@ -266,13 +290,13 @@ def parse_page(wikitext: Column) -> Column:
     return let(page, build)
 
 
-def parse_episode(wikitext: Column) -> Column:
+def parse_episode(wikitext: Column, limits: Limits = NO_LIMITS) -> Column:
     """Episode page: number, dates, season, title, arc, chapters, plot, short synopsis, span and cast."""
     page = _read_page_unwrapped(_prepared(F.coalesce(wikitext, F.lit(""))))
-    return let(page, lambda p: let(F.struct(_infobox(_box(p, _is_episode_box)).alias("box"), sections(p["rest"]).alias("s")), _episode))
+    return let(page, lambda p: let(F.struct(_infobox(_box(p, _is_episode_box), limits).alias("box"), sections(p["rest"]).alias("s")), lambda e: _episode(e, limits)))
 
 
-def _episode(e: Column) -> Column:
+def _episode(e: Column, limits: Limits) -> Column:
     box, s = e["box"], e["s"]
     by_length = lambda a, b: F.length(b) - F.length(a)
     named = F.array_sort(
@@ -298,7 +322,7 @@ def _episode(e: Column) -> Column:
         F.filter(s, lambda x: x["title"].rlike(EVENT) & (x["text"] != "")),
         lambda x: F.concat(x["title"], F.lit(": "), F.regexp_replace(x["text"], r"\s*\n\s*", "; ")),
     )
-    note = F.substring(F.array_join(F.filter(F.concat(F.array(lead), events), lambda x: x != ""), "\n"), 1, MAX_NOTE)
+    note = _cut(F.array_join(F.filter(F.concat(F.array(lead), events), lambda x: x != ""), "\n"), limits.note)
     note = F.when(F.length(note) >= MIN_ANY, note).otherwise("")
     numbers = [F.nullif(F.regexp_extract(F.coalesce(box[k], F.lit("")), r"^\D{0,10}(\d{1,4})\D{0,3}$", 1), F.lit("")) for k in EPISODE_KEYS]
     dated = lambda k: F.when(~box[k].rlike(YEAR), F.nullif(box[k], F.lit("")))
@@ -324,6 +348,6 @@ def _episode(e: Column) -> Column:
             F.coalesce(F.get(p, F.lit(0)), F.lit("")).alias("plot"),
             F.when(F.size(p) > 1, F.element_at(p, -1)).when(F.size(p) == 0, note).otherwise("").alias("synopsis"),
             F.coalesce(*[span(k) for k in EPISODE_KEYS], F.lit(1)).alias("span"),
-            F.coalesce(F.slice(listed["links"], 1, MAX_CAST), F.array().cast("array<string>")).alias("characters"),
+            F.coalesce(_first(listed["links"], limits.cast), F.array().cast("array<string>")).alias("characters"),
         ),
     )

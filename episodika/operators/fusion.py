@@ -24,7 +24,7 @@ def pin(hits: DataFrame, max_rows: int = MAX_HITS) -> DataFrame:
 
     More rows than a hit list can have is an error, never a silent cut.
     """
-    rows = hits.limit(max_rows + 1).toArrow()
+    rows = hits.limit(max_rows + 1).toArrow()  # one row more than allowed shows that there are too many
     if rows.num_rows > max_rows:
         raise ValueError(f"more than {max_rows} rows where a bounded hit list is expected")
     # one partition: windows, groupings and joins over these few rows then need no shuffle at all
@@ -95,41 +95,57 @@ def fusion_order() -> list[Column]:
     ]
 
 
-def decide(
-    episodes: DataFrame,
-    first_list: DataFrame | None,
-    *,
-    named: bool = False,
-    min_score: float = DEFAULTS.min_score,
-    margin: float = DEFAULTS.margin,
+def decide_many(
+    questions: DataFrame, episodes: DataFrame, heads: DataFrame, *, min_score: float = DEFAULTS.min_score, margin: float = DEFAULTS.margin
 ) -> DataFrame:
-    """Verdict from scores alone: rows (status, position, series_id, abs_ep, score), one row with NULLs for "none".
+    """Verdicts of any number of questions from scores alone: rows (question_id, status, position, series_id, abs_ep, score).
+
+    ``questions``: question_id, named. ``episodes``: fused episodes with question_id. ``heads``: question_id, series_id of the first five
+    global hits. A question without a verdict has one row "none" with NULLs.
 
     none: no episode with a similarity, or the leader below ``min_score``. ambiguous series: no title was named and the
     leader's series holds fewer than three of the first five global hits; up to three series by their best episode.
     ambiguous episodes: the runner-up of the same series is closer than ``margin``; up to three. Otherwise episode.
     """
-    eps = [r for r in episodes.orderBy(*fusion_order()).limit(MAX_HITS).collect() if r["score"] is not None]
-    head = [] if first_list is None else [r["series_id"] for r in ranked(first_list).filter("position < 5").collect()]
-    status, chosen = _verdict(eps, head, named, min_score, margin)
-    rows = [(status, i, e["series_id"], None if by_series else e["abs_ep"], e["score"]) for i, (e, by_series) in enumerate(chosen, 1)]
-    return episodes.sparkSession.createDataFrame(
-        rows or [(status, 1, None, None, None)], "status string, position int, series_id string, abs_ep int, score double"
+    asked = W.partitionBy("question_id")
+    place = F.row_number().over(asked.orderBy(*fusion_order()))
+    eps = episodes.filter(F.col("score").isNotNull()).select("question_id", "series_id", "abs_ep", "score", place.alias("place"))
+    own = W.partitionBy("question_id", "series_id").orderBy("place")
+    eps = eps.withColumns({"rival": F.row_number().over(own), "next_score": F.lead("score").over(own)})
+    held = heads.groupBy("question_id", "series_id").agg(F.count("*").alias("held"))
+    eps = eps.join(held, ["question_id", "series_id"], "left").join(questions, "question_id")
+    status = (
+        F.when(F.col("score") < min_score, "none")
+        .when(~F.col("named") & (F.coalesce("held", F.lit(0)) < 3), "series")
+        .when(F.coalesce(F.col("score") - F.col("next_score") < margin, F.lit(False)), "episodes")
+        .otherwise("episode")
+    )
+    # the leader's row knows the verdict; every row of the question is told
+    top = F.max(F.when(F.col("place") == 1, F.struct(status.alias("status"), "series_id"))).over(asked)
+    eps = eps.withColumn("top", top)
+    leader = F.row_number().over(W.partitionBy("question_id", "rival").orderBy(F.col("score").desc(), "place"))
+    eps = eps.withColumn("leader", leader)
+    position = (
+        F.when((F.col("top.status") == "series") & (F.col("rival") == 1), F.col("leader"))
+        .when((F.col("top.status") == "episodes") & (F.col("series_id") == F.col("top.series_id")), F.col("rival"))
+        .when((F.col("top.status") == "episode") & (F.col("place") == 1), F.lit(1))
+    )
+    chosen = eps.withColumn("position", position.cast("int")).filter("position <= 3").select(
+        "question_id", F.when(F.col("top.status") == "episode", "episode").otherwise("ambiguous").alias("status"), "position", "series_id",
+        F.when(F.col("top.status") != "series", F.col("abs_ep")).alias("abs_ep"), "score",
+    )
+    return questions.select("question_id").join(chosen, "question_id", "left").withColumns(
+        {"status": F.coalesce("status", F.lit("none")), "position": F.coalesce("position", F.lit(1))}
     )
 
 
-def _verdict(eps: list, head: list[str], named: bool, min_score: float, margin: float):
-    """The rule over one question's ranked episodes (a few dozen rows): status and [(episode, only its series counts)]."""
-    if not eps or eps[0]["score"] < min_score:
-        return "none", []
-    top = eps[0]
-    if not named and head.count(top["series_id"]) < 3:
-        best: dict = {}
-        for e in eps:
-            best.setdefault(e["series_id"], e)
-        leaders = sorted(best.values(), key=lambda e: -e["score"])[:3]
-        return "ambiguous", [(e, True) for e in leaders]
-    rivals = [e for e in eps if e["series_id"] == top["series_id"]]
-    if len(rivals) > 1 and top["score"] - rivals[1]["score"] < margin:
-        return "ambiguous", [(e, False) for e in rivals[:3]]
-    return "episode", [(top, False)]
+def decide(
+    episodes: DataFrame, first_list: DataFrame | None, *, named: bool = False, min_score: float = DEFAULTS.min_score, margin: float = DEFAULTS.margin
+) -> DataFrame:
+    """The verdict of one question: rows (status, position, series_id, abs_ep, score); see :func:`decide_many`."""
+    question = F.lit("q").alias("question_id")
+    asked = episodes.sparkSession.range(1).select(question, F.lit(bool(named)).alias("named"))
+    heads = asked.select("question_id", F.lit(None).cast("string").alias("series_id")).filter("false")
+    if first_list is not None:
+        heads = ranked(first_list).filter("position < 5").select(question, "series_id")
+    return decide_many(asked, episodes.select(question, "*"), heads, min_score=min_score, margin=margin).drop("question_id")

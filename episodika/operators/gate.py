@@ -8,48 +8,40 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: "the whole series was watched".
 ALL_EPISODES = 1_000_000
 
-# A viewer's record list up to this many series becomes a literal map inside the filter; beyond it, or when it comes as
-# a DataFrame, the gate is an ordinary left join whose strategy Catalyst and AQE choose from real sizes.
-MAX_LITERAL_SERIES = 1_000
-
 Watched = Mapping[str, int] | DataFrame
 
 
 def visible(chunks: DataFrame, *, watched: Watched, unrecorded: int = 0) -> DataFrame:
-    """Rows of ``chunks`` (series_id, abs_ep, ...) this viewer may see. ``watched`` is mandatory."""
+    """Rows of ``chunks`` (series_id, abs_ep, ...) this viewer may see. ``watched`` is mandatory.
+
+    A frame that holds a series several times counts with the furthest position, NULL positions count as no record.
+    """
     if watched is None:
         raise TypeError("watched (position per series) must be given")
     unrecorded = int(unrecorded)
-    if isinstance(watched, DataFrame):
-        return _join_gate(chunks, watched, unrecorded)
-    seen = {str(k): int(v) for k, v in watched.items()}
-    if len(seen) > MAX_LITERAL_SERIES:
-        frame = chunks.sparkSession.createDataFrame(list(seen.items()), "series_id string, seen_ep int")
-        return _join_gate(chunks, frame, unrecorded)
     ep = F.col("abs_ep")
-    # The bound below follows from the exact condition and, unlike it, can be pushed into the parquet scan.
-    reachable = ep.isNull() | (ep <= F.lit(max([unrecorded, *seen.values()])))
-    if not seen:
-        return chunks.filter(reachable)
-    positions = F.create_map(*[F.lit(x) for pair in seen.items() for x in pair])
-    limit = F.coalesce(positions[F.col("series_id")], F.lit(unrecorded))
-    return chunks.filter(reachable).filter(ep.isNull() | (ep <= limit))
+    if not isinstance(watched, DataFrame):
+        # The bound follows from the exact condition and, unlike it, can be pushed into the parquet scan.
+        chunks = chunks.filter(ep.isNull() | (ep <= F.lit(max([unrecorded, *map(int, watched.values())]))))
+        if not watched:
+            return chunks
+    positions = _positions(chunks, watched)
+    joined = chunks.join(positions, "series_id", "left").filter(ep.isNull() | (ep <= F.coalesce("_seen", F.lit(unrecorded))))
+    return joined.select(*chunks.columns)
 
 
-def _join_gate(chunks: DataFrame, watched: DataFrame, unrecorded: int) -> DataFrame:
-    positions = watched.select("series_id", F.col("seen_ep").cast("int").alias("_seen"))
-    ep = F.col("abs_ep")
-    return (
-        chunks.join(positions, "series_id", "left")
-        .filter(ep.isNull() | (ep <= F.coalesce("_seen", F.lit(unrecorded))))
-        .drop("_seen")
-        .select(*chunks.columns)
-    )
+def _positions(rows: DataFrame, watched: Watched) -> DataFrame:
+    """One row per series: series_id, _seen. A mapping becomes a local relation, whose size the planner knows."""
+    if not isinstance(watched, DataFrame):
+        table = pa.table({"series_id": pa.array(map(str, watched), pa.string()), "_seen": pa.array(map(int, watched.values()), pa.int32())})
+        return rows.sparkSession.createDataFrame(table)
+    return watched.groupBy("series_id").agg(F.max(F.col("seen_ep").cast("int")).alias("_seen"))
 
 
 def narrowed(chunks: DataFrame, *, series_ids: Iterable[str] | None = None, types: Iterable[str] | None = None) -> DataFrame:
@@ -88,12 +80,8 @@ def leaks(result: DataFrame, *, watched: Watched, unrecorded: int = 0) -> DataFr
     """Rows of a result the viewer may not see; must be empty. The complement of :func:`visible`, for assertions."""
     if watched is None:
         raise TypeError("watched (position per series) must be given")
-    if not isinstance(watched, DataFrame):
-        pairs = [(str(k), int(v)) for k, v in watched.items()]
-        watched = result.sparkSession.createDataFrame(pairs, "series_id string, seen_ep int")
-    positions = watched.select("series_id", F.col("seen_ep").cast("int").alias("_seen"))
     return (
-        result.join(positions, "series_id", "left")
+        result.join(_positions(result, watched), "series_id", "left")
         .filter(F.col("abs_ep") > F.coalesce("_seen", F.lit(int(unrecorded))))
         .drop("_seen")
     )

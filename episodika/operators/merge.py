@@ -64,20 +64,22 @@ def sticky(value: str) -> Rule:
 
 
 def upsert_chunks(target: DataFrame, source: DataFrame) -> DataFrame:
-    """Chunk upsert that keeps a vector exactly as long as its text is unchanged."""
-    carried = target.select("chunk_id", "text", "embedding")
-    return (
-        target.drop("embedding")
-        .join(source.select("chunk_id"), "chunk_id", "left_anti")
-        .unionByName(source.select(*[c for c in target.columns if c != "embedding"]))
-        .join(carried, ["chunk_id", "text"], "left")
-        .select(*target.columns)
-    )
+    """Chunk upsert that keeps a vector exactly as long as its text is unchanged: one full join on the id."""
+    given = [c for c in target.columns if c in source.columns and c not in ("chunk_id", "embedding")]
+    old = target.select("chunk_id", F.struct(*[c for c in target.columns if c != "chunk_id"]).alias("old"))
+    new = source.select("chunk_id", F.struct(*given).alias("new"))
+    arrived = F.col("new").isNotNull()
+    same = F.col("new.text").eqNullSafe(F.col("old.text"))
+    out = [F.when(arrived, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) if c in given else F.when(~arrived, F.col(f"old.{c}")).alias(c) for c in target.columns if c not in ("chunk_id", "embedding")]
+    vector = F.when(~arrived | same, F.col("old.embedding")).alias("embedding")
+    return old.join(new, "chunk_id", "full").select("chunk_id", *out, vector).select(*target.columns)
 
 
 def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of unknown keys are added, the rest of the source is ignored."""
-    fresh = source.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti")
+    """Rows of unknown keys are added, the rest of the source is ignored; of rows that repeat a key the smallest is taken."""
+    rest = [c for c in source.columns if c not in keys]
+    one = source.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]) if rest else source.distinct()
+    fresh = one.join(target.select(*keys), list(keys), "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 

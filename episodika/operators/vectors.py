@@ -7,48 +7,45 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from episodika.config import DEFAULTS
 from episodika.operators.gate import Watched, narrowed, visible
 
-# Up to this length the score stays a built-in expression; longer vectors are scored per Arrow batch with one matrix
-# product, which is several times cheaper per element.
-MAX_BUILTIN_DIM = 128
-
-
 def cosine(vector: Column | str, query: Sequence[float]) -> Column:
-    """Cosine similarity to a fixed query, in double precision; NULL where undefined (NULL or zero vector)."""
+    """Cosine similarity to a fixed query, in double precision, one matrix product per Arrow batch.
+
+    NULL where undefined: a NULL or zero vector, or one of another length than the query.
+    """
     q = np.asarray([float(x) for x in query], dtype=np.float64)
     norm = float(np.sqrt(q @ q))
     if norm == 0.0:
         return F.lit(None).cast("double")
     unit = q / norm
-    col = F.col(vector) if isinstance(vector, str) else vector
-    if len(unit) > MAX_BUILTIN_DIM:
-        return _batch_cosine(unit)(col)
-    q_col = F.array(*[F.lit(float(x)) for x in unit])
-    dot = F.aggregate(F.zip_with(col, q_col, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    length = F.sqrt(
-        F.aggregate(col, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    )
-    return dot / F.when(length > 0, length)
+    return _batch_cosine(unit)(F.col(vector) if isinstance(vector, str) else vector)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one length as rows; callers leave out the others with :func:`fitting`."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(-1, dim).astype(np.float64)
 
 
+def fitting(column: pa.Array, dim: int) -> pa.Array:
+    """Which vectors have the query's length; others, like missing ones, have no score."""
+    return pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+
+
 def _batch_cosine(unit: np.ndarray):
     dim = len(unit)
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        known = column.is_valid().to_numpy(zero_copy_only=False)
-        out = np.full(len(column), np.nan)
+        fits = fitting(column, dim)
+        known, out = fits.to_numpy(zero_copy_only=False), np.full(len(column), np.nan)
         if known.any():
-            rows = _matrix(column.drop_null(), dim)
+            rows = _matrix(column.filter(fits), dim)
             length = np.sqrt((rows * rows).sum(axis=1))
             with np.errstate(divide="ignore", invalid="ignore"):
                 out[known] = np.where(length > 0, rows @ unit / length, np.nan)
@@ -115,8 +112,8 @@ def search_many(
 ) -> DataFrame:
     """Top-k of many queries in one pass over the vectors.
 
-    Queries travel in blocks of bounded size; each Arrow batch is scored against a block with one matrix product and
-    leaves at most ``k`` rows per query, so what is shuffled does not grow with the number of vectors times queries.
+    Queries travel in blocks of bounded size; each Arrow batch is scored against a block with one matrix product. A task keeps the best
+    ``k`` rows per query over all its batches (and ties with the last), so what is shuffled is tasks times queries times k.
     """
     rows = narrowed(chunks, types=types).filter(F.col("embedding").isNotNull())
     rows = visible(rows, watched=watched, unrecorded=unrecorded).select("chunk_id", "series_id", "abs_ep", "embedding")
@@ -137,40 +134,39 @@ def search_many(
 
 
 def _local_top_k(names: list[str], matrix: np.ndarray, k: int):
-    dim = matrix.shape[1]
+    dim, columns = matrix.shape[1], ["chunk_id", "series_id", "abs_ep"]
+    kinds = [pa.string(), pa.string(), pa.int32()]
+
+    def best(scores: np.ndarray) -> np.ndarray:
+        """Places of the k best, with every one tied with the k-th: the final ranking breaks the tie by id."""
+        if len(scores) <= k:
+            return np.arange(len(scores))
+        return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, pa.Table]] = [(np.zeros(0), pa.table([pa.array([], t) for t in kinds], columns))] * len(names)
         for batch in batches:
+            batch = batch.filter(fitting(batch.column("embedding"), dim))
             if batch.num_rows == 0:
                 continue
             vectors = _matrix(batch.column("embedding"), dim)
             length = np.sqrt((vectors * vectors).sum(axis=1))
             defined = length > 0
-            scores = np.full((len(names), len(vectors)), -np.inf)
-            scores[:, defined] = matrix @ (vectors[defined] / length[defined, None]).T
-            keep_q, keep_row = [], []
-            for q in range(len(names)):
-                row = scores[q]
-                if len(row) > k:
-                    # every row tied with the k-th score stays, the final ranking breaks the tie by id
-                    floor = np.partition(row, len(row) - k)[len(row) - k]
-                    chosen = np.flatnonzero((row >= floor) & defined)
-                else:
-                    chosen = np.flatnonzero(defined)
-                keep_q.append(np.full(len(chosen), q))
-                keep_row.append(chosen)
-            q_idx, r_idx = np.concatenate(keep_q), np.concatenate(keep_row)
-            taken = batch.take(pa.array(r_idx))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([names[i] for i in q_idx], pa.string()),
-                    taken.column("chunk_id").cast(pa.string()),
-                    taken.column("series_id").cast(pa.string()),
-                    taken.column("abs_ep").cast(pa.int32()),
-                    pa.array(scores[q_idx, r_idx], pa.float64()),
-                ],
-                names=["query_id", "chunk_id", "series_id", "abs_ep", "score"],
-            )
+            rows = pa.table([batch.column(c).cast(t) for c, t in zip(columns, kinds, strict=True)], columns).filter(pa.array(defined))
+            similarities = matrix @ (vectors[defined] / length[defined, None]).T
+            for q, scores in enumerate(similarities):
+                old, kept = held[q]
+                chosen = best(scores)
+                if len(old) >= k:  # only rows that reach the worst one held can matter
+                    chosen = chosen[scores[chosen] >= old.min()]
+                if len(chosen):
+                    both = np.concatenate([old, scores[chosen]])
+                    keep = best(both)
+                    held[q] = both[keep], pa.concat_tables([kept, rows.take(pa.array(chosen))]).take(pa.array(keep)).combine_chunks()
+        for name, (scores, rows) in zip(names, held, strict=True):
+            if len(scores):
+                for part in rows.append_column("score", pa.array(scores)).add_column(0, "query_id", pa.array([name] * len(scores), pa.string())).to_batches():
+                    yield part
 
     return run
 
@@ -195,7 +191,7 @@ def build_cells(chunks: DataFrame, centres: Sequence[Sequence[float]]) -> DataFr
             [pa.array(cell.astype(np.int32)), pa.array(angle)], names=["cell", "cell_angle"]
         )
 
-    placed = chunks.filter(F.col("embedding").isNotNull()).withColumn("_cell", nearest("embedding"))
+    placed = chunks.filter(F.size("embedding") == dim).withColumn("_cell", nearest("embedding"))
     return placed.select(*chunks.columns, "_cell.cell", "_cell.cell_angle")
 
 

@@ -13,12 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spreads a table over all cores before heavy per-row work when its files give fewer scan tasks than cores.
-
-    A large table has more splits than cores and is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    """A table spread by key over tasks before heavy per-row work: its files may be few and their rows uneven."""
+    return df.repartition(F.col(key))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,15 +36,16 @@ def exact_ranks(chunks: DataFrame, questions: Sequence[tuple[str, str, Sequence[
     ``questions``: (id, series_id, gold episodes, vector), a bounded evaluation set. An episode scores as its best chunk
     and its rank is one more than the number of better episodes. A first pass finds, per question, the best score of the
     gold episodes and of their series; in the second only chunks beating the gold leave the scan and distinct episodes
-    are counted, so nothing is ever sorted as a whole.
+    are counted, so nothing is ever sorted as a whole. A question whose gold has no scored chunk has NULL ranks.
     """
     spark = chunks.sparkSession
-    rows = chunks.filter(F.col("embedding").isNotNull() & (F.coalesce("abs_ep", F.lit(0)) != 0)).select("series_id", "abs_ep", "embedding")
+    rows = chunks.filter(F.coalesce("abs_ep", F.lit(0)) != 0).select("series_id", "abs_ep", "embedding")
     names = [q for q, _, _, _ in questions]
     home = [s for _, s, _, _ in questions]
     gold = [{(s, int(e)) for e in es} for _, s, es, _ in questions]
     matrix = np.asarray([[float(x) for x in v] for _, _, _, v in questions])
     matrix /= np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    rows = rows.filter(F.size("embedding") == matrix.shape[1])
 
     def similarities(batch: pa.RecordBatch) -> np.ndarray:
         vecs = vectors._matrix(batch.column("embedding"), matrix.shape[1])
@@ -86,14 +87,14 @@ def exact_ranks(chunks: DataFrame, questions: Sequence[tuple[str, str, Sequence[
             )
 
     schema = "query_id string, series_id string, abs_ep int, score double"
-    asked = spark.createDataFrame([(q, s, best[q][1]) for q, s in zip(names, home) if q in best], "query_id string, home string, own double")
+    asked = spark.createDataFrame([(q, s, best[q][1] if q in best else None, q in best) for q, s in zip(names, home)], "query_id string, home string, own double, found boolean")
     better = rows.mapInArrow(better_chunks, schema).groupBy("query_id", "series_id", "abs_ep").agg(F.max("score").alias("score"))
     counts = better.join(asked, "query_id").groupBy("query_id").agg(
         F.count_if(F.col("series_id") == F.col("home")).alias("inside"),
         F.count("*").alias("all"),
         F.count_distinct(F.when((F.col("series_id") != F.col("home")) & (F.col("score") > F.col("own")), F.col("series_id"))).alias("shows"),
     )
-    place = lambda c: (F.coalesce(c, F.lit(0)) + 1).cast("int")
+    place = lambda c: F.when(F.col("found"), (F.coalesce(c, F.lit(0)) + 1).cast("int"))
     return asked.join(counts, "query_id", "left").select(
         "query_id", place("inside").alias("in_series"), place("all").alias("global"), place("shows").alias("series")
     )

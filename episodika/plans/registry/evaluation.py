@@ -15,7 +15,7 @@ from episodika.plans.registry.base import query
 from episodika.plans.registry.retrieval import MAX_QUESTIONS, QUESTIONS_SQL
 from episodika.session import shared_folder
 from episodika.sources.landing import after_mark, resume_after
-from episodika.sources.tables import Table
+from episodika.sources.tables import read_table
 from episodika.streaming import incremental
 
 GOLD_SQL = f"""{VECTOR_CHUNKS_SQL}, {QUESTIONS_SQL},
@@ -173,13 +173,30 @@ EVENT_SCHEMA = T.StructType(
 )
 def stream_incremental_upsert(spark, sf_dir):
     folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
-    stored = Table(spark, f"{folder}/table", T.StructType([f for f in EVENT_SCHEMA.fields if f.name != "props"]))
+    stored = T.StructType([f for f in EVENT_SCHEMA.fields if f.name != "props"])
     stream = incremental.changes_from(spark, sf_dir, EVENT_SCHEMA, "events.parquet")
-    apply = incremental.upsert_into(stored, ["user_id", "event_type"], ["ts", "event_id"])
+    apply = incremental.upsert_into(spark, f"{folder}/table", stored, ["user_id", "event_type"], ["ts", "event_id"])
     incremental.run_available(stream, apply, f"{folder}/checkpoint")
     # a second run finds nothing new and leaves the table as it is
     incremental.run_available(stream, apply, f"{folder}/checkpoint")
-    return stored.read().select("user_id", "event_type", "event_id", F.round("value", 4).alias("value"))
+    return read_table(spark, f"{folder}/table", stored).select("user_id", "event_type", "event_id", F.round("value", 4).alias("value"))
+
+
+@query(
+    "stream_two_sources",
+    """WITH changes AS (SELECT user_id AS k, event_id AS at, value FROM events UNION ALL SELECT o_custkey, o_orderkey, o_totalprice FROM orders)
+    SELECT k, max(at) AS at, round(arg_max(value, (at, value)), 4) AS value FROM changes WHERE k IS NOT NULL GROUP BY k""",
+)
+def stream_two_sources(spark, sf_dir):
+    """Two sources write to one table; both begin with a batch of number 0."""
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    schema = T.StructType.fromDDL("k long, at long, value double")
+    apply = incremental.upsert_into(spark, f"{folder}/table", schema, ["k"], ["at", "value"], buckets=8)
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("at"), F.col("value").cast("double"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("at"), F.col("o_totalprice").cast("double").alias("value"))
+    for source in (events, orders):
+        apply(source.filter("k IS NOT NULL"), 0)
+    return read_table(spark, f"{folder}/table", schema).select("k", "at", F.round("value", 4).alias("value"))
 
 
 @query(

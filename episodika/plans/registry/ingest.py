@@ -298,3 +298,22 @@ def fetch_resume(spark, sf_dir):
 def fetch_resume_top_first(spark, sf_dir):
     series, ledger = series_and_ledger(spark, sf_dir)
     return seed.work_list(series, ledger, "fetch", top=100)
+
+
+@query(
+    "number_with_nulls",
+    """WITH o AS (SELECT CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS series_id, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS day, o_orderkey FROM orders)
+    SELECT o_orderkey, row_number() OVER w AS n, max(o_orderkey) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM o
+    WINDOW w AS (PARTITION BY series_id ORDER BY day NULLS FIRST, o_orderkey)""",
+)
+def number_with_nulls(spark, sf_dir):
+    """Rows without a series are one group, rows without a date come first; none is lost and no number left out."""
+    from episodika.operators.sequence import running_max
+
+    o = table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("series_id"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.to_date("o_orderdate")).alias("day"), "o_orderkey",
+    )
+    order, bucket = [F.col("day"), F.col("o_orderkey")], F.trunc("day", "quarter")
+    rows = align.number_from_one(o, {"n": "series_id"}, order, bucket)
+    return running_max(rows, "series_id", order, F.col("o_orderkey"), "top", bucket).select("o_orderkey", "n", "top")

@@ -191,7 +191,7 @@ def wrong_wiki_rejection(spark, sf_dir):
     """WITH cast_ AS (SELECT l_suppkey AS series_id, l_orderkey AS abs_ep, array_to_string(list_sort(regexp_extract_all(lower(p_name), '[a-z0-9]+')), ' ') AS name_key
        FROM lineitem JOIN part ON p_partkey = l_partkey),
     f AS (SELECT series_id, name_key, min(abs_ep) AS first_abs_ep FROM cast_ GROUP BY 1, 2),
-    ch AS (SELECT DISTINCT s_suppkey AS series_id, split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1) AS name FROM supplier, (SELECT DISTINCT p_name FROM part WHERE p_size < 3))
+    ch AS (SELECT DISTINCT l_suppkey + l_orderkey % 2 AS series_id, split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1) AS name FROM lineitem JOIN part ON p_partkey = l_partkey)
     SELECT series_id, name, first_abs_ep FROM ch LEFT JOIN f ON f.series_id = ch.series_id AND f.name_key = array_to_string(list_sort(regexp_extract_all(lower(name), '[a-z0-9]+')), ' ')"""
     .replace("SELECT series_id, name, first_abs_ep FROM ch", "SELECT ch.series_id, name, first_abs_ep FROM ch"),
 )
@@ -201,13 +201,10 @@ def character_debuts(spark, sf_dir):
     # a name's key is computed once per part, not once per line
     keys = p.select("p_partkey", t.name_key("p_name").alias("name_key"))
     cast = line.join(keys, "p_partkey").select(F.col("l_suppkey").alias("series_id"), F.col("l_orderkey").alias("abs_ep"), "name_key")
-    names = p.filter("p_size < 3").select(
-        F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(", "), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("name")
-    ).distinct()
-    listed = names.agg(F.collect_set("name").alias("names"))
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("series_id"))
-    characters = suppliers.withColumn("name", F.explode(listed.scalar()))
-    characters = characters.withColumn("name_key", t.name_key("name"))
+    # names of every series that has the part, half of them under the next series, where some never appear
+    name = F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(", "), F.split_part("p_name", F.lit(" "), F.lit(1)))
+    names = p.select("p_partkey", name.alias("name"), t.name_key(name).alias("name_key"))
+    characters = line.join(names, "p_partkey").select((F.col("l_suppkey") + F.col("l_orderkey") % 2).alias("series_id"), "name", "name_key").distinct()
     return linkage.debuts(characters, cast).select("series_id", "name", "first_abs_ep")
 
 
@@ -215,7 +212,7 @@ def character_debuts(spark, sf_dir):
     "wiki_discovery",
     """WITH c AS (SELECT o_custkey AS series_id, 's' || (o_orderkey % 600) AS slug, CASE WHEN o_orderstatus = 'P' THEN 'id' WHEN o_orderpriority = '1-URGENT' THEN 'title' ELSE 'guess' END AS how,
       o_orderkey AS place, 20 AS total FROM orders),
-    probes AS (SELECT 's' || p_partkey AS slug, CASE WHEN p_size > 10 THEN 'Anime Episodes' END AS category, CASE WHEN p_size > 10 THEN p_size END AS pages FROM part WHERE p_partkey < 500),
+    probes AS (SELECT 's' || p_partkey AS slug, CASE WHEN p_size > 10 THEN 'Anime Episodes' END AS category, CASE WHEN p_size > 10 THEN p_size END AS pages FROM part),
     taken AS (SELECT 's' || s_suppkey AS slug FROM supplier),
     f AS (SELECT c.*, category, coalesce(pages, 0) AS pages FROM c JOIN probes USING (slug) LEFT JOIN taken k USING (slug)
       WHERE how <> 'guess' OR (category IS NOT NULL AND pages <= 52 AND k.slug IS NULL AND pages >= 10)),
@@ -230,7 +227,7 @@ def wiki_discovery(spark, sf_dir):
         F.col("o_orderkey").alias("place"), F.lit(20).alias("total"),
     )
     big = F.col("p_size") > 10
-    probes = table(spark, sf_dir, "part").filter("p_partkey < 500").select(
+    probes = table(spark, sf_dir, "part").select(
         F.concat(F.lit("s"), "p_partkey").alias("slug"), F.when(big, "Anime Episodes").alias("category"), F.when(big, F.col("p_size")).alias("pages")
     )
     shared = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("slug"))
@@ -307,7 +304,7 @@ def builder_inputs(spark, sf_dir):
         F.concat(F.lit("https://w.fandom.com/wiki/Page_"), "doc_id").alias("fandom_url"), F.when(F.col("n_chars") >= 300, F.col("text")).alias("plot"),
     )
     streaming = d.select("source", "lang").distinct().select(
-        F.col("source").alias("series_id"), F.ascii(F.substring("lang", 1, 1)).alias("tmdb_season"), none.alias("season_name"), F.array("lang", F.lit("P")).alias("flatrate"),
+        F.col("source").alias("series_id"), (F.ascii(F.substring("lang", 1, 1)) * 1000 + F.ascii(F.substring("lang", 2, 1))).alias("tmdb_season"), none.alias("season_name"), F.array("lang", F.lit("P")).alias("flatrate"),
         F.lit("2026-10-01").cast("date").alias("checked_at"), none.alias("link"),
     )
     return series, entries, characters, episodes, streaming
@@ -335,17 +332,14 @@ HEAD_SQL = "'Show ' || source || ' ' || CASE WHEN lang = 'en' THEN (doc_id // 10
     firsts AS (SELECT source, arg_min(text, doc_id) AS d FROM documents GROUP BY 1),
     su AS (SELECT source || ':summary:e' || source AS chunk_id, 'summary' AS type, CAST(NULL AS INTEGER) AS abs_ep,
       {sql_clean_markup("'Show ' || source || ' — Show ' || source || ' (2000)' || chr(10) || '다른 이름: S' || source || chr(10) || '장르: G' || chr(10) || d")} AS text FROM firsts),
-    st AS (SELECT source || ':streaming:s' || ascii(substr(lang, 1, 1)) AS chunk_id, 'streaming' AS type, CAST(NULL AS INTEGER) AS abs_ep,
-      'Show ' || source || ' ' || ascii(substr(lang, 1, 1)) || '기 국내 시청처: ' || lang || ', P (확인일 2026-10-01)' AS text FROM (SELECT DISTINCT source, lang FROM documents)
-      QUALIFY row_number() OVER (PARTITION BY source, ascii(substr(lang, 1, 1)) ORDER BY lang) > 0)
+    st AS (SELECT source || ':streaming:s' || (ascii(substr(lang, 1, 1)) * 1000 + ascii(substr(lang, 2, 1))) AS chunk_id, 'streaming' AS type, CAST(NULL AS INTEGER) AS abs_ep,
+      'Show ' || source || ' ' || (ascii(substr(lang, 1, 1)) * 1000 + ascii(substr(lang, 2, 1))) || '기 국내 시청처: ' || lang || ', P (확인일 2026-10-01)' AS text FROM (SELECT DISTINCT source, lang FROM documents))
     SELECT chunk_id, type, abs_ep, md5(head || chr(10) || b) AS digest FROM r WHERE pick = 1
     UNION ALL SELECT chunk_id, type, abs_ep, md5(text) FROM su
-    UNION ALL SELECT chunk_id, type, abs_ep, md5(min(text)) FROM st WHERE chunk_id NOT LIKE '%:s101' GROUP BY 1, 2, 3""",
+    UNION ALL SELECT chunk_id, type, abs_ep, md5(min(text)) FROM st GROUP BY 1, 2, 3""",
 )
 def chunk_builder(spark, sf_dir):
     series, entries, characters, episodes, streaming = builder_inputs(spark, sf_dir)
-    # en and es share their first letter, i.e. a season number; a season has one row
-    streaming = streaming.filter("tmdb_season <> 101")
     rows = chunks.build_chunks(series, entries, characters, episodes, streaming)
     return rows.select("chunk_id", "type", "abs_ep", F.md5("text").alias("digest"))
 

@@ -283,3 +283,30 @@ def keyword_stemmed_topk(spark, sf_dir):
         types=["event"],
     )
     return hits.select("chunk_id", "series_id", "abs_ep", score6())
+
+
+@query(
+    "gate_repeated_watched",
+    f"""WITH {VECTOR_CHUNKS_SQL}, seen AS (SELECT 's' || label AS series_id, max(vec_id % 37) AS seen_ep FROM embeddings WHERE label <> 3 GROUP BY 1)
+    SELECT chunk_id, abs_ep FROM chunks LEFT JOIN seen USING (series_id) WHERE abs_ep IS NULL OR abs_ep <= coalesce(seen_ep, 1)""",
+)
+def gate_repeated_watched(spark, sf_dir):
+    """A record table that holds every series many times: the furthest position counts and no chunk comes twice."""
+    e = table(spark, sf_dir, "embeddings").filter("label <> 3")
+    seen = e.select(F.concat(F.lit("s"), "label").alias("series_id"), (F.col("vec_id") % 37).cast("int").alias("seen_ep"))
+    return gate.visible(vector_chunks(spark, sf_dir), watched=seen, unrecorded=1).select("chunk_id", "abs_ep")
+
+
+@query(
+    "vector_topk_1024",
+    f"""WITH {VECTOR_CHUNKS_SQL}, q AS (SELECT list_transform(embedding, lambda x: x) AS v FROM chunks WHERE vec_id = 5),
+    s AS (SELECT chunk_id, list_cosine_similarity(embedding, (SELECT v FROM q)) AS score FROM chunks WHERE type = 'event' AND vec_id % 11 <> 0)
+    SELECT chunk_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, chunk_id LIMIT 30""",
+)
+def vector_topk_1024(spark, sf_dir):
+    """Vectors as long as the product's, made of repeats of the stored ones, which leaves angles as they are; a few have lost their last value."""
+    chunks = vector_chunks(spark, sf_dir)
+    long = F.flatten(F.array_repeat("embedding", 1024 // 64))
+    chunks = chunks.withColumn("embedding", F.when(F.col("vec_id") % 11 == 0, F.slice(long, 1, 1023)).otherwise(long))
+    hits = vectors.search(chunks, vector_of(spark, sf_dir, 5) * 16, watched={}, unrecorded=ALL_EPISODES, types=["event"], k=30)
+    return hits.select("chunk_id", F.round("score", 6).alias("score"))

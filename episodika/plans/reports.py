@@ -135,8 +135,10 @@ def service_ids(series: DataFrame, episodes: DataFrame, fill: float = DEFAULTS.m
 
 
 def as_markdown(rows: DataFrame, limit: int = 1_000) -> str:
-    """Report text of a bounded report frame."""
-    data = rows.limit(limit).collect()
+    """Report text of a bounded report frame; more rows than ``limit`` are an error, never a silent cut."""
+    data = rows.take(limit + 1)
+    if len(data) > limit:
+        raise ValueError(f"more than {limit} rows where a bounded report is expected")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
     lines += ["| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in data]
     return "\n".join(lines) + "\n"

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from episodika.functions.text import source_id
 from episodika.operators.align import order_entries
 
-# Hosts of the two id systems and caps of stored lists.
+# Hosts of the two id systems.
 HOST_A, HOST_B = "anilist.co", "myanimelist.net"
-MAX_SYNONYMS = MAX_TAGS = 40
 UPCOMING = "UPCOMING"
 
 
@@ -22,8 +21,8 @@ def with_ids(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def seed_entries(catalogue: DataFrame, id_map: DataFrame, types: Sequence[str]) -> DataFrame:
-    """Entries with their series id, before ordering.
+def seed_entries(catalogue: DataFrame, id_map: DataFrame, types: Sequence[str], most_listed: int | None = None) -> DataFrame:
+    """Entries with their series id, before ordering. ``most_listed`` shortens the lists of synonyms and tags; None keeps all.
 
     ``catalogue``: title, type, status, sources, synonyms, tags, year, season_of_year, episodes.
     ``id_map``: id_a, id_b, tv_id, tvdb_id, tmdb_season, tmdb_offset, tvdb_season, tvdb_offset. The first id decides the
@@ -42,6 +41,10 @@ def seed_entries(catalogue: DataFrame, id_map: DataFrame, types: Sequence[str])
     rows = rows.withColumn("m_id", F.when(F.col("id_a").isNull(), F.col("m.id_a"))).join(present, "m_id", "left")
     rows = rows.filter(F.col("present").isNull())
 
+    def listed(name: str) -> Column:
+        values = F.coalesce(name, F.array().cast("array<string>"))
+        return (values if most_listed is None else F.slice(values, 1, most_listed)).alias(name)
+
     key = F.when(F.col("id_a").isNotNull(), F.concat(F.lit("anilist:"), "id_a")).otherwise(F.concat(F.lit("mal:"), "id_b"))
     tv = F.nullif(F.col("m.tv_id"), F.lit(0))
     in_main_line = tv.isNotNull() & (F.coalesce(F.col("m.tmdb_season"), F.lit(-1)) != 0)
@@ -49,8 +52,8 @@ def seed_entries(catalogue: DataFrame, id_map: DataFrame, types: Sequence[str])
         key.alias("entry_key"),
         F.when(in_main_line, F.concat(F.lit("tmdb:"), tv)).otherwise(F.concat(F.lit("entry:"), key)).alias("series_id"),
         "id_a", "id_b", "type", "status", "title",
-        F.slice(F.coalesce("synonyms", F.array().cast("array<string>")), 1, MAX_SYNONYMS).alias("synonyms"),
-        F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, MAX_TAGS).alias("tags"),
+        listed("synonyms"),
+        listed("tags"),
         "year", "season_of_year", F.nullif("episodes", F.lit(0)).alias("episodes"),
         F.col("m.tmdb_season").alias("tmdb_season"), F.col("m.tmdb_offset").alias("tmdb_offset"),
         F.col("m.tvdb_season").alias("tvdb_season"), F.col("m.tvdb_offset").alias("tvdb_offset"),

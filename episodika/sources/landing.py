@@ -5,12 +5,14 @@ Nothing here opens a connection by itself: live fetching runs an injected functi
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from episodika.operators.merge import upsert
+from episodika.session import cut_lineage
 
 RAW_SCHEMA = T.StructType(
     [
@@ -113,21 +115,28 @@ def after_mark(listing: DataFrame, marks: DataFrame) -> DataFrame:
     return joined.filter(F.col("_mark").isNull() | (key("title") > key("_mark"))).drop("_mark")
 
 
-def category_pages(tree: DataFrame, members: DataFrame, root: str, expected: int, max_depth: int = 2, max_categories: int = 40) -> DataFrame:
-    """Pages of a category, going down to sub-categories level by level while under half of the expected pages are found.
+def category_pages(
+    tree: DataFrame, members: DataFrame, root: str, expected: int | None = None, max_depth: int | None = None, max_categories: int | None = None
+) -> DataFrame:
+    """Pages of a category and of all categories below it, opened level by level.
 
-    ``tree``: parent, child. ``members``: category, title. At most two more levels and forty categories are opened.
+    ``tree``: parent, child. ``members``: category, title. With ``expected`` the descent ends once half as many pages are
+    found; ``max_depth`` and ``max_categories`` bound it; None leaves it complete.
     """
     opened = tree.sparkSession.createDataFrame([(root, 0)], "category string, depth int")
-    for depth in range(1, max_depth + 1):
-        found = members.join(opened.select("category"), "category", "left_semi").select("title").distinct()
-        if found.limit(max(1, -(-expected // 2))).count() * 2 >= expected:
-            break
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
+        if expected is not None:
+            found = members.join(opened.select("category"), "category", "left_semi").select("title").distinct()
+            if found.limit(max(1, -(-expected // 2))).count() * 2 >= expected:
+                break
         level = opened.filter(F.col("depth") == depth - 1).select(F.col("category").alias("parent"))
         below = tree.join(level, "parent").select(F.col("child").alias("category")).distinct()
         below = below.join(opened.select("category"), "category", "left_anti").orderBy("category")
-        room = max_categories - opened.count()
-        opened = opened.unionByName(below.limit(max(room, 0)).withColumn("depth", F.lit(depth)))
+        if max_categories is not None:
+            below = below.limit(max(max_categories - opened.count(), 0))
+        if below.isEmpty():
+            break
+        opened = cut_lineage(opened.unionByName(below.withColumn("depth", F.lit(depth))))
     return members.join(opened.select("category"), "category", "left_semi")
 
 

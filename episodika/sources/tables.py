@@ -1,4 +1,4 @@
-"""Tables as versioned parquet folders: readers always see a finished version, a failed write leaves the old one."""
+"""Tables as parquet folders cut into buckets by key: a change rewrites the buckets it touches."""
 
 from __future__ import annotations
 
@@ -6,51 +6,34 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-_COMMITS = T.StructType([T.StructField("version", T.LongType()), T.StructField("batch", T.LongType())])
-
-
-class Table:
-    """``<path>/data/v<N>`` holds version N, ``<path>/commits`` one row per finished version."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.partition_by, self.sort_by = list(partition_by), list(sort_by)
-
-    def _commits(self) -> list[tuple[int, int]]:
-        folder = f"{self.path}/commits"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return []
-        # one row per version ever written
-        return sorted((r["version"], r["batch"]) for r in self.spark.read.schema(_COMMITS).parquet(folder).collect())
-
-    def version(self) -> int:
-        commits = self._commits()
-        return commits[-1][0] if commits else 0
-
-    def has_batch(self, batch: int) -> bool:
-        return any(b == batch for _, b in self._commits())
-
-    def read(self) -> DataFrame:
-        version = self.version()
-        if version == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/v{version}")
-
-    def write(self, df: DataFrame, batch: int = -1) -> int:
-        """Writes the next version and publishes it. Columns are added, never dropped; missing ones become NULL."""
-        version = self.version() + 1
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
-        rows = df.select(*columns)
-        if self.sort_by:
-            rows = rows.sortWithinPartitions(*self.sort_by)
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/data/v{version}")
-        self.spark.createDataFrame([(version, batch)], _COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
-        return version
-
-    def change(self, plan: Callable[[DataFrame], DataFrame], batch: int = -1) -> int:
-        return self.write(plan(self.read()), batch)
+BUCKET = "_bucket"
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows stored under ``path``; none where nothing was written yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema.add(BUCKET, T.IntegerType()) if BUCKET not in schema.fieldNames() else schema).parquet(path).drop(BUCKET)
+
+
+def change_table(
+    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], changes: DataFrame, plan: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 64
+) -> None:
+    """Applies ``plan(stored rows, changes)`` to the buckets that hold a changed key; the others are not read or written.
+
+    Spark replaces the written buckets when the job commits, so a failed change leaves the old rows. ``plan`` must give the same rows
+    when the same changes come again. Columns are added, never dropped; missing ones become NULL.
+    """
+    bucket = F.pmod(F.hash(*keys), F.lit(buckets)).cast("int")
+    touched = [row[0] for row in changes.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
+    stored = read_table(spark, path, schema).filter(bucket.isin(touched)) if buckets > len(touched) else read_table(spark, path, schema)
+    rows = plan(stored, changes)
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != BUCKET]
+    rows = rows.select(*columns).withColumn(BUCKET, bucket)
+    rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

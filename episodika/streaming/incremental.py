@@ -1,4 +1,4 @@
-"""Incremental runs on Structured Streaming: new files in, keyed tables out, each batch applied exactly once."""
+"""Incremental runs on Structured Streaming: new files in, keyed tables out, with the same result when a batch comes again."""
 
 from __future__ import annotations
 
@@ -8,11 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from episodika.operators import merge
-from episodika.sources.tables import Table
+from episodika.sources.tables import change_table
 
 # Fixed value: a source is left alone after this many failures in a row.
 MAX_ERRORS_IN_A_ROW = 8
-MAX_DETAIL = 500
 
 
 def changes_from(spark: SparkSession, folder: str, schema: T.StructType, pattern: str | None = None, files_per_batch: int = 1_000) -> DataFrame:
@@ -29,32 +28,32 @@ def run_available(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     query.awaitTermination()
 
 
-def upsert_into(table: Table, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None) -> Callable[[DataFrame, int], None]:
-    """Batch step: the last change of each key is merged into the table.
+def upsert_into(
+    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None, buckets: int = 64
+) -> Callable[[DataFrame, int], None]:
+    """Batch step: the last change of each key is merged into the table stored under ``path``.
 
-    A change loses against a stored one that is newer by ``order``, so replays and late files end in the same table. A
-    batch that was already published is skipped, which makes a restart after a failure harmless.
+    A change loses against a stored one that is newer by ``order``, so a batch that comes again, files that come late and several
+    streams into one table, each with its own batch numbers, all end in the same rows. Only buckets with a changed key are rewritten.
     """
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        if table.has_batch(batch_id):
-            return
-        stored = table.read()
-        last = merge.latest_per_key(batch.select(*[c for c in stored.columns if c in batch.columns]), keys, order)
+    def merged(stored: DataFrame, last: DataFrame) -> DataFrame:
         both = stored.select(*keys, F.struct(*order).alias("_at"))
         fresh = last.join(both, list(keys), "left").filter(F.col("_at").isNull() | (F.struct(*order) >= F.col("_at"))).drop("_at")
-        table.write(merge.upsert(stored, fresh, keys, columns), batch_id)
+        return merge.upsert(stored, fresh, keys, columns)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        last = merge.latest_per_key(batch.select(*[f.name for f in schema if f.name in batch.columns]), keys, order)
+        change_table(spark, path, schema, keys, last, merged, buckets)
 
     return apply
 
 
-def chunk_step(table: Table, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def chunk_step(spark: SparkSession, path: str, schema: T.StructType, order: Sequence[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """Batch step for chunks: changed texts lose their vector and wait for the next embedding run."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if table.has_batch(batch_id):
-            return
-        stored = table.read()
         last = merge.latest_per_key(batch, ["chunk_id"], order)
-        table.write(merge.upsert_chunks(stored, last.select(*[c for c in stored.columns if c != "embedding"])), batch_id)
+        last = last.select(*[f.name for f in schema if f.name != "embedding"])
+        change_table(spark, path, schema, ["chunk_id"], last, merge.upsert_chunks, buckets)
 
     return apply
 
@@ -70,7 +69,7 @@ def process(items: DataFrame, work: Callable[[dict], tuple[str, str | None]], ke
                 try:
                     status, detail = work(item)
                 except Exception as problem:  # one bad item must not stop the others
-                    status, detail = "error", f"{type(problem).__name__}: {problem}"[:MAX_DETAIL]
+                    status, detail = "error", f"{type(problem).__name__}: {problem}"
                 rows.append((str(item[key]), status, detail))
             yield pd.DataFrame(rows, columns=[key, "status", "detail"])
 

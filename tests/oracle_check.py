@@ -41,6 +41,18 @@ def plain(value):
     return value
 
 
+def family(kind: str) -> str:
+    """Kinds of values that compare alike, for the type names of both engines."""
+    kind = kind.lower()
+    for name, words in {
+        "list": ("array", "list", "[]"), "number": ("int", "long", "number", "short", "byte", "double", "float", "decimal"), "text": ("string", "varchar", "char"),
+        "flag": ("bool",), "time": ("timestamp", "datetime"), "date": ("date",), "bytes": ("binary", "blob"),
+    }.items():
+        if any(w in kind for w in words):
+            return name
+    return ""
+
+
 def normalise(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     out = [tuple(plain(r[i]) for i in order) for r in rows]
@@ -56,8 +68,11 @@ def compare(spark, con, sf_dir, name, fn, sql):
         return took, len(got[1]), "rows only" if got[1] else "NO ROWS"
     rel = con.execute(sql)
     want = normalise([d[0] for d in rel.description], rel.fetchall())
+    kinds = {d[0]: family(str(d[1])) for d in rel.description}
+    other = [f"{c} {k} / {kinds[c]}" for c, k in df.dtypes if kinds.get(c, k) and c in kinds and family(k) != kinds[c]]
     if got == want:
-        types = {d[0]: str(d[1]) for d in rel.description}
+        if other:
+            return took, len(got[1]), f"DIFFERENT types {', '.join(other)}"
         return took, len(got[1]), "ok" if got[1] else "ok BUT EMPTY"
     problem = f"columns {got[0]} / {want[0]}" if got[0] != want[0] else f"rows {len(got[1])} / {len(want[1])}"
     have, wanted = set(got[1]), set(want[1])

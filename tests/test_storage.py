@@ -86,17 +86,22 @@ def test_categories_open_level_by_level(spark):
     tree = spark.createDataFrame([("Episodes", "S1"), ("Episodes", "S2"), ("S1", "S1a")], "parent string, child string")
     members = spark.createDataFrame([("Episodes", "p0"), ("S1", "p1"), ("S2", "p2"), ("S1a", "p3")], "category string, title string")
     titles = lambda n: sorted(r["title"] for r in landing.category_pages(tree, members, "Episodes", n).collect())
-    assert titles(2) == ["p0"] and titles(6) == ["p0", "p1", "p2"] and titles(50) == ["p0", "p1", "p2", "p3"]
+    assert titles(2) == ["p0"] and titles(6) == ["p0", "p1", "p2"] and titles(50) == titles(None) == ["p0", "p1", "p2", "p3"]
 
 
-def test_tables_publish_whole_versions(spark, tmp_path):
+def test_a_change_rewrites_its_buckets_or_nothing(spark, tmp_path):
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType()), T.StructField("later", T.StringType())])
-    stored = tables.Table(spark, str(tmp_path / "t"), schema)
-    assert stored.read().isEmpty()
-    stored.write(spark.createDataFrame([(1, "a")], "k long, v string"), batch=0)
+    path = str(tmp_path / "t")
+    read = lambda: rows_of(tables.read_table(spark, path, schema), "k")
+    assert read() == []
+    add = lambda stored, changes: stored.unionByName(changes, allowMissingColumns=True)
+    tables.change_table(spark, path, schema, ["k"], spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), add, buckets=4)
     with pytest.raises(Exception):
-        stored.change(lambda df: df.withColumn("v", F.raise_error(F.lit("boom"))))
-    assert rows_of(stored.read(), "k") == [(1, "a", None)] and stored.has_batch(0) and not stored.has_batch(1)
+        fail = lambda stored, changes: stored.withColumn("v", F.raise_error(F.lit("boom")))
+        tables.change_table(spark, path, schema, ["k"], spark.createDataFrame([(1, "x")], "k long, v string"), fail, buckets=4)
+    assert read() == [(1, "a", None), (2, "b", None)]
+    tables.change_table(spark, path, schema, ["k"], spark.createDataFrame([], "k long, v string"), add, buckets=4)
+    assert read() == [(1, "a", None), (2, "b", None)]
     broken = tables.violations(spark.createDataFrame([(1, -1), (1, None)], "k int, v int"), ["k"], ["v"], {"v positive": "v >= 0"})
     assert {r["constraint"]: r["n"] for r in broken.collect()} == {"unique key": 1, "v not null": 1, "v positive": 1}
 
@@ -108,14 +113,16 @@ def test_streamed_changes_end_in_the_same_table_in_any_order(spark, tmp_path):
     results = []
     for name, order in (("x", (first, late)), ("y", (late, first))):
         folder = tmp_path / name
-        stored = tables.Table(spark, str(folder / "table"), schema)
+        apply = incremental.upsert_into(spark, str(folder / "table"), schema, ["k"], ["at"], buckets=4)
         for part in order:
             part.coalesce(1).write.mode("append").parquet(str(folder / "in"))
             stream = incremental.changes_from(spark, str(folder / "in"), schema)
-            incremental.run_available(stream, incremental.upsert_into(stored, ["k"], ["at"]), str(folder / "checkpoint"))
-        incremental.upsert_into(stored, ["k"], ["at"])(late, 0)
-        results.append(rows_of(stored.read(), "k"))
-    assert results[0] == results[1] == [(1, 5, "new"), (2, 3, "c"), (3, 1, "d")]
+            incremental.run_available(stream, apply, str(folder / "checkpoint"))
+        apply(late, 0)
+        # another stream with a batch of the same number
+        apply(spark.createDataFrame([(4, 1, "other")], schema), 0)
+        results.append(rows_of(tables.read_table(spark, str(folder / "table"), schema), "k"))
+    assert results[0] == results[1] == [(1, 5, "new"), (2, 3, "c"), (3, 1, "d"), (4, 1, "other")]
 
 
 def test_one_bad_item_does_not_stop_the_others(spark):
