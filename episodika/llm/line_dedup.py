@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from episodika.llm.common import BLANKS, ascii_lower, replace_columns, whole
+from episodika.session import cut_lineage
 
 #: parts into which the lines of one hash are dealt, by document
 SALTS = 256
@@ -52,13 +53,15 @@ def line_keep_runs(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text
     lines = base.select(F.col(id).alias("doc"), F.col("_row").alias("row"), F.posexplode(F.split(whole(text), "\n", -1)).alias("pos", "line"))
     keys = lines.select("doc", "row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     keys = keys.select("doc", "row", "pos", F.unhex(F.md5("key")).alias("hash"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
+    keys = cut_lineage(keys)  # texts are cut into lines once; hashes are sampled, sorted and joined from here
     ranged = keys.repartitionByRange("hash", "salt")
     stream = Window.partitionBy("hash", "salt").orderBy(F.desc_nulls_last("doc"), "pos")
     firsts = ranged.select(
         "hash", "doc", ((F.row_number().over(stream) == 1) | ~F.lag("doc").over(stream).eqNullSafe(F.col("doc"))).alias("first")
     ).where("first")
     repeated = firsts.groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    dropped = ranged.join(repeated.select("hash", "keeper"), "hash").where(~F.col("doc").eqNullSafe(F.col("keeper")))
+    repeated = cut_lineage(repeated.select("hash", "keeper"))  # on its own the join can split a line that very many documents hold
+    dropped = keys.join(repeated, "hash").where(~F.col("doc").eqNullSafe(F.col("keeper")))
     dropped = dropped.groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("_dropped"))
     dropped = dropped.withColumnsRenamed({"doc": "_doc", "row": "_drow"})
     joined = base.join(dropped, base[id].eqNullSafe(dropped["_doc"]) & (base["_row"] == dropped["_drow"]), "left")
