@@ -1,3 +1,58 @@
-"""SQL that checks the queries of this subpackage."""
+"""SQL that checks the queries of this subpackage, where SQL can express them."""
 
-ORACLES: dict[str, str] = {}
+from episodika.llm import chats, secrets
+from episodika.llm.common import LOWER, UPPER
+
+_LOWER = f"translate({{}}, '{UPPER}', '{LOWER}')"
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINE_DEDUP = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, {_LOWER.format(f"trim(line, {_BLANKS})")} AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, k.line, k.pos, r.keeper IS NOT NULL AND k.doc_id <> r.keeper AS dropped FROM k LEFT JOIN r ON r.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+EXACT_DEDUP = f"""WITH n AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON g.t = n.t"""
+
+_SHOWN = "replace(replace({}, '" + chats.START + "', '<im_start>'), '" + chats.END + "', '<im_end>')"
+
+CHATS = f"""WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT conv_id, turn, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS total,
+  sha256(string_agg(turn || chr(1) || role || chr(2) || text, chr(3)) OVER (w ROWS UNBOUNDED PRECEDING)) AS prefix FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+e AS (SELECT total AS n, prefix, min(conv_id) AS conv_id, count(*) AS copies FROM s WHERE n = total GROUP BY 1, 2),
+m AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.n < s.total AND s.n = e.n AND s.prefix = e.prefix))
+SELECT t.conv_id, t.turn // {chats.PART} AS part, any_value(m.n) AS turns, any_value(copies) AS copies, count(*) AS n_turns,
+  string_agg('{chats.START}' || {_SHOWN.format("role")} || chr(10) || {_SHOWN.format("text")} || '{chats.END}' || chr(10), '' ORDER BY turn) AS rendered
+FROM t JOIN m ON m.conv_id = t.conv_id GROUP BY 1, 2"""
+
+
+def _found(pattern: str, group: int, rank: int) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return (
+        f"SELECT doc_id, {rank} AS rank, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS v, regexp_split_to_array(t, {p}) AS g "
+        f"FROM d WHERE regexp_matches(t, {p})"
+    )
+
+
+_PAIRS = " OR ".join(f"(w.r = {weak} AND o.r IN ({', '.join(map(str, needs))}))" for weak, needs in secrets.PARTNERS.items())
+_NAMED = f"([{', '.join(repr(k) for k in secrets.KINDS)}])[r + 1] || ':' || s || ':' || e"
+
+SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_found(*x) for x in [(secrets.ASSIGN, 1, 0), (secrets.ACCESS, 0, 1), (secrets.HEX, 0, 2), (secrets.LOGIN, 1, 4), (secrets.ENDPOINT, 0, 5)])}),
+u AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM f),
+p AS (SELECT doc_id, rank, length(m[i]) AS len, length(v[i]) AS size, sum(length(g[i]) + length(m[i])) OVER (PARTITION BY doc_id, rank ORDER BY i) AS e FROM u),
+c AS (SELECT doc_id, CAST(e - len AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CASE WHEN rank = 0 AND size < {secrets.ASSIGN_CHARS} THEN CASE WHEN size >= {secrets.WEAK_CHARS} THEN 3 END
+  WHEN rank = 1 AND size < {secrets.ACCESS_CHARS} THEN NULL ELSE rank END AS r FROM p),
+a AS (SELECT * FROM c WHERE r < 3 UNION ALL SELECT * FROM c w WHERE r >= 3 AND EXISTS (SELECT 1 FROM c o WHERE o.doc_id = w.doc_id
+  AND o.s <= w.e + {secrets.SCOPE} AND o.e >= w.s - {secrets.SCOPE} AND ({_PAIRS}))),
+x AS (SELECT doc_id, count(*) FILTER (WHERE r = 0) AS n_assign, count(*) FILTER (WHERE r = 1) AS n_access, count(*) FILTER (WHERE r = 2) AS n_hex,
+  string_agg({_NAMED}, ',' ORDER BY s, r) FILTER (WHERE r < 3) AS base, string_agg({_NAMED}, ',' ORDER BY s, r) AS spans FROM a GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x ON x.doc_id = d.doc_id"""
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": LINE_DEDUP, "op3_secret_scans": SECRETS, "op6_chat_formatting": CHATS, "op9_exact_dedup": EXACT_DEDUP,
+}
