@@ -4,7 +4,8 @@ A word's probability is its discounted share of the training tokens plus, with t
 lattice of subword pieces gives it: a first piece, further pieces, an end. All segmentations count; their sum is a forward
 recursion in log space. The pieces are an existing vocabulary whose scores (ranks) give the first weights; expectation steps over the distinct training
 words - forward and backward sums, added up per piece - fit them to the corpus. What comes to the driver is one number for each piece of the vocabulary and
-a few totals; words, counts and scores stay tables. Scores of distinct words meet the documents in a join.
+a few totals, and the scores of the ``COMMON`` commonest words, which texts need not move to meet; all other words, their counts and scores stay tables,
+and meet the texts in a join.
 
 Texts keep to a language: each of the ``CLASSES`` commonest labels of the training rows has word shares and a lattice of its own, discounted in
 the same way towards the shares of all rows, and a text's score is the log of its probabilities under the classes, weighted and added up. No label is
@@ -35,6 +36,8 @@ from episodika.session import cut_lineage
 FOLDS, HELD_OUT, ROUNDS = 5, 1, 2
 #: commonest labels that have word shares of their own
 CLASSES = 8
+#: commonest words, whose scores every task gets; words that a counting task holds before it passes counts on
+COMMON, HELD_WORDS = 20_000, 300_000
 #: share of a class's freed mass that goes to its own lattice; the rest goes to the shares of all rows
 OWN_LATTICE = 0.8
 #: stands for a text's end among the words, which are never empty; its share of the base that discounting falls back on
@@ -147,32 +150,72 @@ def classes_of(docs: DataFrame, label: str | None, most: int = CLASSES) -> list[
     return [row[0] for row in rows.orderBy(F.desc("n"), label).limit(most).collect()]
 
 
-def word_counts(docs: DataFrame, labels: list[str], label: str | None, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """key (one per row), doc_id, held_out, class (-1: none), word, times: distinct words of each text and its end."""
+def _texts(docs: DataFrame, labels: list[str], label: str | None, text: str, id: str) -> DataFrame:
+    """doc_id, held_out, class (-1: none), text."""
     held = F.coalesce(F.pmod(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     group = F.coalesce(F.array_position(F.array(*map(F.lit, labels)), F.col(label)).cast("int") - 1, F.lit(-1)) if labels else F.lit(-1)
-    base = docs.select(F.col(id).alias("doc_id"), held.alias("held_out"), group.alias("class"), whole(text).alias("text"))
-    kind = dict(base.dtypes)["doc_id"]
-    carried = ["doc_id", "held_out", "class"]
+    return docs.select(F.col(id).alias("doc_id"), held.alias("held_out"), group.alias("class"), whole(text).alias("text"))
+
+
+def _tokens(text: str) -> list[bytes]:
+    return [*text.encode().lower().split(), b""]
+
+
+def vocabulary_counts(texts: DataFrame, n_classes: int, held_words: int = HELD_WORDS) -> DataFrame:
+    """word, c, c0, c1, ...: how often each word stands in training texts and in those of each class; words of other texts too.
+
+    A task adds up its own texts and passes counts on whenever it holds ``held_words`` words.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counters: dict[tuple[bool, int], Counter] = {}
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for (held, group), counter in counters.items():
+                yield pd.DataFrame({"word": [w.decode() for w in counter], "class": group, "n": [0] * len(counter) if held else list(counter.values())})
+            counters.clear()
+
+        for batch in batches:
+            for held, group, content in zip(batch["held_out"], batch["class"], batch["text"], strict=True):
+                counters.setdefault((held, -1 if held else group), Counter()).update(_tokens(content))
+                if sum(map(len, counters.values())) > held_words:
+                    yield from flush()
+        yield from flush()
+
+    rows = texts.mapInPandas(count, "word string, class int, n long")
+    own = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(n_classes)]
+    return rows.groupBy("word").agg(F.sum("n").alias("c"), *own)
+
+
+def text_sums(texts: DataFrame, common: pd.DataFrame, columns: list[str]) -> DataFrame:
+    """One row per text: key, doc_id, held_out, n_tokens, the sums of ``columns`` over its common words, its other words and their times.
+
+    ``common`` (word and ``columns``) is bounded: the words that most texts share need not move at all.
+    """
+    kind = dict(texts.dtypes)["doc_id"]
+    index = {w.encode(): i for i, w in enumerate(common["word"])}
+    table = np.vstack([common[columns].to_numpy(float), np.zeros(len(columns))])
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = TaskContext.get().partitionId() << 36
         for batch in batches:
-            words, times, rows = [], [], []
+            sums, words, times, sizes = np.zeros((len(batch), len(columns))), [], [], []
             for n, content in enumerate(batch["text"]):
-                counts = Counter(content.encode().lower().split())
-                counts[b""] = 1
-                words += [w.decode() for w in counts]
-                times += counts.values()
-                rows.append(len(counts))
-                if len(words) > 100_000 or n == len(batch) - 1:
-                    which = np.repeat(np.arange(n + 1 - len(rows), n + 1), rows)
-                    keys = np.repeat(np.arange(key, key + len(rows)), rows)
-                    yield pd.DataFrame({"key": keys, **{c: batch[c].to_numpy()[which] for c in carried}, "word": words, "times": times})
-                    key += len(rows)
-                    words, times, rows = [], [], []
-
-    return base.mapInPandas(count, f"key long, doc_id {kind}, held_out boolean, class int, word string, times long")
+                tokens = _tokens(content)
+                counts = Counter(tokens)
+                found = np.fromiter((index.get(w, -1) for w in counts), np.int64, len(counts))
+                often = np.fromiter(counts.values(), np.int64, len(counts))
+                sums[n] = often @ table[found]
+                rest = [(w, t) for w, t, i in zip(counts, often.tolist(), found.tolist(), strict=True) if i < 0]
+                words.append([w.decode() for w, _ in rest])
+                times.append([t for _, t in rest])
+                sizes.append(len(tokens))
+            out = pd.DataFrame({"key": range(key, key + len(batch)), "doc_id": batch["doc_id"].to_numpy(), "held_out": batch["held_out"].to_numpy(), "n_tokens": sizes, "words": words, "times": times})
+            key += len(batch)
+            yield out.assign(**{c: sums[:, i] for i, c in enumerate(columns)})
+
+    schema = f"key long, doc_id {kind}, held_out boolean, n_tokens long, words array<string>, times array<long>"
+    return texts.mapInPandas(add_up, schema + "".join(f", {c} double" for c in columns))
 
 
 Weights = tuple[np.ndarray, float]
@@ -220,10 +263,8 @@ def lm_scores(
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``."""
     path = path or vocabulary_path("piece_bpe_32k.model")
     labels = classes_of(docs, label)
-    counts = word_counts(docs, labels, label, text, id)
-    trained = F.when(F.col("held_out"), 0).otherwise(F.col("times"))
-    own = [F.sum(F.when(F.col("class") == k, trained).otherwise(0)).alias(f"c{k}") for k in range(len(labels))]
-    vocab = cut_lineage(counts.groupBy("word").agg(F.sum(trained).alias("c"), *own))
+    texts = _texts(docs, labels, label, text, id)
+    vocab = cut_lineage(vocabulary_counts(texts, len(labels)))
     columns = [f"c{k}" for k in range(len(labels))] or ["c"]
     sums = [f(c) for c in columns for f in (F.sum, lambda c: F.count_if(F.col(c) > 0))]
     ends = [F.sum(F.when(F.col("word") == END, F.col(c)).otherwise(0)) for c in columns]
@@ -255,11 +296,17 @@ def lm_scores(
     names = [f"p{k}" for k in range(len(columns))]
     scored = vocab.mapInPandas(score, "word string, c long, " + ", ".join(f"{n} double" for n in names))
     base = F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
-    sums = counts.join(scored, "word").groupBy("key", "doc_id", "held_out").agg(
-        F.sum("times").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("times") * base).alias("base_score"), *[F.sum(F.col("times") * F.col(n)).alias(n) for n in names],
-    )
+    scored = cut_lineage(scored.select("word", "c", (F.col("c") > 0).cast("double").alias("n_known"), base.alias("base_score"), *names))
+    columns = ["n_known", "base_score", *names]
+    common = scored.orderBy(F.desc("c"), "word").limit(COMMON).toPandas()
+    rows = cut_lineage(text_sums(texts, common, columns))
+    others = rows.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    others = others.join(scored, "word").groupBy("key").agg(*[F.sum(F.col("times") * F.col(c)).alias(f"other_{c}") for c in columns])
+    rows = rows.drop("words", "times").join(others, "key", "left")
+    sums = rows.withColumns({c: F.col(c) + F.coalesce(f"other_{c}", F.lit(0.0)) for c in columns})
     each = F.array(*[F.col(n) + float(p) for n, p in zip(names, log_class, strict=True)])
     top = F.array_max(each)
     score_sum = top + F.log10(F.aggregate(each, F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - top)))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", score_sum.alias("score"))
+    return sums.select(
+        "doc_id", "held_out", "n_tokens", F.round("n_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), "base_score", score_sum.alias("score")
+    )
