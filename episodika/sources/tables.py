@@ -14,7 +14,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema.add(BUCKET, T.IntegerType()) if BUCKET not in schema.fieldNames() else schema).parquet(path).drop(BUCKET)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path).drop(BUCKET)
 
 
 def change_table(
@@ -31,7 +31,7 @@ def change_table(
         return
     stored = read_table(spark, path, schema).filter(bucket.isin(touched)) if buckets > len(touched) else read_table(spark, path, schema)
     rows = plan(stored, changes)
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != BUCKET]
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
     rows = rows.select(*columns).withColumn(BUCKET, bucket)
     rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
