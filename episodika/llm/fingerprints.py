@@ -144,4 +144,5 @@ def near_links(compared: DataFrame, radius: int = RADIUS) -> DataFrame:
 def document_fingerprints(docs: DataFrame, radius: int = RADIUS, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id, n_links."""
     compared = cut_lineage(compare_documents(docs, text, id))
-    return compared.join(near_links(compared, radius), _WORDS).select("doc_id", *_OUT, "class_id", "n_links")
+    linked = cut_lineage(near_links(compared, radius))  # on its own the join can split fingerprints that very many copies share
+    return compared.join(linked, _WORDS).select("doc_id", *_OUT, "class_id", "n_links")

@@ -65,4 +65,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", i
     lows = nodes.join(roots, "print").groupBy("root").agg(F.min("low").alias("component_low"))
     linked = roots.join(lows, "root").select("print", "component_low")
     known = nodes.join(linked, "print", "left").select("print", F.coalesce("component_low", "low").alias("component_id"))
+    known = cut_lineage(known)  # on its own the last join can split the prints that very many copies share
     return prints.join(known, "print").select("doc_id", "print", "component_id")
