@@ -187,6 +187,22 @@ def vocabulary_counts(texts: DataFrame, n_classes: int, held_words: int = HELD_W
     return rows.groupBy("word").agg(F.sum("n").alias("c"), *own)
 
 
+def commonest(scored: DataFrame, most: int = COMMON) -> DataFrame:
+    """The words above the lowest count that at most ``most`` words reach, counts taken in steps of an eighth of a doubling.
+
+    A few hundred numbers choose the step; no task sorts words or sends more of them than it has above it.
+    """
+    step = F.floor(8 * F.log2("c"))
+    sizes = scored.where("c > 0").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    lowest, held = math.inf, 0
+    for at, n in sorted(((r["step"], r["n"]) for r in sizes), reverse=True):
+        held += n
+        if held > most:
+            break
+        lowest = at
+    return scored.where((F.col("c") > 0) & (step >= lowest)) if lowest < math.inf else scored.where("false")
+
+
 def text_sums(texts: DataFrame, common: pd.DataFrame, columns: list[str]) -> DataFrame:
     """One row per text: key, doc_id, held_out, n_tokens, the sums of ``columns`` over its common words, its other words and their times.
 
@@ -298,7 +314,7 @@ def lm_scores(
     base = F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
     scored = cut_lineage(scored.select("word", "c", (F.col("c") > 0).cast("double").alias("n_known"), base.alias("base_score"), *names))
     columns = ["n_known", "base_score", *names]
-    common = scored.orderBy(F.desc("c"), "word").limit(COMMON).toPandas()
+    common = commonest(scored).toPandas()
     rows = cut_lineage(text_sums(texts, common, columns))
     others = rows.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     others = others.join(scored, "word").groupBy("key").agg(*[F.sum(F.col("times") * F.col(c)).alias(f"other_{c}") for c in columns])
