@@ -184,19 +184,19 @@ def stream_incremental_upsert(spark, sf_dir):
 
 @query(
     "stream_two_sources",
-    """WITH changes AS (SELECT user_id AS k, event_id AS at, value FROM events UNION ALL SELECT o_custkey, o_orderkey, o_totalprice FROM orders)
-    SELECT k, max(at) AS at, round(arg_max(value, (at, value)), 4) AS value FROM changes WHERE k IS NOT NULL GROUP BY k""",
+    """WITH changes AS (SELECT user_id AS k, event_id AS stamp, value FROM events UNION ALL SELECT o_custkey, o_orderkey, o_totalprice FROM orders)
+    SELECT k, max(stamp) AS stamp, round(arg_max(value, (stamp, value)), 4) AS value FROM changes WHERE k IS NOT NULL GROUP BY k""",
 )
 def stream_two_sources(spark, sf_dir):
     """Two sources write to one table; both begin with a batch of number 0."""
     folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
-    schema = T.StructType.fromDDL("k long, at long, value double")
-    apply = incremental.upsert_into(spark, f"{folder}/table", schema, ["k"], ["at", "value"], buckets=8)
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("at"), F.col("value").cast("double"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("at"), F.col("o_totalprice").cast("double").alias("value"))
+    schema = T.StructType.fromDDL("k long, stamp long, value double")
+    apply = incremental.upsert_into(spark, f"{folder}/table", schema, ["k"], ["stamp", "value"], buckets=8)
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("stamp"), F.col("value").cast("double"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("stamp"), F.col("o_totalprice").cast("double").alias("value"))
     for source in (events, orders):
         apply(source.filter("k IS NOT NULL"), 0)
-    return read_table(spark, f"{folder}/table", schema).select("k", "at", F.round("value", 4).alias("value"))
+    return read_table(spark, f"{folder}/table", schema).select("k", "stamp", F.round("value", 4).alias("value"))
 
 
 @query(
