@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,10 +73,16 @@ def fit_text(labelled: DataFrame, text: str = "text", label: str = "lang", id: s
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    powers = F.transform(values, lambda v: F.exp(v - top))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, x: a + x))
+    shifted = _let(values, lambda vs: _let(F.array_max(vs), lambda top: F.transform(vs, lambda v: F.exp(v - top))))
+    return _let(
+        shifted, lambda powers: _let(F.aggregate(powers, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(powers, lambda p: p / total))
+    )
 
 
 def text_evidence(rows: DataFrame, languages: list[str], log: np.ndarray, text: str = "text", id: str = "id") -> DataFrame:
@@ -150,14 +156,13 @@ def languages(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
         codes, lambda c: F.when(~F.array_contains(codes, said), 0.0).when(c == said, float(np.log(TRUST))).otherwise(float(np.log((1 - TRUST) / max(1, len(known) - 1))))
     )
     total = F.transform(F.arrays_zip("evidence", prior.alias("prior"), declared.alias("declared")), lambda x: x["evidence"] + x["prior"] + x["declared"])
-    fused = joined.withColumn("posterior", _softmax(total))
-    best = F.array_max("posterior")
-    lettered = F.col("grams") > 0
+    fused = joined.withColumn("found", _let(_softmax(total), lambda p: F.struct(F.array_max(p).alias("best"), F.array_position(p, F.array_max(p)).alias("at"))))
+    best, at, lettered = F.col("found.best"), F.col("found.at"), F.col("grams") > 0
     out = replace_columns(
-        fused, language=F.when(lettered, F.get(codes, F.array_position("posterior", best).cast("int") - 1)).otherwise("und"),
+        fused, language=F.when(lettered, F.get(codes, at.cast("int") - 1)).otherwise("und"),
         confidence=F.when(lettered, best).otherwise(0.0), kept=lettered & (best >= LEAST),
     )
-    return out.drop("declared", "host", "domain", "suffix", "grams", "evidence", "soft", "host_n", "counts", "parent", "posterior")
+    return out.drop("declared", "host", "domain", "suffix", "grams", "evidence", "soft", "host_n", "counts", "parent", "found")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
