@@ -8,8 +8,8 @@ a few totals, and the scores of the ``COMMON`` commonest words, which texts need
 and meet the texts in a join.
 
 Texts keep to a language: each of the ``CLASSES`` commonest labels of the training rows has word shares and a lattice of its own, discounted in
-the same way towards the shares of all rows, and a text's score is the log of its probabilities under the classes, weighted and added up. No label is
-looked at when a text is scored.
+the same way towards the shares of all rows. Training rows of all further labels and without a label are one more class. A text's score is the log of
+its probabilities under the classes, weighted by their training documents and added up. No label is looked at when a text is scored.
 
 The model is a probability distribution over texts as sequences of words and one end: shares, freed mass and lattice add up to 1.
 
@@ -27,14 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from episodika.llm.common import whole
 from episodika.llm.tokens import vocabulary_path
 from episodika.session import cut_lineage
 
 FOLDS, HELD_OUT, ROUNDS = 5, 1, 2
-#: commonest labels that have word shares of their own
+#: commonest labels that have word shares of their own; all other training rows share one class
 CLASSES = 8
 #: commonest words, whose scores every task gets; words that a counting task holds before it passes counts on
 COMMON, HELD_WORDS = 20_000, 300_000
@@ -142,19 +142,23 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     return list(weights), np.array(list(weights.values()))
 
 
-def classes_of(docs: DataFrame, label: str | None, most: int = CLASSES) -> list[str]:
-    """The ``most`` commonest labels; a model without labels has one class for all."""
+def _held(id: str) -> Column:
+    """Held-out rows by their id; a null id is a training row."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
+
+
+def classes_of(docs: DataFrame, label: str | None, id: str = "doc_id", most: int = CLASSES) -> list[str]:
+    """The ``most`` commonest labels of the training rows; a model without labels has one class for all."""
     if label is None or label not in docs.columns:
         return []
-    rows = docs.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.where(F.col(label).isNotNull() & ~_held(id)).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     return [row[0] for row in rows.orderBy(F.desc("n"), label).limit(most).collect()]
 
 
 def _texts(docs: DataFrame, labels: list[str], label: str | None, text: str, id: str) -> DataFrame:
-    """doc_id, held_out, class (-1: none), text."""
-    held = F.coalesce(F.pmod(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
+    """doc_id, held_out, class (-1: none of ``labels``), text."""
     group = F.coalesce(F.array_position(F.array(*map(F.lit, labels)), F.col(label)).cast("int") - 1, F.lit(-1)) if labels else F.lit(-1)
-    return docs.select(F.col(id).alias("doc_id"), held.alias("held_out"), group.alias("class"), whole(text).alias("text"))
+    return docs.select(F.col(id).alias("doc_id"), _held(id).alias("held_out"), group.alias("class"), whole(text).alias("text"))
 
 
 def _tokens(text: str) -> list[bytes]:
@@ -162,7 +166,7 @@ def _tokens(text: str) -> list[bytes]:
 
 
 def vocabulary_counts(texts: DataFrame, n_classes: int, held_words: int = HELD_WORDS) -> DataFrame:
-    """word, c, c0, c1, ...: how often each word stands in training texts and in those of each class; words of other texts too.
+    """word, c, c0, c1, ..., rest: how often each word stands in training texts, in those of each class and of none; words of other texts too.
 
     A task adds up its own texts and passes counts on whenever it holds ``held_words`` words.
     """
@@ -184,6 +188,7 @@ def vocabulary_counts(texts: DataFrame, n_classes: int, held_words: int = HELD_W
 
     rows = texts.mapInPandas(count, "word string, class int, n long")
     own = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(n_classes)]
+    own.append(F.sum(F.when(F.col("class") < 0, F.col("n")).otherwise(0)).alias("rest"))
     return rows.groupBy("word").agg(F.sum("n").alias("c"), *own)
 
 
@@ -278,10 +283,12 @@ def lm_scores(
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``."""
     path = path or vocabulary_path("piece_bpe_32k.model")
-    labels = classes_of(docs, label)
+    labels = classes_of(docs, label, id)
     texts = _texts(docs, labels, label, text, id)
     vocab = cut_lineage(vocabulary_counts(texts, len(labels)))
-    columns = [f"c{k}" for k in range(len(labels))] or ["c"]
+    columns = [f"c{k}" for k in range(len(labels))]
+    if not labels or vocab.where((F.col("word") == END) & (F.col("rest") > 0)).count():  # each training text has one end
+        columns.append("rest")
     sums = [f(c) for c in columns for f in (F.sum, lambda c: F.count_if(F.col(c) > 0))]
     ends = [F.sum(F.when(F.col("word") == END, F.col(c)).otherwise(0)) for c in columns]
     known = vocab.where("c > 0").agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), *sums, *ends).first()

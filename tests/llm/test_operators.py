@@ -321,6 +321,24 @@ def test_classes_sharpen_scores(spark):
     assert total("lang") > total(None)
 
 
+def test_labels_beyond_the_classes_keep_their_share(spark):
+    """Rows of a ninth label and rows without a label are scored by the model as well as those of the eight."""
+    kinds = [f"l{k}" for k in range(lattice.CLASSES)]
+    label = lambda d: kinds[d % 10] if d % 10 < 8 else "rare" if d % 10 == 8 and d > 30 else None
+    rows = [(d, " ".join(f"kind{d % 10}word{n}" for n in range(8)), label(d)) for d in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mean = lambda found, kind: np.mean([r.score for r in found if r.doc_id % 10 == kind])
+    found = lattice.lm_scores(df).collect()
+    scores = [mean(found, kind) for kind in range(10)]
+    assert min(scores[8:]) > min(scores[:8]) - 0.5 * 9, scores
+
+
+def test_classes_come_from_training_rows(spark):
+    held = [d for d in range(200) if zlib.crc32(str(d).encode()) % 5 == 1]
+    rows = [(d, "x", "held" if d in held else "train") for d in range(200)] + [(None, "x", "null")]
+    assert lattice.classes_of(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang") == ["train", "null"]
+
+
 # chats
 
 
