@@ -1,7 +1,8 @@
 """Language identification: evidence of the text, its markup and its place, fused by Bayes' rule.
 
-* Text: letter trigrams, hashed to ``BUCKETS``, under one multinomial per language. The languages and their counts come from a
-  bounded sample of labelled rows (``SAMPLE`` documents, those with the smallest hash of their id).
+* Text: letter trigrams, hashed to ``BUCKETS``, under one multinomial per language. Every label that has a
+  row with a letter is a language, whatever its share. Its counts come from a bounded sample of its own rows: those with the smallest hashes of id
+  and text in each of ``SALTS`` groups, ``SAMPLE`` rows of a label at most (rows that repeat come together), and all rows of a group that has few.
 * Markup: a declared language is right with probability ``TRUST``.
 * Place: how languages are spread over a host, smoothed by its domain, that by the address suffix, that by all
   rows. The counts are soft - shares of the text's evidence - and grouped over all rows; a row's own share is taken out.
@@ -22,13 +23,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from episodika.llm.common import replace_columns, whole
 from episodika.session import cut_lineage
 
-#: labelled documents that the text model is fitted on, and buckets of trigrams
-SAMPLE, BUCKETS = 4000, 1 << 16
+#: rows of each label that the text model is fitted on, groups that they are drawn from, and buckets of trigrams
+SAMPLE, SALTS, BUCKETS = 1024, 64, 1 << 16
 #: weight of a trigram's evidence (neighbours overlap), reliability of a declaration, rows that a level's parent counts for, least posterior
 TEMPER, TRUST, PARENT_ROWS, LEAST = 0.3, 0.9, 10.0, 0.5
 #: bytes of a text whose trigrams are looked up at once
@@ -47,11 +48,17 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
 
 
 def fit_text(labelled: DataFrame, text: str = "text", label: str = "lang", id: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of the buckets; at most languages x buckets numbers come to the driver."""
-    rows = labelled.where(F.col(label).isNotNull() & (F.col(label) != "") & F.col(id).isNotNull())
-    chosen = rows.select(F.col(id).alias("s_id")).orderBy(F.xxhash64("s_id"), "s_id").limit(sample).distinct()
-    rows = rows.select(F.col(id).alias("s_id"), F.col(label).alias("label"), whole(text).alias("text"))
-    rows = rows.join(F.broadcast(chosen), "s_id", "left_semi").select("label", "text")  # at most ``sample`` ids
+    """Languages and their log probabilities of the buckets; at most languages x buckets numbers come to the driver.
+
+    ``sample`` bounds the rows of each label, not of all: no label is lost to the others' number.
+    """
+    rows = labelled.where(F.col(label).isNotNull() & (F.col(label) != "") & whole(text).rlike(r"\p{L}"))
+    rows = rows.select(F.col(label).alias("label"), F.xxhash64(F.col(id), whole(text)).alias("row"), whole(text).alias("text"))
+    salts = max(1, min(SALTS, sample))
+    least = Window.partitionBy("label", "salt").orderBy("row")
+    chosen = rows.select("label", "row", F.pmod(F.xxhash64(F.lit("salt"), "row"), F.lit(salts)).alias("salt"))
+    chosen = chosen.withColumn("n", F.row_number().over(least)).where(F.col("n") <= sample // salts).select("label", "row").distinct()
+    rows = rows.join(chosen, ["label", "row"], "left_semi").select("label", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}

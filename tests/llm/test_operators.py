@@ -453,6 +453,17 @@ def test_language_id_evidence(spark):
     assert langid.languages(df.limit(0), model).count() == 0
 
 
+def test_rare_label_is_a_language(spark):
+    """Three rows among thousands, null ids too: the sample is drawn for each label."""
+    rows = [(n, "the river and the stone", "en") if n % 2 else (n, "der fluss und der stein", "de") for n in range(3000)]
+    rows += [(9000 + n, "joki ja kivi", "fi") for n in range(3)] + [(None, "rzeka i głaz", "pl"), (9999, "12 34", "xx")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit_text(train, sample=100)
+    assert model[0] == ["de", "en", "fi", "pl"]
+    df = spark.createDataFrame([(1, "joki ja kivi", "fi", None), (2, "rzeka i głaz", None, None), (3, "the stone", None, None)], "doc_id long, text string, declared string, host string")
+    assert got(langid.languages(df, model), "doc_id", "language") == [(1, "fi"), (2, "pl"), (3, "en")]
+
+
 def test_address_parts(spark):
     df = spark.createDataFrame([("blog.a.example.co",), ("plain",), ("",)], "host string")
     assert [tuple(r) for r in df.select(*langid.address_parts(F.col("host"))).collect()] == [("example.co", "co"), ("plain", ""), ("", "")]
