@@ -8,7 +8,11 @@
   rows. The counts are soft - shares of the text's evidence - and grouped over all rows; a row's own share is taken out.
 
 Texts do not move: their evidence is one number for each language. Counts of a host are combined in the tasks before they move.
-A row is rejected when it has no letters, or no language reaches ``LEAST``.
+A row is rejected when it has no letters, or no language reaches ``LEAST``. What speaks against the best language is not only the others but also that the
+text is none of them: its log likelihood per trigram is held against a level of that language, below what texts of the language's own sample have, each
+left out of the counts that it is judged by. The level is ``MARGIN`` under their median, or ``SPREADS`` times the way to their lowest tenth, and never
+lower than what a trigram has that is drawn evenly. ``confidence`` is the product of both; with few trigrams the level says little. A language with a
+handful of sample rows has a loose level.
 
 Defined cases: a null or letterless text has language ``und`` and is rejected. A null host is one host; an empty or unknown declared language is
 no evidence. Rows that repeat are treated alike. Further columns are kept in ``languages``. Without any labelled row all
@@ -32,6 +36,8 @@ from episodika.session import cut_lineage
 SAMPLE, SALTS, BUCKETS = 1024, 64, 1 << 16
 #: weight of a trigram's evidence (neighbours overlap), reliability of a declaration, rows that a level's parent counts for, least posterior
 TEMPER, TRUST, PARENT_ROWS, LEAST = 0.3, 0.9, 10.0, 0.5
+#: how far under the median of a language's own texts its level is, in nats per trigram or in ways to their lowest tenth; share of texts in no known language
+MARGIN, SPREADS, FOREIGN = 2.0, 4.0, 0.01
 #: bytes of a text whose trigrams are looked up at once
 CHUNK = 1 << 20
 
@@ -47,8 +53,8 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
         yield ((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761)) >> np.uint32(16)
 
 
-def fit_text(labelled: DataFrame, text: str = "text", label: str = "lang", id: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of the buckets; at most languages x buckets numbers come to the driver.
+def fit_text(labelled: DataFrame, text: str = "text", label: str = "lang", id: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], np.ndarray, list[float]]:
+    """Languages, their log probabilities of the buckets and their levels; at most languages x buckets numbers come to the driver.
 
     ``sample`` bounds the rows of each label, not of all: no label is lost to the others' number.
     """
@@ -58,7 +64,7 @@ def fit_text(labelled: DataFrame, text: str = "text", label: str = "lang", id: s
     least = Window.partitionBy("label", "salt").orderBy("row")
     chosen = rows.select("label", "row", F.pmod(F.xxhash64(F.lit("salt"), "row"), F.lit(salts)).alias("salt"))
     chosen = chosen.withColumn("n", F.row_number().over(least)).where(F.col("n") <= sample // salts).select("label", "row").distinct()
-    rows = rows.join(chosen, ["label", "row"], "left_semi").select("label", "text")
+    rows = cut_lineage(rows.join(chosen, ["label", "row"], "left_semi").select("label", "text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
@@ -77,7 +83,30 @@ def fit_text(labelled: DataFrame, text: str = "text", label: str = "lang", id: s
     for n, language in enumerate(languages):
         own = found[found["label"] == language]
         counts[n, own["gram"].to_numpy()] += own["n"].to_numpy()
-    return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), levels(rows, languages, counts)
+
+
+def levels(rows: DataFrame, languages: list[str], counts: np.ndarray) -> list[float]:
+    """The log likelihood per trigram of each language under which a text speaks for none; ``rows`` (label, text) are the sample that was counted."""
+    counts, totals, at = counts.astype(np.float32), counts.sum(axis=1), {x: n for n, x in enumerate(languages)}
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for language, content in zip(batch["label"], batch["text"], strict=True):
+                own = np.zeros(BUCKETS, np.int64)
+                for grams in trigrams(content):
+                    own += np.bincount(grams, minlength=BUCKETS)
+                if (n := own.sum()) and language in at:
+                    some, k = np.flatnonzero(own), at[language]
+                    left = np.log(np.maximum(counts[k, some] - own[some], 0.1) / (totals[k] - n))
+                    out.append((language, float(own[some] @ left / n)))
+            yield pd.DataFrame(out, columns=["label", "mean"])
+
+    shares = F.percentile_approx("mean", [0.1, 0.5])
+    found = dict(rows.mapInPandas(judge, "label string, mean double").groupBy("label").agg(shares).collect())
+    level = lambda low, mid: max(mid - max(MARGIN, SPREADS * (mid - low)), -float(np.log(BUCKETS)))
+    return [level(*found[x]) for x in languages]
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -141,9 +170,9 @@ def address_parts(host: Column) -> tuple[Column, Column]:
     return domain, suffix
 
 
-def languages(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def languages(rows: DataFrame, model: tuple[list[str], np.ndarray, list[float]]) -> DataFrame:
     """``rows`` (any columns with text, declared, host) without its text, with language, confidence, kept."""
-    known, log = model
+    known, log, *own_levels = model
     if not known:
         return replace_columns(rows, language=F.lit("und"), confidence=F.lit(0.0), kept=F.lit(False)).drop("text", "declared", "host")
     host = F.lower(F.coalesce(F.col("host"), F.lit("")))
@@ -164,9 +193,11 @@ def languages(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     )
     total = F.transform(F.arrays_zip("evidence", prior.alias("prior"), declared.alias("declared")), lambda x: x["evidence"] + x["prior"] + x["declared"])
     fused = joined.withColumn("found", _let(_softmax(total), lambda p: F.struct(F.array_max(p).alias("best"), F.array_position(p, F.array_max(p)).alias("at"))))
-    best, at, lettered = F.col("found.best"), F.col("found.at"), F.col("grams") > 0
+    at, lettered = F.col("found.at").cast("int") - 1, F.col("grams") > 0
+    over = F.get("evidence", at) - F.lit(TEMPER) * F.col("grams") * F.get(F.array(*map(F.lit, own_levels[0])), at)
+    best = F.col("found.best") / (1 + F.exp(-over) * F.lit(FOREIGN / (1 - FOREIGN)))
     out = replace_columns(
-        fused, language=F.when(lettered, F.get(codes, at.cast("int") - 1)).otherwise("und"),
+        fused, language=F.when(lettered, F.get(codes, at)).otherwise("und"),
         confidence=F.when(lettered, best).otherwise(0.0), kept=lettered & (best >= LEAST),
     )
     return out.drop("declared", "host", "domain", "suffix", "grams", "evidence", "soft", "host_n", "counts", "parent", "found")

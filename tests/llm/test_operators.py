@@ -453,6 +453,25 @@ def test_language_id_evidence(spark):
     assert langid.languages(df.limit(0), model).count() == 0
 
 
+def test_foreign_texts_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_text(docs)
+    foreign = [
+        "Wczoraj wieczorem poszliśmy z przyjaciółmi do starego kina, żeby obejrzeć nowy film o podróżach w czasie.",
+        "Ieri sera siamo andati con gli amici al vecchio cinema per vedere un nuovo film sui viaggi nel tempo.",
+        "Вчера вечером мы пошли с друзьями в старый кинотеатр посмотреть новый фильм о путешествиях.",
+        "Dün akşam arkadaşlarımızla birlikte eski sinemaya gidip zaman yolculuğu hakkında yeni bir film izledik.",
+        "昨天晚上我们和朋友去老电影院看了一部关于时间旅行的新电影",
+        "".join(random.Random(2).choice("bcdfghjklmnpqrstvwxz") + " " * (n % 7 == 6) for n in range(120)),
+    ]
+    short = docs.where(F.length("text") > 200).orderBy("doc_id").limit(200).select("doc_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("text")).collect()
+    rows = [(n, t, said) for n, t in enumerate(foreign) for said in ("fr", None)] + [(1000 + r.doc_id, r.text, None) for r in short]
+    df = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, declared string, host string")
+    found = langid.languages(df, model).collect()
+    assert [r.doc_id for r in found if r.doc_id < len(foreign) and r.kept] == []
+    assert sum(r.kept for r in found if r.doc_id >= 1000) >= 0.97 * len(short)
+
+
 def test_rare_label_is_a_language(spark):
     """Three rows among thousands, null ids too: the sample is drawn for each label."""
     rows = [(n, "the river and the stone", "en") if n % 2 else (n, "der fluss und der stein", "de") for n in range(3000)]
