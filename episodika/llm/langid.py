@@ -64,7 +64,7 @@ def fit_text(labelled: DataFrame, text: str = "text", label: str = "lang", id: s
     least = Window.partitionBy("label", "salt").orderBy("row")
     chosen = rows.select("label", "row", F.pmod(F.xxhash64(F.lit("salt"), "row"), F.lit(salts)).alias("salt"))
     chosen = chosen.withColumn("n", F.row_number().over(least)).where(F.col("n") <= sample // salts).select("label", "row").distinct()
-    rows = cut_lineage(rows.join(chosen, ["label", "row"], "left_semi").select("label", "text"))
+    rows = cut_lineage(rows.join(F.broadcast(chosen), ["label", "row"], "left_semi").select("label", "text"))  # at most ``sample`` numbers a label
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
