@@ -29,7 +29,8 @@ from episodika.llm.common import whole
 from episodika.llm.hamming import block_masks, neighbour_counts
 from episodika.session import cut_lineage
 
-BITS, RADIUS = 256, 6
+#: the radius is the same share of the bits as near_dedup's 3 of 64; README has what it finds
+BITS, RADIUS = 256, 12
 #: terms whose bits are laid out at once
 CHUNK = 1 << 14
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)

@@ -137,6 +137,16 @@ def test_fingerprints_repeated_and_null_ids(spark):
     assert sorted(map(str, (r.doc_id for r in found.collect()))) == sorted(str(d) for d, _ in rows)
 
 
+def test_one_changed_word_of_a_long_text_is_a_link(spark):
+    rows = []
+    for n in range(20):
+        r = random.Random(n)
+        words = [f"w{r.randrange(4000)}" for _ in range(600)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join([*words[:300], "changed", *words[301:]]))]
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    assert fingerprints.document_fingerprints(df).where("n_links > 0").count() >= 36
+
+
 # Hamming search
 
 
