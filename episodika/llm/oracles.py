@@ -2,6 +2,7 @@
 
 from episodika.llm import chats, secrets
 from episodika.llm.common import LOWER, UPPER
+from episodika.llm.variants import LETTERS
 
 _LOWER = f"translate({{}}, '{UPPER}', '{LOWER}')"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -53,6 +54,65 @@ x AS (SELECT doc_id, count(*) FILTER (WHERE r = 0) AS n_assign, count(*) FILTER
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x ON x.doc_id = d.doc_id"""
 
+# CRC-32: a table of 256 remainders, and a string's bytes drawn through it
+_CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+  lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+_HEX = "instr('0123456789ABCDEF', substr({h}, {at}, 1)) - 1"
+
+
+def _crc(text: str) -> str:
+    h = f"hex(encode({text}))"
+    byte = f"({_HEX.format(h=h, at='2 * i + 1')}) * 16 + {_HEX.format(h=h, at='2 * i + 2')}"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295, list_transform(range(length({h}) // 2), lambda i: {byte})), "
+        "lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+_KEY = "md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+
+TRIE = f"""WITH {_CRC_TABLE},
+t AS (SELECT conv_id, {_KEY} AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_KEY}) AS r FROM conversations),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+b AS (SELECT c.conv_id, 0 AS part, r, key, words FROM c JOIN t ON t.conv_id = c.base AND t.r <= c.h
+  UNION ALL SELECT c.conv_id, 1, r, key, words FROM c JOIN t ON t.conv_id = c.conv_id AND t.r > c.h),
+s AS (SELECT conv_id, row_number() OVER w AS depth, words, sha256(string_agg(key, ',') OVER (w ROWS UNBOUNDED PRECEDING)) AS node,
+  count(*) OVER (PARTITION BY conv_id) AS total FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY part, r)),
+m AS (SELECT conv_id, depth, words, node, total FROM s
+  UNION ALL SELECT c.conv_id, 0, 0, '', coalesce(max(s.total), 0) FROM c LEFT JOIN s ON s.conv_id = c.conv_id GROUP BY c.conv_id),
+p AS (SELECT m.*, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM m),
+n AS (SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+  coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = total), '') AS ends FROM p GROUP BY depth, node),
+k AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.parent = n.node),
+u AS (SELECT m.node, sum((f.n_convs - 1) * f.words) AS saved_tokens, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves
+  FROM f JOIN m ON m.conv_id = f.conv_id AND m.depth <= f.depth GROUP BY m.node)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN u ON u.node = f.node LEFT JOIN f q ON q.node = f.parent"""
+
+_RUN = "[" + LETTERS + "]{7,}"
+
+VARIANTS = f"""WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '" + _RUN + "'))")} AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n FROM o GROUP BY doc_id, run),
+h AS (SELECT run, n, {_crc("doc_id || ':' || run")} AS h FROM d, crc),
+e AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, unnest(range(length(word) + 1)) AS i FROM w),
+skipped AS (SELECT word, n, substr(word, i + 2) || ' ' || substr(word, 1, i) AS prefix FROM x WHERE i < length(word)),
+entire AS (SELECT word, n, substr(word, i + 1) || ' ' || substr(word, 1, i) AS prefix FROM x),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM skipped a JOIN skipped b ON a.prefix = b.prefix AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM skipped a JOIN entire b ON a.prefix = b.prefix
+  UNION SELECT b.word, a.word, a.n FROM skipped a JOIN entire b ON a.prefix = b.prefix),
+g AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+  FROM w LEFT JOIN g ON g.word = w.word),
+r AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT r.word, f.form, r.steps + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+l AS (SELECT word, arg_max(root, steps) AS root FROM r GROUP BY word)
+SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM f JOIN l ON l.word = f.word"""
+
 ORACLES: dict[str, str] = {
-    "op1_line_dedup": LINE_DEDUP, "op3_secret_scans": SECRETS, "op6_chat_formatting": CHATS, "op9_exact_dedup": EXACT_DEDUP,
+    "op1_line_dedup": LINE_DEDUP, "op3_secret_scans": SECRETS, "op6_chat_formatting": CHATS, "op9_exact_dedup": EXACT_DEDUP, "op11_prefix_trie": TRIE,
+    "op13_spelling_variants": VARIANTS,
 }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from episodika.llm import bpe, chats, exact_dedup, fingerprints, langid, lattice, line_dedup, near_dedup, packing, secrets
+from episodika.llm import bpe, chats, exact_dedup, fingerprints, langid, lattice, line_dedup, near_dedup, packing, prefix_trie, secrets, token_files, variants
 from episodika.llm.common import table
 from episodika.llm.oracles import ORACLES
+from episodika.session import shared_folder
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -62,7 +65,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(rows, langid.fit_text(docs))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_files.checksums(token_files.read_tokens(spark, path))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_document_fingerprints, op3_secret_scans, op4_bpe_encoding, op5_lm_scoring, op6_chat_formatting, op7_packing,
-    op8_simhash_near_dedup, op9_exact_dedup, op10_language_id,
+    op8_simhash_near_dedup, op9_exact_dedup, op10_language_id, op11_prefix_trie, op12_token_files, op13_spelling_variants,
 )}

@@ -130,3 +130,59 @@ def exact(docs):
         keep = max((d for d in own if d is not None), default=None)
         out.append((doc, keep, len(own), doc == keep, sha(lower(text or ""))))
     return sorted(out, key=str)
+
+
+def trie(rows, family=20, heads=4):
+    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of (conv, turn, role, text)."""
+    convs = defaultdict(list)
+    for c, t, r, x in rows:
+        r, x = r or "", x or ""
+        convs[c].append(((t is not None, t or 0), hashlib.md5(f"{len(r)}:{r}{x}".encode()).hexdigest(), (r, x)))
+    convs = {c: [turn for _, _, turn in sorted(v)] for c, v in convs.items()}
+    built = {}
+    for c, v in convs.items():
+        h = 0 if c is None else zlib.crc32(str(c).encode()) % heads
+        built[c] = (convs.get(c - c % family, [])[:h] if c is not None else []) + v[h:]
+    members, children, leaves, saved = defaultdict(list), defaultdict(list), {}, {}
+    for c, v in built.items():
+        for d in range(len(v) + 1):
+            members[tuple(v[:d])].append(c)
+    for k in members:
+        if k:
+            children[k[:-1]].append(k)
+    for k in sorted(members, key=len, reverse=True):
+        leaves[k] = sum(leaves[x] for x in children[k]) or 1
+        saved[k] = sum(saved[x] for x in children[k]) + (len(members[k]) - 1) * (len(words(k[-1][1])) if k else 0)
+    low = lambda cs: min((c for c in cs if c is not None), default=None)
+    out = []
+    for k, cs in members.items():
+        ends = sorted((c for c in cs if len(built[c]) == len(k)), key=lambda c: (c is not None, c or 0))
+        ends = ",".join("" if c is None else str(c) for c in ends)
+        out.append((low(cs), len(k), low(members[k[:-1]]) if k else None, len(cs), len(children[k]), leaves[k], saved[k], sha(ends)))
+    return sorted(out, key=str)
+
+
+def variants(rows, min_chars=7, min_count=2, ratio=10, every=31):
+    """word -> (form, root, n, n_near, form_n)"""
+    counts = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    n = {w: k for w, k in counts.items() if k >= min_count and len(w) >= min_chars}
+    letters, near = sorted(set("".join(n))), {}
+    for w in n:
+        edits = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters}
+        near[w] = ((edits | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}) & n.keys()) - {w}
+    best = {w: min(near[w], key=lambda x: (-n[x], x), default=None) for w in n}
+    form = {w: b if b is not None and n[b] >= ratio * n[w] else None for w, b in best.items()}
+    out = {}
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n[w], len(near[w]), n[form[w]] if form[w] is not None else None)
+    return out
