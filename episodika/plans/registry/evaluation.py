@@ -199,6 +199,24 @@ def stream_two_sources(spark, sf_dir):
     return read_table(spark, f"{folder}/table", schema).select("k", "stamp", F.round("value", 4).alias("value"))
 
 
+@query(
+    "stream_key_types",
+    """WITH changes AS (SELECT CAST(o_custkey AS VARCHAR) AS name, CAST(o_orderdate AS DATE) AS day, o_orderkey AS stamp, o_totalprice AS value FROM orders
+      UNION ALL SELECT CAST(user_id AS VARCHAR), CAST(ts AS DATE), event_id, value FROM events)
+    SELECT name, day, max(stamp) AS stamp, round(arg_max(value, (stamp, value)), 4) AS value FROM changes WHERE name IS NOT NULL AND day IS NOT NULL GROUP BY name, day""",
+)
+def stream_key_types(spark, sf_dir):
+    """Changes whose keys have other types than the table's: integers for text, times for days."""
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    schema = T.StructType.fromDDL("name string, day date, stamp long, value double")
+    apply = incremental.upsert_into(spark, f"{folder}/table", schema, ["name", "day"], ["stamp", "value"], buckets=16)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("stamp"), F.col("o_totalprice").alias("value"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("int").alias("name"), F.col("ts").alias("day"), F.col("event_id").cast("int").alias("stamp"), F.col("value").alias("value"))
+    for source in (orders, events):
+        apply(source.filter("name IS NOT NULL AND day IS NOT NULL"), 0)
+    return read_table(spark, f"{folder}/table", schema).select("name", "day", "stamp", F.round("value", 4).alias("value"))
+
+
 @query(
     "scan_resume",
     """WITH m AS (SELECT lang AS wiki, max(source || ' ' || doc_id) AS mark FROM documents WHERE source < 'src4' GROUP BY 1)

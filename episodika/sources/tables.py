@@ -9,12 +9,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 BUCKET = "_bucket"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The rows stored under ``path``; none where nothing was written yet."""
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The stored rows with the bucket they lie in; none where nothing was written yet."""
+    with_bucket = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path).drop(BUCKET)
+        return spark.createDataFrame([], with_bucket)
+    return spark.read.schema(with_bucket).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows stored under ``path``; none where nothing was written yet."""
+    return _stored(spark, path, schema).drop(BUCKET)
+
+
+def typed(df: DataFrame, schema: T.StructType, fill: bool = False) -> DataFrame:
+    """The columns of ``schema`` that ``df`` has, in the schema's types; ``fill`` adds the others as NULL."""
+    own = {c.lower() for c in df.columns}
+    value = lambda f: F.col(f.name) if f.name.lower() in own else F.lit(None)
+    return df.select(*[value(f).cast(f.dataType).alias(f.name) for f in schema if fill or f.name.lower() in own])
 
 
 def change_table(
@@ -22,17 +35,17 @@ def change_table(
 ) -> None:
     """Applies ``plan(stored rows, changes)`` to the buckets that hold a changed key; the others are not read or written.
 
-    Spark replaces the written buckets when the job commits, so a failed change leaves the old rows. ``plan`` must give the same rows
-    when the same changes come again. Columns are added, never dropped; missing ones become NULL.
+    Changes get the stored types first: a key's bucket depends on its type. Spark replaces the written buckets when the job commits, so a
+    failed change leaves the old rows. ``plan`` must give the same rows when the same changes come again. Columns are added, never
+    dropped; missing ones become NULL.
     """
     bucket = F.pmod(F.hash(*keys), F.lit(buckets)).cast("int")
+    changes = typed(changes, schema)
     touched = [row[0] for row in changes.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
     if not touched:
         return
-    stored = read_table(spark, path, schema).filter(bucket.isin(touched)) if buckets > len(touched) else read_table(spark, path, schema)
-    rows = plan(stored, changes)
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
-    rows = rows.select(*columns).withColumn(BUCKET, bucket)
+    stored = _stored(spark, path, schema).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    rows = typed(plan(stored, changes), schema, fill=True).withColumn(BUCKET, bucket)
     rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 

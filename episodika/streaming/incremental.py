@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from episodika.operators import merge
-from episodika.sources.tables import change_table
+from episodika.sources.tables import change_table, typed
 
 # Fixed value: a source is left alone after this many failures in a row.
 MAX_ERRORS_IN_A_ROW = 8
@@ -42,7 +42,8 @@ def upsert_into(
         return merge.upsert(stored, fresh, keys, columns)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        last = merge.latest_per_key(batch.select(*[f.name for f in schema if f.name in batch.columns]), keys, order)
+        # in the stored types, or keys that become equal would count as two
+        last = merge.latest_per_key(typed(batch, schema), keys, order)
         change_table(spark, path, schema, keys, last, merged, buckets)
 
     return apply
@@ -51,7 +52,8 @@ def upsert_into(
 def chunk_step(spark: SparkSession, path: str, schema: T.StructType, order: Sequence[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """Batch step for chunks: changed texts lose their vector and wait for the next embedding run."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        last = merge.latest_per_key(batch, ["chunk_id"], order)
+        kept = batch.withColumn("chunk_id", F.col("chunk_id").cast(schema["chunk_id"].dataType))
+        last = merge.latest_per_key(kept, ["chunk_id"], order)
         last = last.select(*[f.name for f in schema if f.name != "embedding"])
         change_table(spark, path, schema, ["chunk_id"], last, merge.upsert_chunks, buckets)
 

@@ -106,6 +106,34 @@ def test_a_change_rewrites_its_buckets_or_nothing(spark, tmp_path):
     assert {r["constraint"]: r["n"] for r in broken.collect()} == {"unique key": 1, "v not null": 1, "v positive": 1}
 
 
+@pytest.mark.parametrize("stored,given,key", [("long", "int", "id"), ("string", "long", "id"), ("date", "timestamp", "timestampadd(DAY, CAST(id AS INT), TIMESTAMP '2020-01-01 13:00:00')")])
+def test_keys_of_other_types_lose_no_rows(spark, tmp_path, stored, given, key):
+    schema = T.StructType.fromDDL(f"k {stored}, at long")
+    path = str(tmp_path / "t")
+    apply = incremental.upsert_into(spark, path, schema, ["k"], ["at"], buckets=16)
+    keyed = lambda n, kind, at: spark.range(n).select(F.expr(key).cast(kind).alias("k"), F.lit(at).alias("at"))
+    apply(keyed(200, stored, 1), 0)
+    apply(keyed(10, given, 2), 0)
+    apply(keyed(10, given, 2), 0)
+    rows = tables.read_table(spark, path, schema)
+    assert rows.count() == rows.select("k").distinct().count() == 200 and rows.where("at = 2").count() == 10
+
+
+def test_a_change_reads_only_its_buckets(spark, tmp_path):
+    schema = T.StructType.fromDDL("k long, v string")
+    path, seen = str(tmp_path / "t"), []
+    add = lambda stored, changes: stored.join(changes, "k", "left_anti").unionByName(changes)
+    tables.change_table(spark, path, schema, ["k"], spark.range(100).select(F.col("id").alias("k"), F.lit("a").alias("v")), add, buckets=16)
+
+    def look(stored, changes):
+        seen.append(stored._jdf.queryExecution().executedPlan().toString())
+        return add(stored, changes)
+
+    tables.change_table(spark, path, schema, ["k"], spark.createDataFrame([(1, "b")], "k int, v string"), look, buckets=16)
+    assert "_bucket" in seen[0].split("PartitionFilters: [")[1].split("]")[0]
+    assert tables.read_table(spark, path, schema).count() == 100
+
+
 def test_streamed_changes_end_in_the_same_table_in_any_order(spark, tmp_path):
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("at", T.LongType()), T.StructField("v", T.StringType())])
     first = spark.createDataFrame([(1, 5, "new"), (2, 1, "b")], schema)
