@@ -1,11 +1,12 @@
 """Exact duplicates through an extendible-hash index kept as files in the shared folder.
 
-1. Texts are grouped by (hash, bytes): copies are combined inside each task before they move, and the task that owns a hash
-   compares bytes, so texts with equal hashes stand as a chain of entries, told apart by their digest.
-2. The directory starts at the depth that the number of entries asks for and doubles while a bucket holds more than
-   ``capacity`` entries and can still be split; entries of one hash cannot be split and stay as a chain.
-3. Entries are written range-partitioned and sorted by hash: a bucket, being a prefix of bits, is one key range of the files.
-4. Every document looks its entry up by hash and digest.
+1. The directory is made from hashes alone. It starts at the depth that their number asks for; every bucket that holds more than
+   ``capacity`` distinct hashes is split in two, round by round, until none is overfull or all 64 bits are used. A round
+   reads only the hashes of overfull buckets and its slots are written, so no plan grows with the rounds.
+2. Partial groups are inserted by slot: each task combines its own copies first, so a text that a third of all rows share is one row of
+   each task. The owner of a slot's rows compares texts of one hash byte by byte: equal ones become one entry, others chain.
+3. Entries are written in key order - a bucket, being a prefix of bits, is one key range of the files - with their place in the chain.
+4. Every document reads its entry from the index by slot, hash and digest: the entry says which row stays and how large the group is.
 
 No text is written or moved twice. Defined cases: a null text is an empty text; of rows with the same text the largest
 ``doc_id`` stays (nulls are smaller than all; rows that repeat both id and text are all marked as kept). Empty table: empty
@@ -14,63 +15,80 @@ result. Other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from episodika.llm.common import ascii_lower, whole
-from episodika.session import shared_folder
+from episodika.session import cut_lineage, shared_folder
 
 #: entries that a bucket may hold
 CAPACITY = 1 << 14
+BITS = 64
 
 
-def _bucket(hash: Column, depth: Column) -> Column:
-    """Buckets of different depths never meet: a leading 1 marks where the bits begin."""
-    return F.when(depth == 0, F.lit(1).cast("long")).otherwise(
-        F.expr("shiftrightunsigned(hash, 64 - depth)") + F.expr("shiftleft(1L, depth)")
-    )
+def _bucket(depth: int, hash: str = "hash") -> Column:
+    """The slot of a hash at a depth; slots of different depths never meet: a leading 1 marks where the bits begin."""
+    if depth == 0:
+        return F.lit(1).cast("long")
+    bits = F.expr(f"shiftrightunsigned({hash}, {BITS - depth})")
+    # at full depth there is no bit left for the mark, nor any other depth that could have the same number by chance
+    return bits if depth == BITS else bits + F.lit(1 << depth if depth < 63 else -(1 << 63))
 
 
-def place(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Entries with ``depth`` and ``bucket``: the directory slot that owns their hash.
+def directory(hashes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """bucket, depth, n (its distinct hashes): slots that cover all ``hashes`` (distinct, column hash) and hold at most ``capacity``.
 
-    One grouped count per doubling; the only number that comes to the driver is how many buckets are too full.
+    Two numbers of a round come to the driver: how many hashes there are, and how many buckets are too full.
     """
-    total = entries.count()
-    placed = entries.withColumn("depth", F.lit(max(0, math.ceil(math.log2(max(1, total) / capacity)))))
-    placed = placed.withColumn("bucket", _bucket(F.col("hash"), F.col("depth")))
-    for _ in range(48):
-        full = placed.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high")
-        ).where((F.col("n") > capacity) & (F.col("low") != F.col("high"))).select("bucket", F.lit(1).alias("split"))
-        if full.isEmpty():
-            break
-        placed = placed.join(full, "bucket", "left").withColumn("depth", F.col("depth") + F.coalesce("split", F.lit(0))).drop("split")
-        placed = placed.withColumn("bucket", _bucket(F.col("hash"), F.col("depth")))
-    return placed
-
-
-def build_index(entries: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Entries with their ``bucket``, written under ``path`` in key order."""
-    spark = entries.sparkSession
-    entries.write.parquet(f"{path}/log")
-    placed = place(spark.read.schema(entries.schema).parquet(f"{path}/log"), capacity)
-    placed.repartitionByRange("hash").sortWithinPartitions("hash", "digest").write.parquet(f"{path}/buckets")
-    return spark.read.schema(placed.schema).parquet(f"{path}/buckets")
+    live = cut_lineage(hashes.select("hash"))
+    depth = min(BITS, max(0, math.ceil(math.log2(max(1, live.count()) / capacity))))
+    settled = []
+    while True:
+        slots = cut_lineage(live.groupBy(_bucket(depth).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
+        full = F.col("n") > (capacity if depth < BITS else 1 << 62)
+        settled.append(slots.where(~full).select("bucket", F.lit(depth).alias("depth"), "n"))
+        overfull = slots.where(full).select("bucket")
+        if overfull.isEmpty():
+            return functools.reduce(DataFrame.unionByName, settled)
+        live = cut_lineage(live.join(overfull, _bucket(depth) == overfull["bucket"], "left_semi"))
+        depth += 1
+
+
+def place(entries: DataFrame, slots: DataFrame) -> DataFrame:
+    """``entries`` (any columns with hash) with the bucket and depth of the slot that covers them."""
+    depths = [row[0] for row in slots.select("depth").distinct().collect()]  # numbers from 0 to 64
+    every = F.array(*[F.struct(F.lit(d).alias("depth"), _bucket(d).alias("bucket")) for d in sorted(depths)]) if depths else F.array().cast("array<struct<depth:int,bucket:bigint>>")
+    tried = entries.select("*", F.explode(every).alias("_at")).select("*", "_at.*").drop("_at")
+    return tried.join(slots.select("depth", "bucket"), ["depth", "bucket"])
+
+
+def insert(hashed: DataFrame, depth: int) -> DataFrame:
+    """slot, hash, digest, keep_id, group_size: entries of the rows (doc_id, norm, hash), texts of one hash compared as bytes."""
+    groups = hashed.groupBy(_bucket(depth).alias("slot"), "hash", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return groups.select("slot", "hash", F.unhex(F.sha2("norm", 256)).alias("digest"), "keep_id", "group_size")
+
+
+def write_index(entries: DataFrame, slots: DataFrame, path: str) -> DataFrame:
+    """``entries`` with their bucket and place in the chain of their hash, written under ``path`` in key order."""
+    chain = F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("digest"))
+    chained = place(entries, slots).repartitionByRange("bucket", "hash").withColumn("chain", chain)
+    chained.sortWithinPartitions("bucket", "hash", "chain").write.parquet(path)
+    return entries.sparkSession.read.schema(chained.schema).parquet(path)
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket."""
     norm = ascii_lower(whole(text))
     hashed = docs.select(F.col(id).alias("doc_id"), norm.alias("norm")).withColumn("hash", F.xxhash64("norm"))
-    groups = hashed.groupBy("hash", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = groups.select("hash", F.unhex(F.sha2("norm", 256)).alias("digest"), "keep_id", "group_size")
+    slots = cut_lineage(directory(hashed.select("hash").distinct(), capacity))
+    deepest = slots.agg(F.max("depth")).first()[0] or 0
     path = f"{shared_folder(docs.sparkSession).rstrip('/')}/index-{uuid.uuid4().hex}"
-    index = build_index(entries, path, capacity)
-    probes = hashed.select("doc_id", "hash", F.unhex(F.sha2("norm", 256)).alias("digest"))
-    found = probes.join(index, ["hash", "digest"])
+    index = write_index(insert(hashed, deepest), slots, path)
+    probes = hashed.select("doc_id", _bucket(deepest).alias("slot"), "hash", F.unhex(F.sha2("norm", 256)).alias("digest"))
+    found = probes.join(index, ["slot", "hash", "digest"])
     return found.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"), "bucket",

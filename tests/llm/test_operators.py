@@ -432,12 +432,28 @@ def test_exact_dedup_chains_and_nulls(spark):
     assert found == {("None", 7, 4, False), ("3", 7, 4, False), ("7", 7, 4, True), ("None", None, 1, True), ("1", 2, 2, False), ("2", 2, 2, True)}
     # entries of one hash cannot be split: the directory stops and leaves them chained
     entries = spark.createDataFrame([(5, bytes([n])) for n in range(20)] + [(n << 58, b"x") for n in range(-20, 20)], "hash long, digest binary")
-    placed = exact_dedup.place(entries, 4)
+    placed = exact_dedup.place(entries, exact_dedup.directory(entries.select("hash").distinct(), 4))
     sizes = {r.bucket: r.n for r in placed.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
     assert sorted(sizes.values())[-1] >= 20 and sorted(sizes.values())[-2] <= 4
     assert placed.count() == 60
 
 
+def test_directory_splits_only_overfull_slots(spark):
+    hashes = spark.createDataFrame([(h,) for h in (0, 1 << 57, 2 << 57, -1, -(1 << 57), 1 << 62, 5 << 60)], "hash long")
+    slots = exact_dedup.directory(hashes, 1)
+    placed = exact_dedup.place(hashes, slots).collect()
+    assert sorted(r.hash for r in placed) == sorted(r.hash for r in hashes.collect())
+    assert all(r.n == 1 for r in slots.collect()) and {r.depth for r in placed} >= {3, 7}
+    assert exact_dedup.directory(hashes.limit(0), 1).count() == 0
+
+
+def test_slots_to_the_last_bit(spark):
+    hashes = spark.createDataFrame([(0,), (1,), (2,), (-1,), (-2,)], "hash long")
+    at = {d: {r.hash: r.b for r in hashes.select("hash", exact_dedup._bucket(d).alias("b")).collect()} for d in (0, 1, 62, 63, 64)}
+    assert len(set(at[0].values())) == 1 and len(set(at[1].values())) == 2 and len(set(at[64].values())) == 5
+    assert at[63][0] == at[63][1] != at[63][2] and at[63][-1] == at[63][-2] and at[62][0] == at[62][2]
+
+
 # language
 
 
