@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from episodika.llm.common import whole
+from episodika.llm.common import as_text, from_text, whole
 from episodika.llm.tokens import LETTERS, Encoder, byte_stand_ins, gather, load, vocabulary_path
 
 #: longest text, in code points, that one call encodes; longer ones are halved
@@ -115,9 +115,9 @@ def encode_documents(
 ) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ``ids`` (little-endian unsigned 32-bit integers)."""
     path = path or vocabulary_path("byte_bpe_50k.json")
-    base = docs.select(F.col(id).alias("doc_id"), whole(text).alias("text"))
-    kind = dict(base.dtypes)["doc_id"]
-    result = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
+    kind = dict(docs.dtypes)[id]
+    base = docs.select(as_text(id), whole(text).alias("text"))
+    result = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
 
     def rows(keys: list, encoded: list[np.ndarray]) -> pd.DataFrame:
         out = pd.DataFrame([(k, *_digests(e, path)) for k, e in zip(keys, encoded, strict=True)], columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -128,34 +128,30 @@ def encode_documents(
 
     def whole_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield rows(_plain_keys(batch["doc_id"]), [encode(t, path) for t in batch["text"]])
+            yield rows(batch["doc_id"].tolist(), [encode(t, path) for t in batch["text"]])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for n, (key, content) in enumerate(zip(_plain_keys(batch["doc_id"]), batch["text"], strict=True)):
+            for key, content, copies in zip(batch["doc_id"], batch["text"], batch["copies"], strict=True):
                 leaves, digest = halves(content, leaf), hashlib.sha256(content.encode()).hexdigest()[:32]
                 for at in range(0, len(leaves), 64):
                     some = leaves[at : at + 64]
-                    yield pd.DataFrame({"doc_id": pd.Series([key] * len(some), dtype="object"), "row": digest, "nth": range(at, at + len(some)), "leaf": some})
+                    yield pd.DataFrame({"doc_id": pd.Series([key] * len(some), dtype="object"), "copies": copies, "row": digest, "nth": range(at, at + len(some)), "leaf": some})
 
     def encode_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(ids=[_packed(encode(t, path)) for t in batch["leaf"]]).assign(doc_id=pd.Series(_plain_keys(batch["doc_id"]), dtype="object"))[["doc_id", "row", "nth", "ids"]]
+            yield batch.assign(ids=[_packed(encode(t, path)) for t in batch["leaf"]])[["doc_id", "copies", "row", "nth", "ids"]]
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
-        # a repeated row brings each of its leaves once more
-        group = group.sort_values("nth", kind="stable")
-        copies = int((group["nth"] == 0).sum())
-        leaves = [np.frombuffer(x, "<u4") for x in group.drop_duplicates("nth")["ids"]]
-        return rows(_plain_keys(group["doc_id"])[:1] * copies, [join_tree(leaves, path)] * copies)
+        leaves = [np.frombuffer(x, "<u4") for x in group.sort_values("nth")["ids"]]
+        return rows(group["doc_id"].tolist()[:1], [join_tree(leaves, path)]).assign(copies=group["copies"].iloc[0])
 
     long = F.length("text") > leaf
     short_rows = base.where(~long).mapInPandas(whole_texts, result)
-    leaves = base.where(long).mapInPandas(cut, f"doc_id {kind}, row string, nth long, leaf string")
-    leaves = leaves.repartition("row", "nth").mapInPandas(encode_leaves, f"doc_id {kind}, row string, nth long, ids binary")
-    return short_rows.unionByName(leaves.groupBy("doc_id", "row").applyInPandas(joined, result))
-
-
-def _plain_keys(keys: pd.Series) -> list:
-    """Ids as Python values; pandas turns integers with gaps into floats."""
-    return [None if pd.isna(k) else int(k) if isinstance(k, float) and k.is_integer() else k for k in keys.tolist()]
+    # a long text that many rows repeat under one id is encoded once: copies are counted here and come back at the end
+    copies = base.where(long).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    leaves = copies.mapInPandas(cut, "doc_id string, copies long, row string, nth long, leaf string")
+    leaves = leaves.repartition("row", "nth").mapInPandas(encode_leaves, "doc_id string, copies long, row string, nth long, ids binary")
+    whole_rows = leaves.groupBy("doc_id", "row", "copies").applyInPandas(joined, f"{result}, copies long")
+    again = whole_rows.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+    return from_text(short_rows.unionByName(again), kind)

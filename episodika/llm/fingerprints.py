@@ -25,7 +25,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from episodika.llm.common import whole
+from episodika.llm.common import as_text, from_text, whole
 from episodika.llm.hamming import block_masks, neighbour_counts
 from episodika.session import cut_lineage
 
@@ -94,15 +94,14 @@ def compare_documents(docs: DataFrame, text: str = "text", id: str = "doc_id") -
     base = docs.select(F.col(id).alias("doc_id"), whole(text).alias("text"))
     kind = dict(base.dtypes)["doc_id"]
     words = ", ".join(f"{w} long" for w in _WORDS)
-    result = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, {words}"
+    result = f"doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, {words}"
     columns = ["doc_id", *_OUT, *_WORDS]
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, held, edge = TaskContext.get().partitionId(), None, []
         for batch in batches:
             done = []
-            keys = batch["doc_id"].astype("object").where(batch["doc_id"].notna(), None)
-            for key, content in zip(keys, batch["text"], strict=True):
+            for key, content in zip(batch["doc_id"], batch["text"], strict=True):
                 mark = fingerprint(content)
                 if held is None:
                     edge.append((key, content, "first"))
@@ -118,13 +117,12 @@ def compare_documents(docs: DataFrame, text: str = "text", id: str = "doc_id") -
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = batch["doc_id"].astype("object").where(batch["doc_id"].notna(), None)
             yield pd.DataFrame(
-                [(k, *_compared(a, fingerprint(a), b, fingerprint(b))) for k, a, b in zip(keys, batch["text"], batch["following"], strict=True)], columns=columns
+                [(k, *_compared(a, fingerprint(a), b, fingerprint(b))) for k, a, b in zip(batch["doc_id"], batch["text"], batch["following"], strict=True)], columns=columns
             )
 
     order = F.desc_nulls_last("doc_id")
-    ranged = base.repartitionByRange(order).sortWithinPartitions(order, F.desc("text"))
+    ranged = base.repartitionByRange(order).sortWithinPartitions(order, F.desc("text")).select(as_text("doc_id"), "text")
     rows = cut_lineage(ranged.mapInPandas(stream, f"{result}, text string, edge string, task int"))
     firsts = rows.where("edge = 'first'").select(F.col("task").alias("at"), F.col("text").alias("following"))
     # tasks that had rows, each with the one after it; the last is followed by the first
@@ -132,7 +130,7 @@ def compare_documents(docs: DataFrame, text: str = "text", id: str = "doc_id") -
     tasks = tasks.withColumn("next", F.coalesce("next", F.min("at").over(Window.partitionBy())))
     edges = rows.where("edge = 'last'").select("doc_id", "text", "task").join(tasks, F.col("task") == F.col("at")).drop("at")
     edges = edges.join(firsts, F.col("next") == F.col("at")).select("doc_id", "text", "following")
-    return rows.where("edge is null").select(*columns).unionByName(edges.mapInPandas(across, result))
+    return from_text(rows.where("edge is null").select(*columns).unionByName(edges.mapInPandas(across, result)), kind)
 
 
 def near_links(compared: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from episodika.llm.common import replace_columns, whole
@@ -126,20 +127,22 @@ def text_evidence(rows: DataFrame, languages: list[str], log: np.ndarray, text:
     others = [c for c in rows.columns if c != text]
     table = np.ascontiguousarray(log.T)  # buckets x languages: one trigram's numbers stand together
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, sums = [], []
             for content in batch[text]:
                 n, total = 0, np.zeros(len(languages))
-                for buckets in trigrams(content):
+                for buckets in trigrams(content.as_py()):
                     n += len(buckets)
                     total += table[buckets].sum(axis=0, dtype=np.float64)
                 grams.append(n)
                 sums.append(TEMPER * total)
-            yield batch[others].assign(grams=grams, evidence=sums)
+            # all other columns go through as they are, whatever their types
+            found = [pa.array(grams, pa.int64()), pa.array(sums, pa.list_(pa.float64()))]
+            yield pa.record_batch([*[batch[c] for c in others], *found], names=[*others, "grams", "evidence"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != text)
-    return rows.mapInPandas(run, f"{schema}, grams long, evidence array<double>")
+    return rows.mapInArrow(run, f"{schema}, grams long, evidence array<double>")
 
 
 def place_priors(rows: DataFrame, n_languages: int) -> DataFrame:

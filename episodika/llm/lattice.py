@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from episodika.llm.common import whole
+from episodika.llm.common import as_text, from_text, whole
 from episodika.llm.tokens import vocabulary_path
 from episodika.session import cut_lineage
 
@@ -214,6 +214,7 @@ def text_sums(texts: DataFrame, common: pd.DataFrame, columns: list[str]) -> Dat
     ``common`` (word and ``columns``) is bounded: the words that most texts share need not move at all.
     """
     kind = dict(texts.dtypes)["doc_id"]
+    texts = texts.withColumn("doc_id", as_text("doc_id"))
     index = {w.encode(): i for i, w in enumerate(common["word"])}
     table = np.vstack([common[columns].to_numpy(float), np.zeros(len(columns))])
 
@@ -235,8 +236,8 @@ def text_sums(texts: DataFrame, common: pd.DataFrame, columns: list[str]) -> Dat
             key += len(batch)
             yield out.assign(**{c: sums[:, i] for i, c in enumerate(columns)})
 
-    schema = f"key long, doc_id {kind}, held_out boolean, n_tokens long, words array<string>, times array<long>"
-    return texts.mapInPandas(add_up, schema + "".join(f", {c} double" for c in columns))
+    schema = "key long, doc_id string, held_out boolean, n_tokens long, words array<string>, times array<long>"
+    return from_text(texts.mapInPandas(add_up, schema + "".join(f", {c} double" for c in columns)), kind)
 
 
 Weights = tuple[np.ndarray, float]

@@ -7,7 +7,8 @@ Only hashes and positions move; the answer for a document is its keep bitmap, ru
 
 Defined cases: a null or empty text is one empty line. Rows of one ``doc_id`` are one document when lines are counted, and
 rows with the largest ``doc_id`` holding a line all keep it; a null ``doc_id`` is a document smaller than all others. Lines
-repeated inside the keeping document all stay. Further columns are kept; columns called like a result give way to it.
+repeated inside the keeping document all stay. Further columns are kept; in ``line_keep_runs`` columns called like a result give way
+to it, in ``line_dedup`` all columns are as they came.
 An empty table gives an empty result.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from episodika.llm.common import BLANKS, ascii_lower, replace_columns, whole
+from episodika.llm.common import BLANKS, ascii_lower, numbered, replace_columns, whole
 from episodika.session import cut_lineage
 
 #: parts into which the lines of one hash are dealt, by document
@@ -75,5 +76,7 @@ def line_keep_runs(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text: str = "text", id: str = "doc_id") -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``; columns as they came."""
-    marked = line_keep_runs(docs.select(*docs.columns), min_chars, min_docs, text, id)
-    return marked.withColumn(text, kept_text(F.col(text), F.col("keep_runs"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, at = numbered(docs)
+    marked = line_keep_runs(plain, min_chars, min_docs, at[text], at[id])
+    marked = marked.withColumn(at[text], kept_text(F.col(at[text]), F.col("keep_runs")))
+    return marked.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

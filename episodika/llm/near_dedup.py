@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -48,12 +48,13 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Dat
     """doc_id, print (64 bits as a long)."""
     kind = dict(docs.dtypes)[id]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "print": [fingerprint(t) for t in batch["text"]]})
+            prints = pa.array([fingerprint(t.as_py()) for t in batch["text"]], pa.int64())
+            yield pa.record_batch([batch["doc_id"], prints], names=["doc_id", "print"])
 
     base = docs.select(F.col(id).alias("doc_id"), whole(text).alias("text"))
-    return base.mapInPandas(run, f"doc_id {kind}, print long")
+    return base.mapInArrow(run, f"doc_id {kind}, print long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", id: str = "doc_id") -> DataFrame:

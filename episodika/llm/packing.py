@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from episodika.llm.common import whole
+from episodika.llm.common import as_text, from_text, whole
 from episodika.llm.tokens import LETTERS, Encoder, vocabulary_path
 from episodika.session import cut_lineage
 
@@ -110,9 +110,9 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or vocabulary_path("word_bpe_49k.json")
-    base = docs.select(F.col(id).alias("doc_id"), whole(text).alias("text"))
-    kind = dict(base.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    kind = dict(docs.dtypes)[id]
+    base = docs.select(as_text(id), whole(text).alias("text"))
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
@@ -141,4 +141,4 @@ def pack(
     packed = cut_lineage(base.mapInPandas(fill, f"{schema}, task long, ids binary"))
     full = packed.where("ids is null").select(*COLUMNS)
     left = packed.where("ids is not null").groupBy(F.floor(F.col("task") / fan).alias("many")).applyInPandas(merge, schema)
-    return full.unionByName(left)
+    return from_text(full.unionByName(left), kind)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Callable
 
 import numpy as np
 
-#: words whose ids a worker remembers before it starts anew; about 200 bytes each
+#: words whose ids a worker remembers before it starts anew, besides those of one text; about 200 bytes each
 REMEMBERED = 1_000_000
 
 
@@ -65,6 +66,18 @@ def byte_stand_ins() -> list[str]:
     return [chr(b if b in own else next(others)) for b in range(256)]
 
 
+class _Numbered(dict):
+    """Words with their numbers; one that is looked up for the first time gets the next number and is listed in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Ids of texts from the ids of their words, which a worker remembers.
 
@@ -79,7 +92,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbered()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -94,30 +107,27 @@ class Encoder:
             return self.tokenizer.encode(word[1:], add_special_tokens=False).ids
         return [t.id for t in self.model.tokenize(word if word.isalpha() and word.isascii() else word.translate(self.table))]
 
-    def _learn(self, pieces: set[str]) -> None:
-        encoded = [self._ids(piece) for piece in pieces]
-        known, lengths = len(self.index), np.fromiter(map(len, encoded), np.int64, len(encoded))
+    def _learn(self) -> None:
+        """Ids of the words that were looked up for the first time."""
+        new, self.index.new = self.index.new, []
+        encoded = [self._ids(word) for word in new]
+        known, lengths = len(self.index) - len(new), np.fromiter(map(len, encoded), np.int64, len(encoded))
         total = int(lengths.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while known + len(pieces) > len(self.starts):
+        while len(self.index) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in encoded for i in ids), np.uint32, total)
-        self.lengths[known : known + len(pieces)] = lengths
-        self.starts[known : known + len(pieces)] = self.used + np.cumsum(lengths) - lengths
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, total)
+        self.lengths[known : len(self.index)] = lengths
+        self.starts[known : len(self.index)] = self.used + np.cumsum(lengths) - lengths
         self.used += total
-        self.index.update(zip(pieces, range(known, known + len(pieces)), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as uint32."""
-        pieces = self._words(text)
-        slots = list(map(self.index.get, pieces))
-        if None in slots:
-            unknown = {piece for piece, slot in zip(pieces, slots, strict=True) if slot is None}
-            if len(self.index) + len(unknown) > self.remembered and self.index:
-                self._clear()
-                unknown = set(pieces)
-            self._learn(unknown)
-            slots = list(map(self.index.__getitem__, pieces))
-        at = np.array(slots, np.int64)
+        if len(self.index) > self.remembered:
+            self._clear()
+        words = self._words(text)
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            self._learn()
         return gather(self.flat, self.starts[at], self.lengths[at])

@@ -454,6 +454,37 @@ def test_slots_to_the_last_bit(spark):
     assert at[63][0] == at[63][1] != at[63][2] and at[63][-1] == at[63][-2] and at[62][0] == at[62][2]
 
 
+# ids and columns that pass through
+
+BIG = 2**60 + 1
+THROUGH = {
+    "op2": lambda d: fingerprints.document_fingerprints(d), "op4": lambda d: bpe.encode_documents(d), "op5": lambda d: lattice.lm_scores(d),
+    "op7": lambda d: packing.pack(d), "op8": lambda d: near_dedup.near_duplicates(d), "op10": lambda d: langid.languages(langid.document_rows(d), langid.fit_text(d)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(THROUGH))
+def test_large_ids_beside_a_null_id(spark, name):
+    df = spark.createDataFrame([(BIG, "one two three"), (None, "four five"), (BIG + 1, "six seven " * 3000), (None, None)], "doc_id long, text string")
+    df = df.coalesce(1).withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    assert {r.doc_id for r in THROUGH[name](df).select("doc_id").collect()} == {BIG, BIG + 1, None}
+
+
+def test_line_dedup_leaves_other_columns(spark):
+    text = f"own\n{SHARED}"
+    df = spark.createDataFrame([(n, f"{n} {text}", 777, "mine", n) for n in range(6)], "doc_id long, text string, n_lines int, keep_runs string, _row int")
+    rows = line_dedup.line_dedup(df).collect()
+    assert [(r.n_lines, r.keep_runs, r._row - r.doc_id) for r in rows] == [(777, "mine", 0)] * 6
+    assert sum(SHARED in r.text for r in rows) == 1
+
+
+def test_encoding_of_repeated_long_rows(spark):
+    long = "some words " * 4000
+    df = spark.createDataFrame([(5, long)] * 3 + [(None, long)] * 2 + [(6, long)], "doc_id long, text string")
+    rows = bpe.encode_documents(df, ids=False).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["5", "5", "5", "6", "None", "None"] and len({r.ids_sha256 for r in rows}) == 1
+
+
 # language
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import corpus_pipeline
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -46,6 +47,52 @@ def test_stages(spark):
         assert sum(r.length for r in pieces if r.doc_id == d) == len(t.encode(text, add_special_tokens=False).ids) + 1
 
 
+BIG = 2**60 + 1
+ODD = [
+    (1, "The river ran by the old stones and the people went home in the evening."), (1, "Another text of the same id, about boats and the sea and the long winter."),
+    (None, "The river ran by the old stones and the people went home in the evening."), (None, None), (3, ""), (3, ""), (BIG, "Ships with password=hunter2hunter2 in them sail on."),
+    (BIG + 2, "Nobody knows why the mountain has that name, but it is an old one."), (None, "Nobody knows why the mountain has that name, but it is an old one."),
+    (7, "A long day. " * 8000), (8, "repeated rows of a text that is here twice"), (8, "repeated rows of a text that is here twice"),
+]
+EXTRA = "row own _doc _own _row _language n_lines keep_runs spans language kept hash c0 c1 copies none id print".split()
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows(spark, name):
+    """Null, repeated and large ids, empty and long texts, columns called like inner ones: other columns come as they were."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain_docs = spark.createDataFrame([(d, t, "en", None if i % 2 else "s", -1) for i, (d, t) in enumerate(ODD)], schema)
+    docs = plain_docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce("text", F.lit("")).substr(1, 9)).alias(c) for c in EXTRA]).cache()
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, "")
+    empty = stage(spark, docs.limit(0), "")
+    assert empty.columns == out.columns and empty.count() == 0
+    rows = out.collect()
+    if name == "packing":
+        assert {r.doc_id for r in rows} == {d for d, _ in ODD}
+        t = plain.tokenizer("word_bpe_49k.json")
+        assert sum(r.length for r in rows) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in ODD)
+        return
+    assert out.dtypes == docs.dtypes
+    texts = {(d, t or "") for d, t in ODD}  # a null text comes out of line dedup as an empty one
+    for r in rows:
+        assert r.n_chars == len(r.text or "") and r.doc_id in {d for d, _ in ODD}
+        if name != "secret_scans" or r.doc_id != BIG:
+            assert (r.doc_id, r.text or "") in texts
+            assert all(r[c] == f"{c}:{(r.text or '')[:9]}" for c in EXTRA)
+    said = Counter((r.doc_id, r.text) for r in rows)
+    if name in ("line_dedup", "secret_scans"):
+        assert sum(said.values()) == len(ODD) and (name == "line_dedup" or not any("hunter2hunter2" in (t or "") for _, t in said))
+    if name == "language_id":
+        assert all(any(c.isalpha() for c in t or "") for _, t in said) and said[8, ODD[-1][1]] in (0, 2)
+    if name == "near_dedup":
+        want = {}
+        for d, t in ODD:
+            mark = plain.simhash(t)
+            want[mark] = min([want[mark], (d is None, d or 0, d)] if mark in want else [(d is None, d or 0, d)])
+        assert len(rows) == len(want) and Counter(r.doc_id for r in rows) == Counter(d for *_, d in want.values())
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
 
