@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from episodika.functions import text as t, wikitext
 from episodika.operators import align, linkage
@@ -61,6 +61,36 @@ def link_propagation(spark, sf_dir):
     return spread.select(F.col("series_id").cast("long").alias("conv_id"), F.col("seq").alias("turn"), "n")
 
 
+@query(
+    "link_propagation_competing",
+    """WITH RECURSIVE o AS (SELECT o_custkey AS s, o_orderkey AS k, (o_orderkey % 97) * 1000000 + o_orderkey AS seq, lead(o_orderkey) OVER w AS n1, lead(o_orderkey, 2) OVER w AS n2,
+      lag(o_orderkey) OVER w AS p1, lag(o_orderkey, 2) OVER w AS p2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    l AS (SELECT s, seq AS src, CASE WHEN k % 3 = 0 THEN n2 ELSE n1 END AS k, 0 AS turn FROM o UNION ALL SELECT s, seq, CASE k % 4 WHEN 1 THEN p2 WHEN 2 THEN NULL ELSE p1 END, 1 FROM o),
+    e AS (SELECT l.s, l.src, o.seq AS dst, l.turn FROM l JOIN o ON o.s = l.s AND o.k = l.k WHERE o.k % 7 <> 0),
+    a AS (SELECT s, seq, 1 AS pass, CAST(-1 AS BIGINT) AS pos, 0 AS turn FROM o WHERE k % 7 = 0
+      UNION SELECT e.s, e.dst, a.pass + CASE WHEN e.src > a.pos THEN 0 ELSE 1 END, e.src, e.turn FROM a JOIN e ON e.s = a.s AND e.src = a.seq WHERE a.pass < 12),
+    m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s, seq ORDER BY pass, pos, turn) AS pick FROM a) WHERE pick = 1),
+    t AS (SELECT o.s, o.seq, CAST(o.k % 100 + 50 AS INTEGER) AS n FROM o WHERE k % 7 = 0
+      UNION ALL SELECT m.s, m.seq, t.n + CASE m.turn WHEN 0 THEN 1 ELSE -1 END FROM t JOIN m ON m.s = t.s AND m.pos = t.seq)
+    SELECT s AS o_custkey, seq, n FROM t""",
+)
+def link_propagation_competing(spark, sf_dir):
+    """Orders as pages read in another order than they are linked: links skip pages, point back, and meet."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    key = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey", key, *[f(key, i).over(w).alias(f"{n}{i}") for n, f in (("n", F.lead), ("p", F.lag)) for i in (1, 2)])
+    named = lambda c: F.when(c.isNotNull(), F.concat(F.lit("Order "), c))
+    pages = o.select(
+        F.col("o_custkey").alias("series_id"), ((key % 97) * 1_000_000 + key).alias("seq"), named(key).alias("title"), (key % 7 == 0).alias("sure"),
+        F.create_map(
+            F.lit("next"), named(F.when(key % 3 == 0, F.col("n2")).otherwise(F.col("n1"))),
+            F.lit("previous"), named(F.when(key % 4 == 1, F.col("p2")).when(key % 4 != 2, F.col("p1"))),
+        ).alias("infobox"),
+    )
+    sure = pages.filter("sure").select("series_id", "seq", (F.expr("seq % 1000000") % 100 + 50).alias("n"))
+    return linkage.propagate(sure, linkage.link_edges(pages)).select(F.col("series_id").alias("o_custkey"), "seq", "n")
+
+
 @query(
     "mode_offset",
     """WITH x AS (SELECT o_custkey, o_orderpriority AS grp, CAST(o_orderkey % 5 AS INTEGER) AS diff FROM orders WHERE o_orderstatus <> 'P'),
