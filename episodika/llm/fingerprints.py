@@ -7,7 +7,7 @@ The next document by descending id is the next row of a range-partitioned, sorte
 holds one row back until its successor comes; the first and last rows of the tasks, two for each task, are written out and
 meet in a join.
 
-``near_links`` finds all fingerprints within a radius by permuted block tables (``hamming.block_masks``).
+``near_links`` finds all fingerprints within a radius by permuted block tables, keyed by pairs of blocks (``hamming.neighbour_counts``).
 
 Defined cases: a null text is an empty text, whose fingerprint is all zeros. Rows that repeat an id follow each other by
 descending text. Null ids come last. Equal texts have equal fingerprints. Other columns are not looked at. Empty table: empty
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from episodika.llm.common import as_text, from_text, whole
-from episodika.llm.hamming import block_masks, neighbour_counts
+from episodika.llm.hamming import neighbour_counts
 from episodika.session import cut_lineage
 
 #: the radius is the same share of the bits as near_dedup's 3 of 64; README has what it finds
@@ -136,7 +136,7 @@ def compare_documents(docs: DataFrame, text: str = "text", id: str = "doc_id") -
 def near_links(compared: DataFrame, radius: int = RADIUS) -> DataFrame:
     """f0, f1, ..., class_id (smallest id with this fingerprint), n_links (other fingerprints within the radius)."""
     classes = compared.groupBy(*_WORDS).agg(F.min("doc_id").alias("class_id"))
-    counts = neighbour_counts(classes.select(*_WORDS), _WORDS, block_masks(BITS, radius), radius)
+    counts = neighbour_counts(classes.select(*_WORDS), _WORDS, BITS, radius)
     return classes.join(counts, _WORDS, "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 

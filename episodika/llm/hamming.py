@@ -4,9 +4,10 @@ A table is a bit mask; fingerprints that agree on all masked bits share a bucket
 of bits than the radius has, each block a table of its own; ``covering_masks`` is the structured family of covering hashing.
 Both guarantee that every pair within the radius meets in some table, so the search is exact.
 
-Buckets of one fingerprint go before anything is compared. A bucket is cut into cells of about ``CELL`` fingerprints squared:
-each cell is compared in one array operation, and a bucket with a third of all fingerprints is many cells on
-many tasks. What a cell returns is at most in proportion to its members - counts or a spanning forest - never its pairs.
+``links`` cuts a bucket into cells of about ``CELL`` fingerprints squared: each cell is compared in one array operation, and a bucket
+with a third of all fingerprints is many cells on many tasks. ``neighbour_counts`` goes by pairs of blocks, so that what is compared
+stays small however many fingerprints there are: it cuts one block more than the radius needs, sorts by one block and, inside a bucket,
+by a second. What a cell or bucket returns is at most in proportion to its members - counts or a spanning forest - never its pairs.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from episodika.session import cut_lineage
+
 #: fingerprints on each side of a cell
 CELL = 2048
+#: members of a bucket that are compared as they are, and that one task holds; larger buckets are cut by a second block on many tasks
+FEW, LARGE = 64, 1 << 16
 
 Masks = list[list[int]]
 
@@ -46,10 +51,14 @@ def _words(mask: int, bits: int) -> list[int]:
     return [p - (1 << 64) if p >> 63 else p for p in parts]
 
 
-def cells(fingerprints: DataFrame, columns: list[str], masks: Masks, cell: int = CELL) -> DataFrame:
-    """Rows of all cells with something to compare, sorted by cell inside each partition; ``fingerprints`` are distinct."""
+def _keyed(fingerprints: DataFrame, columns: list[str], masks: Masks) -> DataFrame:
+    """columns, table, bucket: a row for each table."""
     keys = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(columns, mask, strict=True)]) for t, mask in enumerate(masks)]
-    keyed = fingerprints.select(*columns, F.posexplode(F.array(*keys)).alias("table", "bucket"))
+    return fingerprints.select(*columns, F.posexplode(F.array(*keys)).alias("table", "bucket"))
+
+
+def _cut(keyed: DataFrame, columns: list[str], cell: int) -> DataFrame:
+    """Rows of all cells with something to compare, sorted by cell inside each partition."""
     crowded = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sides = F.ceil(F.col("n") / cell).cast("int")
     rows = keyed.join(crowded, "bucket").withColumn("sides", sides)
@@ -59,6 +68,11 @@ def cells(fingerprints: DataFrame, columns: list[str], masks: Masks, cell: int =
     return rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "own", *columns)
 
 
+def cells(fingerprints: DataFrame, columns: list[str], masks: Masks, cell: int = CELL) -> DataFrame:
+    """Rows of all cells of all tables; ``fingerprints`` are distinct."""
+    return _cut(_keyed(fingerprints, columns, masks), columns, cell)
+
+
 def _close(words: np.ndarray, own: np.ndarray, radius: int) -> np.ndarray:
     """Boolean matrix of the pairs to report: within the radius, across the two sides of a cell that has two."""
     distance = np.zeros((len(words), len(words)), np.uint16)
@@ -123,27 +137,146 @@ def links(fingerprints: DataFrame, column: str, masks: Masks, radius: int) -> Da
     return cells(fingerprints, [column], masks).mapInPandas(run, "a long, b long").distinct()
 
 
-def neighbour_counts(fingerprints: DataFrame, columns: list[str], masks: Masks, radius: int) -> DataFrame:
-    """Each fingerprint that has any with the number of others within the radius; a pair counts in its first table only."""
-    words_of = np.array(masks, np.int64).view(np.uint64)
+class Blocks:
+    """Compares fingerprints that agree on one block; a pair counts in the first block, and the first second block, that it agrees on."""
+
+    def __init__(self, masks: Masks, radius: int, few: int = FEW):
+        self.masks, self.radius, self.few = np.array(masks, np.int64).view(np.uint64), radius, few
+
+    def _near(self, left: np.ndarray, right: np.ndarray, table: np.ndarray, second: int | None = None) -> np.ndarray:
+        """Which of the pairs (rows of ``left`` and ``right``, in ``table``) are to be counted here."""
+        diff = left ^ right
+        near = np.flatnonzero(np.bitwise_count(diff).sum(axis=1, dtype=np.int64) <= self.radius)
+        diff, at = diff[near], table[near]
+        ok = np.ones(len(near), bool)
+        for t, mask in enumerate(self.masks):
+            agree = ~(diff & mask).any(axis=1)
+            ok &= ~(agree & (t < at))
+            if second is not None and t < second:
+                ok &= ~(agree & (t != at))
+        return near[ok]
+
+    def small(self, words: np.ndarray, table: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> None:
+        """Adds to ``n`` the neighbours inside runs of equal ``bucket``, all runs at once: every row meets the one 1, 2, ... places on."""
+        for step in range(1, len(bucket)):
+            first = np.flatnonzero(bucket[:-step] == bucket[step:])
+            if not len(first):
+                break
+            hit = first[self._near(words[first], words[first + step], table[first])]
+            np.add.at(n, hit, 1)
+            np.add.at(n, hit + step, 1)
+
+    def large(self, words: np.ndarray, table: int) -> np.ndarray:
+        """Neighbours of each member of one bucket, met by a second block where that leaves less to compare."""
+        runs = []
+        for t, mask in enumerate(self.masks):
+            if t != table:
+                order = np.lexsort((words & mask).T)
+                own = (words & mask)[order]
+                starts = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(axis=1)])
+                runs.append((t, order, starts, np.diff(np.r_[starts, len(order)])))
+        if sum(int((sizes.astype(np.int64) ** 2).sum()) for *_, sizes in runs) >= len(words) ** 2:
+            return self._all(words, table, None)
+        n = np.zeros(len(words), np.int64)
+        for t, order, starts, sizes in runs:
+            for begin, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                members = order[begin : begin + size]
+                n[members] += self._all(words[members], table, t)
+        return n
+
+    def _all(self, words: np.ndarray, table: int, second: int | None) -> np.ndarray:
+        n = np.zeros(len(words), np.int64)
+        rows = max(1, CELL * CELL // max(1, len(words)) // 4)
+        for a in range(0, len(words), rows):
+            left = words[a : a + rows]
+            x, y = np.nonzero(np.arange(a, a + len(left))[:, None] < np.arange(len(words))[None, :])
+            hit = self._near(left[x], words[y], np.full(len(x), table), second)
+            np.add.at(n, x[hit] + a, 1)
+            np.add.at(n, y[hit], 1)
+        return n
+
+    def counts(self, words: np.ndarray, table: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Neighbours of each row inside its bucket; rows are sorted by bucket."""
+        n, starts = np.zeros(len(bucket), np.int64), np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        sizes = np.diff(np.r_[starts, len(bucket)])
+        some = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= self.few), sizes))
+        if len(some):
+            own = np.zeros(len(some), np.int64)
+            self.small(words[some], table[some], bucket[some], own)
+            n[some] = own
+        for begin, size in zip(starts[sizes > self.few].tolist(), sizes[sizes > self.few].tolist(), strict=True):
+            n[begin : begin + size] = self.large(words[begin : begin + size], int(table[begin]))
+        return n
+
+
+def neighbour_counts(fingerprints: DataFrame, columns: list[str], bits: int, radius: int, large: int = LARGE, few: int = FEW) -> DataFrame:
+    """Each fingerprint that has any with the number of others within the radius; ``fingerprints`` are distinct.
+
+    Of ``radius + 2`` blocks a pair within the radius leaves two untouched: it meets in the bucket of the one and, there, of the other.
+    """
+    masks = block_masks(bits, radius + 1)
+    keyed = _keyed(fingerprints, columns, masks)
+    over = cut_lineage(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("bucket"))
+    schema = ", ".join(f"{c} long" for c in columns) + ", n long"
 
-    def count(words: np.ndarray, own: np.ndarray, table: int) -> pd.DataFrame | None:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _gathered(_each_bucket(batches, columns, Blocks(masks, radius, few)))
+
+    rows = keyed.join(over, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket")
+    found = rows.mapInPandas(run, schema)
+    if not over.isEmpty():
+        found = found.unionByName(_by_second_block(keyed.join(over, "bucket", "left_semi"), columns, masks, radius, schema))
+    return found.groupBy(*columns).agg(F.sum("n").alias("n_links"))
+
+
+def _by_second_block(keyed: DataFrame, columns: list[str], masks: Masks, radius: int, schema: str) -> DataFrame:
+    """Counts from buckets that no task should hold, cut by a second block first and into cells then."""
+    of = np.array(masks, np.int64).view(np.uint64)
+    width = len(masks)
+    again = [
+        F.struct(F.lit(t).alias("second"), F.xxhash64(F.lit("pair"), "bucket", F.lit(t), *[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(columns, mask, strict=True)]).alias("pair"))
+        for t, mask in enumerate(masks)
+    ]
+    pairs = keyed.select(*columns, "table", F.explode(F.array(*again)).alias("x")).where("x.second <> table")
+    pairs = pairs.select(*columns, (F.col("table") * width + F.col("x.second")).alias("table"), F.col("x.pair").alias("bucket"))
+
+    def count(words: np.ndarray, own: np.ndarray, code: int) -> pd.DataFrame | None:
         near = _close(words, own, radius)
-        if not near.any():
-            return None
-        for mask in words_of[:table]:
-            masked, same = words & mask, np.ones_like(near)
-            for w in masked.T:
-                same &= w[:, None] == w[None, :]
-            near &= ~same
+        table, second = divmod(code, width)
+        for t in range(max(table, second)):
+            if (t < table or t < second) and t != table and near.any():
+                masked, same = words & of[t], np.ones_like(near)
+                for w in masked.T:
+                    same &= w[:, None] == w[None, :]
+                near &= ~same
         n = near.sum(axis=1)
-        return pd.DataFrame(words.view(np.int64)[n > 0], columns=columns).assign(n=n[n > 0])
+        return pd.DataFrame(words.view(np.int64)[n > 0], columns=columns).assign(n=n[n > 0]) if n.any() else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _gathered(_each_cell(batches, columns, count))
 
-    schema = ", ".join(f"{c} long" for c in columns) + ", n long"
-    return cells(fingerprints, columns, masks).mapInPandas(run, schema).groupBy(*columns).agg(F.sum("n").alias("n_links"))
+    return _cut(pairs, columns, CELL).mapInPandas(run, schema)
+
+
+def _each_bucket(batches: Iterator[pd.DataFrame], columns: list[str], blocks: Blocks) -> Iterator[pd.DataFrame]:
+    """Counts of whole buckets; one that a batch cuts is carried on."""
+    carried = None
+    for batch in batches:
+        rows = batch if carried is None else pd.concat([carried, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        bucket = rows["bucket"].to_numpy()
+        last = int(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[-1])
+        carried = rows.iloc[last:]
+        yield _counted(rows.iloc[:last], columns, blocks)
+    if carried is not None:
+        yield _counted(carried, columns, blocks)
+
+
+def _counted(rows: pd.DataFrame, columns: list[str], blocks: Blocks) -> pd.DataFrame:
+    words = rows[columns].to_numpy(np.int64)
+    n = blocks.counts(words.view(np.uint64), rows["table"].to_numpy(np.int64), rows["bucket"].to_numpy())
+    return pd.DataFrame(words[n > 0], columns=columns).assign(n=n[n > 0])
 
 
 def _gathered(frames: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.DataFrame]:
