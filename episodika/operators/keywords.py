@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from episodika.functions.stem import STOP_WORDS, english_stems, stem
 from episodika.operators.gate import Watched, narrowed, visible
@@ -113,6 +113,36 @@ def write_postings(postings: DataFrame, path: str, partitions: int) -> None:
     )
 
 
+def write_index(chunks: DataFrame, path: str, partitions: int, analyzer: str = "english") -> None:
+    """Postings of ``chunks`` under ``path`` with the number of rows of each (series, type, episode), which weights need; stems are made once, here."""
+    write_postings(build_postings(chunks, analyzer), f"{path}/postings", partitions)
+    chunks.groupBy("series_id", "type", "abs_ep").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def search_index(
+    spark: SparkSession,
+    path: str,
+    texts: Iterable[str],
+    *,
+    watched: Watched,
+    unrecorded: int = 0,
+    series_ids: Iterable[str] | None,
+    types: Iterable[str],
+    k: int = 20,
+    analyzer: str = "english",
+) -> DataFrame:
+    """chunk_id, series_id, type, abs_ep, score of the best chunks from the stored index; row groups of other terms are not read, nor any text."""
+    terms = ANALYZERS[analyzer][0](texts)
+    scope = dict(watched=watched, unrecorded=unrecorded)
+    narrow = dict(series_ids=None if series_ids is None else list(series_ids), types=list(types))
+    hits = visible(narrowed(spark.read.parquet(f"{path}/postings").filter(F.col("term").isin(terms)), **narrow), **scope)
+    total = visible(narrowed(spark.read.parquet(f"{path}/sizes"), **narrow), **scope).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    weights = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    weights = weights.select("term", idf(total.cast("double"), F.col("df")).alias("weight"))
+    best = hits.join(weights, "term").groupBy("chunk_id", "series_id", "type", "abs_ep").agg(F.sum("weight").alias("score"))
+    return best.orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(int(k))
+
+
 def search_postings(
     postings: DataFrame,
     chunks: DataFrame,

@@ -13,8 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table spread by key over tasks before heavy per-row work: its files may be few and their rows uneven."""
-    return df.repartition(F.col(key))
+    """A table spread by key over tasks before heavy per-row work: its files may be few and their rows uneven.
+
+    With a number of partitions, or adaptive execution would put small rows with heavy work ahead of them back into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

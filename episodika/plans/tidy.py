@@ -26,7 +26,8 @@ def tidy(chunks: DataFrame) -> DataFrame:
     """
     kind = F.col("type")
     whole = kind.isin(*CLEAN_ONLY)
-    rows = chunks.withColumn("_body", F.when(~whole, tidy_body(kind, t.body_of("text"))))
+    # exploded from an array of one, so that the filter below is not pushed under it and the body computed twice
+    rows = chunks.withColumn("_body", F.explode(F.array(F.when(~whole, tidy_body(kind, t.body_of("text"))))))
     least = F.when(kind == "episode", t.MIN_BODY["episode"]).otherwise(t.MIN_BODY["other"])
     rows = rows.filter(whole | (F.length("_body") >= least))
     head = F.regexp_replace(t.head_of("text"), UNTITLED, "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_once(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """A shared folder that ``write`` fills the first time this application asks for it; a failed try is not remembered.
+
+    ``source`` is what the folder is made of.
+    """
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _STORED:
+        path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows read back from a table written into the shared folder.
 
