@@ -230,8 +230,8 @@ def title_key(title: Column | str) -> Column:
     return F.regexp_replace(_without_season(_col(title)), r"[^a-z0-9]+", "")
 
 
-def wiki_slugs(titles: Column) -> Column:
-    """Up to ten address guesses for an array of titles."""
+def wiki_slugs(titles: Column, most: int | None = None) -> Column:
+    """Address guesses for an array of titles, the first ``most`` of them; None keeps all."""
 
     def of_part(part: Column) -> Column:
         words = F.regexp_extract_all(part, F.lit(r"[a-z0-9]+"), F.lit(0))
@@ -250,7 +250,8 @@ def wiki_slugs(titles: Column) -> Column:
     cleaned = F.transform(
         plain, lambda t: F.regexp_replace(F.regexp_replace(F.lower(t), r"\(.*?\)", " "), "(?i)" + SEASON_WORDS, "")
     )
-    return F.slice(F.array_distinct(F.flatten(F.transform(cleaned, of_title))), 1, 10)
+    slugs = F.array_distinct(F.flatten(F.transform(cleaned, of_title)))
+    return slugs if most is None else F.slice(slugs, 1, most)
 
 
 def same_title(a: Column, normalised: Column) -> Column:

@@ -21,8 +21,7 @@ LICENSES = {
 }
 WIKI_KINDS = {"character": "캐릭터", "ability": "능력·기술", "item": "물건·장비", "location": "장소", "group": "조직·집단"}
 SAFE_SECTION = r"(?i)^(appearance|description|overview|characteristics|design)\b"
-MAX_PIECES, MIN_PIECE = 4, 80
-MAX_ALT, MAX_SYNONYMS, MAX_TAGS, MAX_KEYWORDS = 8, 15, 10, 15
+MIN_PIECE = 80
 # -----------------------------------------------------------------------------------------------------------------------
 
 COLUMNS = ["series_id", "seq", "chunk_id", "type", "abs_ep", "tmdb_season", "filler", "text", "sources"]
@@ -59,7 +58,7 @@ def _shape(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[{**none, **columns}[c].alias(c) if c in {**none, **columns} else F.col(c) for c in COLUMNS])
 
 
-def summary_chunks(series: DataFrame, entries: DataFrame) -> DataFrame:
+def summary_chunks(series: DataFrame, entries: DataFrame, most_listed: int | None = None) -> DataFrame:
     """One introduction per entry; later seasons are visible after the seasons before them."""
     s = series.select(
         "series_id", _name().alias("name"), "overview_ko", "tagline_ko", "alt_titles", "genres_ko", "keywords", "tmdb_id"
@@ -73,9 +72,9 @@ def summary_chunks(series: DataFrame, entries: DataFrame) -> DataFrame:
     tagged = (F.size(_list("genres")) + F.size(_list("tags")) + F.size(_list("genres_ko"))) > 0
     text = _lines(
         head,
-        _listed("다른 이름: ", F.concat(english, _list("alt_titles", MAX_ALT), _list("synonyms", MAX_SYNONYMS))),
-        F.when(tagged, _listed("장르: ", F.concat(_list("genres_ko"), _list("genres"), _list("tags", MAX_TAGS)))),
-        F.when(first & (F.size(_list("keywords")) > 0), F.concat(F.lit("키워드: "), F.array_join(_list("keywords", MAX_KEYWORDS), ", "))),
+        _listed("다른 이름: ", F.concat(english, _list("alt_titles", most_listed), _list("synonyms", most_listed))),
+        F.when(tagged, _listed("장르: ", F.concat(_list("genres_ko"), _list("genres"), _list("tags", most_listed)))),
+        F.when(first & (F.size(_list("keywords")) > 0), F.concat(F.lit("키워드: "), F.array_join(_list("keywords", most_listed), ", "))),
         F.when(first, F.col("tagline_ko")),
         overview,
         F.col("description"),
@@ -186,10 +185,11 @@ def _page_key(title: Column) -> Column:
     return F.lower(F.trim(F.replace(title, F.lit("_"), F.lit(" "))))
 
 
-def wiki_chunks(series: DataFrame, wikis: DataFrame, episodes: DataFrame, pages: DataFrame) -> DataFrame:
+def wiki_chunks(series: DataFrame, wikis: DataFrame, episodes: DataFrame, pages: DataFrame, most_pieces: int | None = None) -> DataFrame:
     """Characters and terms of the wiki, from the episode whose page first links them; pages nobody links stay out.
 
-    ``wikis``: series_id, wiki. ``pages``: wiki, title, kind, sections array<struct<title,text>>, links.
+    ``wikis``: series_id, wiki. ``pages``: wiki, title, kind, sections array<struct<title,text>>, links. ``most_pieces`` keeps the first pieces
+    of a page only; None keeps all.
     """
     owned = episodes.filter(F.col("fandom_url").isNotNull()).select(
         "series_id", "abs_ep", F.replace(F.split_part("fandom_url", F.lit("/wiki/"), F.lit(2)), F.lit("_"), F.lit(" ")).alias("title")
@@ -206,13 +206,13 @@ def wiki_chunks(series: DataFrame, wikis: DataFrame, episodes: DataFrame, pages:
         "sections", lambda x: x["title"].rlike(SAFE_SECTION) | ((x["title"] == "_lead") & (F.col("kind") != "character"))
     )
     cut = F.flatten(F.transform(safe, lambda x: F.transform(paragraphs(x["text"]), lambda p: F.struct(x["title"].alias("section"), p.alias("body")))))
-    rows = rows.select("*", F.posexplode(F.slice(cut, 1, MAX_PIECES)).alias("i", "piece")).filter(F.length("piece.body") >= MIN_PIECE)
+    rows = rows.select("*", F.posexplode(cut if most_pieces is None else F.slice(cut, 1, most_pieces)).alias("i", "piece")).filter(F.length("piece.body") >= MIN_PIECE)
     kind_name = F.create_map(*[F.lit(x) for pair in WIKI_KINDS.items() for x in pair])[F.col("kind")]
     section = F.when(F.col("piece.section") == "_lead", "").otherwise(F.concat(F.lit(" — "), F.col("piece.section")))
     url = F.concat(F.lit("https://"), "wiki", F.lit(".fandom.com/wiki/"), F.replace("title", F.lit(" "), F.lit("_")))
     return _shape(
         rows,
-        seq=F.lit(5_000_000_000_000_000) + F.abs(F.xxhash64("title") % 1_000_000_000_000) * 10 + F.col("i"),
+        seq=F.lit(5_000_000_000_000_000) + F.abs(F.xxhash64("title") % 1_000_000_000_000) * 1_000 + F.least("i", F.lit(999)),
         chunk_id=F.concat("series_id", F.lit(":wiki:"), "title", F.lit(":"), F.col("i") + 1),
         type=F.when(F.col("kind") == "character", "character").otherwise("terminology"),
         abs_ep=F.when(F.col("debut") > 1, F.col("debut")).cast("int"),
@@ -229,18 +229,20 @@ def build_chunks(
     streaming: DataFrame,
     wikis: DataFrame | None = None,
     pages: DataFrame | None = None,
+    most_listed: int | None = None,
+    most_pieces: int | None = None,
 ) -> DataFrame:
-    """All chunks of all series, tidied."""
+    """All chunks of all series, tidied. ``most_listed`` and ``most_pieces`` shorten lists of names and wiki pages; None keeps all."""
     heads = episode_heads(series, episodes)
     parts = [
-        summary_chunks(series, entries),
+        summary_chunks(series, entries, most_listed),
         character_chunks(series, characters, entries),
         episode_chunks(heads),
         plot_chunks(heads),
         streaming_chunks(series, streaming),
     ]
     if wikis is not None and pages is not None:
-        parts.append(wiki_chunks(series, wikis, episodes, pages))
+        parts.append(wiki_chunks(series, wikis, episodes, pages, most_pieces))
     return tidy(reduce(DataFrame.unionByName, parts)).drop("seq")
 
 

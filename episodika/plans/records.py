@@ -49,6 +49,17 @@ def save(records: DataFrame, changes: DataFrame, series: DataFrame) -> DataFrame
     return merge.upsert(records, collapse(valid), ["user_id", "series_id"], rules={"rating": merge.new_if_given})
 
 
+def save_with_previous(records: DataFrame, changes: DataFrame, series: DataFrame) -> DataFrame:
+    """What each valid change leaves in the record, beside what was there before: user_id, series_id, seen_ep, rating, previous_seen_ep, previous_rating.
+
+    Several changes of one record are one; a record that is new has no previous values.
+    """
+    new = collapse(checked(changes, series).filter(F.col("problem").isNull()))
+    old = records.select("user_id", "series_id", F.col("seen_ep").alias("previous_seen_ep"), F.col("rating").alias("previous_rating"))
+    kept = F.coalesce("rating", "previous_rating").alias("rating")
+    return new.join(old, ["user_id", "series_id"], "left").select("user_id", "series_id", "seen_ep", kept, "previous_seen_ep", "previous_rating")
+
+
 def save_one(records: DataFrame, series: DataFrame, user_id: str, series_id: str, seen_ep, rating=None, *, at) -> DataFrame:
     """One record with the refusals raised; ``at`` is the time of the change."""
     if isinstance(seen_ep, bool) or not isinstance(seen_ep, int):

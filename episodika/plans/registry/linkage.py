@@ -376,15 +376,15 @@ def chunk_builder(spark, sf_dir):
 
 @query(
     "wiki_chunks",
-    f"""WITH links AS (SELECT 'Page ' || doc_id AS title, doc_id, source FROM documents WHERE lang = 'fr' AND n_chars > 500),
-    pg AS (SELECT doc_id, source, 'Page ' || doc_id AS title, {sql_paragraphs('text')} AS ps FROM documents WHERE lang = 'fr' AND n_chars > 500),
-    e AS (SELECT doc_id, source, title, unnest(ps[1:4]) AS body, generate_subscripts(ps[1:4], 1) AS i FROM pg)
+    f"""WITH pg AS (SELECT doc_id, source, 'Page ' || doc_id AS title, {sql_paragraphs('text')} AS ps FROM documents WHERE lang <> 'es'),
+    e AS (SELECT doc_id, source, title, unnest(ps) AS body, generate_subscripts(ps, 1) AS i FROM pg)
     SELECT source || ':wiki:' || title || ':' || i AS chunk_id, CAST(CASE WHEN doc_id + 1 > 1 THEN doc_id + 1 END AS INTEGER) AS abs_ep,
       md5('Show ' || source || ' 물건·장비 ' || title || ' — Description' || chr(10) || body) AS digest FROM e WHERE length(body) >= 80""",
 )
 def wiki_chunks(spark, sf_dir):
     series, _, _, episodes, _ = builder_inputs(spark, sf_dir)
-    d = documents(spark, sf_dir).filter("lang = 'fr' AND n_chars > 500")
+    # pages of characters (es) stay out: no episode page links them
+    d = documents(spark, sf_dir)
     title = F.concat(F.lit("Page "), "doc_id")
     own = F.array(F.concat(F.lit(" page_"), "doc_id"), F.lit("Missing"))
     pages = d.select(

@@ -169,7 +169,7 @@ def tag_overlap_topk(spark, sf_dir):
         + len(list_filter(string_split(p_name, ' '), lambda g: lower(g) IN ('ring', 'red', 'bolt'))) AS overlap FROM part),
     pool AS (SELECT * FROM x WHERE series_id NOT IN (SELECT series_id FROM watched)
       ORDER BY overlap DESC, average_score DESC NULLS LAST, popularity DESC NULLS LAST, series_id LIMIT 120)
-    SELECT pool.series_id, CAST(overlap AS INTEGER) AS overlap, md5(substr(text, 1, 1200)) AS intro FROM pool JOIN summaries s USING (series_id)
+    SELECT pool.series_id, CAST(overlap AS INTEGER) AS overlap, md5(text) AS intro FROM pool JOIN summaries s USING (series_id)
     WHERE overlap > 0 AND abs_ep IS NULL""",
 )
 def recommend_pool(spark, sf_dir):
@@ -223,6 +223,23 @@ query("review_last", last_sql("src4", 1))(last("src4", 1))
 query("review_last_without_plot", last_sql("src8", 3))(last("src8", 3))
 
 
+def of_record(series_id: str, seen_ep: int, total: int, budget: int, mode: str):
+    """A review by the viewer's record, which lies beyond the known total."""
+
+    def run(spark, sf_dir):
+        chunks = text_chunks(spark, sf_dir)
+        series = chunks.select("series_id").distinct().withColumn("total_episodes", F.lit(total))
+        records = series.select(F.lit("u").alias("user_id"), "series_id", F.lit(seen_ep).alias("seen_ep"))
+        said, rows = reading.review(chunks, series, records, series_id, user_id="u", mode=mode, budget=budget)
+        return rows.select("chunk_id", "type", "abs_ep", "chars", F.lit(said["seen_ep"]).alias("seen_ep"))
+
+    return run
+
+
+query("review_capped_by_total", f"SELECT *, 30 AS seen_ep FROM ({summary_sql('src2', 30, 20_000)})")(of_record("src2", 999, 30, 20_000, "인물 관계"))
+query("review_last_by_record", f"SELECT *, 4 AS seen_ep FROM ({last_sql('src5', 4)})")(of_record("src5", 9, 4, 60_000, "마지막 화"))
+
+
 @query(
     "review_ask",
     f"""WITH {MEDIA_CHUNKS_SQL}, s AS (SELECT *, {sim(0)} AS score FROM chunks WHERE series_id = 'src6' AND type = 'event' AND embedding IS NOT NULL AND abs_ep <= 20),

@@ -231,6 +231,24 @@ def record_upsert(spark, sf_dir):
     return rows.select("user_id", "series_id", "seen_ep", F.round("rating", 2).alias("rating"))
 
 
+@query(
+    "record_with_previous",
+    "WITH " + RECORDS_SQL + """, b AS (SELECT k.*, e.event_type IN ('view', 'click') AS early FROM checked k JOIN events e ON e.event_id = k.change_id WHERE problem IS NULL),
+    t AS (SELECT early, user_id, series_id, arg_max(seen_ep, (updated_at, change_id)) AS seen_ep, arg_max(rating, (updated_at, change_id)) FILTER (WHERE rating IS NOT NULL) AS rating FROM b GROUP BY 1, 2, 3)
+    SELECT n.user_id, n.series_id, n.seen_ep, round(coalesce(n.rating, o.rating), 2) AS rating, o.seen_ep AS previous_seen_ep, round(o.rating, 2) AS previous_rating
+    FROM t n LEFT JOIN t o ON o.early AND o.user_id = n.user_id AND o.series_id = n.series_id WHERE NOT n.early""",
+)
+def record_with_previous(spark, sf_dir):
+    """Two batches of changes: what the second one leaves, beside what the first one had left."""
+    empty, changes, series = record_inputs(spark, sf_dir)
+    kinds = events(spark, sf_dir).select(F.col("event_id").alias("change_id"), "event_type")
+    early = F.col("event_type").isin("view", "click")
+    both = changes.join(kinds, "change_id")
+    stored = records.save(empty, both.filter(early).drop("event_type"), series)
+    rows = records.save_with_previous(stored, both.filter(~early).drop("event_type"), series)
+    return rows.withColumns({c: F.round(c, 2) for c in ("rating", "previous_rating")})
+
+
 @query(
     "record_list",
     "WITH " + RECORDS_SQL + """ SELECT user_id, series_id, coalesce(title_ko, title) AS name, seen_ep, total_episodes
