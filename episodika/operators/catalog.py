@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import functools
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from episodika.functions.text import episode_label, norm_name
@@ -14,6 +17,10 @@ MIN_HANGUL, MIN_OTHER = 2, 5
 MIN_QUERY, MIN_INSIDE_QUERY, MIN_NAME_INSIDE = 2, 3, 4
 
 
+#: characters of names in one automaton; a few hundred bytes each in a worker
+SHARD_CHARS = 2_000_000
+
+
 def title_index(series: DataFrame, entries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(name, series_id, popularity, is_main): normalised names of every series, each once.
 
@@ -47,32 +54,66 @@ def _searchable(index: DataFrame) -> DataFrame:
     return index.filter(F.col("is_main") & (F.length("name") >= shortest))
 
 
-def _prefix(name: Column) -> Column:
-    """Names meet texts on their first characters: two for Hangul names, five for others."""
-    return F.substring(name, 1, F.when(name.rlike(HANGUL), MIN_HANGUL).otherwise(MIN_OTHER))
+def _shards(names: DataFrame, chars: int) -> Iterator[list[str]]:
+    """The names in lists of at most ``chars`` characters together; the driver holds one list at a time."""
+    held, size = [], 0
+    for row in names.toLocalIterator():
+        if held and size + len(row["name"]) > chars:
+            yield held
+            held, size = [], 0
+        held.append(row["name"])
+        size += len(row["name"])
+    if held:
+        yield held
+
+
+@functools.lru_cache(maxsize=2)
+def _automaton(names: tuple[str, ...]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for name in names:
+        automaton.add_word(name, name)
+    automaton.make_automaton()
+    return automaton
+
+
+def names_in(texts: DataFrame, names: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """(text_id, name): every distinct name of ``names`` (name) that stands in a text (text_id, hay).
+
+    Names go to the tasks in shards of bounded size, each one automaton; a task reads every text once for a shard and all its names
+    at once. What leaves it is a row for each name found, so nothing grows with texts times names or with characters.
+    """
+    context = texts.sparkSession.sparkContext
+    kind = dict(texts.dtypes)["text_id"]
+    parts = []
+    for shard in _shards(names.select("name").distinct(), shard_chars):
+        sent = context.broadcast(tuple(shard))
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(sent.value)
+            for batch in batches:
+                found = [sorted({name for _, name in automaton.iter(hay.as_py())}) for hay in batch["hay"]]
+                at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                ids = batch["text_id"].take(pa.array(at, pa.int64()))
+                yield pa.record_batch([ids, pa.array([n for f in found for n in f], pa.string())], names=["text_id", "name"])
+
+        parts.append(texts.select("text_id", "hay").mapInArrow(scan, f"text_id {kind}, name string"))
+    if not parts:
+        return texts.select("text_id", F.lit(None).cast("string").alias("name")).filter(F.lit(False))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def mentions(texts: DataFrame, index: DataFrame) -> DataFrame:
     """Series whose name stands in a text: (text_id, series_id, name, popularity), longest names only.
 
-    Every position of a text is joined with the names that share its first characters and then verified, an equi-join
-    whose size follows the text, not texts times names. A position carries only as many characters as the longest name
-    has. A name inside a longer name found in the same text is dropped.
+    A name inside a longer name found in the same text is dropped.
     """
-    names = _searchable(index).select("name", "series_id", "popularity", _prefix(F.col("name")).alias("prefix"))
-    longest = names.agg(F.max(F.length("name"))).first()[0] or MIN_HANGUL
+    names = _searchable(index).select("name", "series_id", "popularity")
     hay = texts.select("text_id", norm_name("text").alias("hay")).filter(F.length("hay") >= MIN_HANGUL)
-    spots = F.sequence(F.lit(1), F.length("hay"))
-    cut = F.array_distinct(F.transform(spots, lambda i: F.substring(F.col("hay"), i, F.lit(longest))))
-    rows = hay.withColumn("tail", F.explode(cut)).select("text_id", "tail", F.col("hay").rlike(HANGUL).alias("hangul"))
-    # two-letter beginnings only where a name with Hangul could stand
-    starts = F.when(
-        F.col("hangul"), F.array(F.substring("tail", 1, MIN_HANGUL), F.substring("tail", 1, MIN_OTHER))
-    ).otherwise(F.array(F.substring("tail", 1, MIN_OTHER)))
     found = (
-        rows.select("text_id", "tail", F.explode(starts).alias("prefix"))
-        .join(names, "prefix")
-        .filter(F.col("tail").startswith(F.col("name")))
+        names_in(hay, names)
+        .join(names, "name")
         .groupBy("text_id", "series_id")
         .agg(F.max(F.struct(F.length("name").alias("n"), F.col("popularity"), F.col("name"))).alias("best"))
     )

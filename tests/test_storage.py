@@ -200,3 +200,14 @@ def test_every_table_has_its_keys_and_checks(spark):
     rows = spark.createDataFrame([("u", "A", -1, 6.0, NOW), ("u", "A", 2, None, NOW)], spec.columns)
     broken = {r["constraint"]: r["n"] for r in tables.violations(rows, spec.keys, spec.not_null, spec.checks).collect()}
     assert broken == {"unique key": 1, "seen_ep from 0": 1, "rating in range": 1}
+
+
+def test_names_are_found_in_shards_of_any_size(spark):
+    names = ["redboulder", "boulder", "bouldering", "두산", "산", "titanfall", "fall", "missing", "aaaa", "aaaaa"]
+    texts = {1: "the redbouldering of titanfall", 2: "aaaaaa", 3: "", 4: "백두산 천지", 5: "nothing", None: "boulder"}
+    df = spark.createDataFrame(list(texts.items()), "text_id long, hay string")
+    listed = spark.createDataFrame([(n,) for n in names * 2], "name string")
+    want = sorted(((t, n) for t, hay in texts.items() for n in names if n in hay), key=str)
+    for chars in (10_000, 12, 1):
+        assert sorted(map(tuple, catalog.names_in(df, listed, chars).collect()), key=str) == want
+    assert catalog.names_in(df, listed.limit(0)).count() == 0
