@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from episodika.config import DEFAULTS
 from episodika.operators.gate import Watched, narrowed, visible
+from episodika.session import cut_lineage
+
 
 def cosine(vector: Column | str, query: Sequence[float]) -> Column:
     """Cosine similarity to a fixed query, in double precision, one matrix product per Arrow batch.
@@ -100,9 +103,21 @@ def search_per_series(
     return rows.withColumn("rank_in_series", rank).filter(F.col("rank_in_series") <= int(k))
 
 
+def question_blocks(questions: DataFrame, columns: Sequence[str], block: int) -> Iterator[list[tuple]]:
+    """Rows of a table of questions in lists of at most ``block``; the driver holds one list at a time."""
+    held: list[tuple] = []
+    for row in questions.select(*columns).toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == block:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def search_many(
     chunks: DataFrame,
-    queries: Sequence[tuple[str, Sequence[float]]],
+    queries: DataFrame | Sequence[tuple[str, Sequence[float]]],
     *,
     watched: Watched,
     unrecorded: int = 0,
@@ -110,27 +125,30 @@ def search_many(
     k: int = DEFAULTS.top_k,
     block: int = 1_024,
 ) -> DataFrame:
-    """Top-k of many queries in one pass over the vectors.
+    """Top-k of many queries - a table (query_id, vector) of any size, or a list - in one pass over the vectors for each block of them.
 
-    Queries travel in blocks of bounded size; each Arrow batch is scored against a block with one matrix product. A task keeps the best
+    Queries travel in blocks of bounded size, and each block's result is written before the next one is asked; each Arrow batch is scored against a block with one matrix product. A task keeps the best
     ``k`` rows per query over all its batches (and ties with the last), so what is shuffled is tasks times queries times k.
     """
     rows = narrowed(chunks, types=types).filter(F.col("embedding").isNotNull())
     rows = visible(rows, watched=watched, unrecorded=unrecorded).select("chunk_id", "series_id", "abs_ep", "embedding")
     schema = "query_id string, chunk_id string, series_id string, abs_ep int, score double"
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc()))
+    if isinstance(queries, DataFrame):
+        blocks = question_blocks(queries, ["query_id", "vector"], block)
+    else:
+        blocks = (list(queries[start : start + block]) for start in range(0, len(queries), block))
     parts = []
-    for start in range(0, len(queries), block):
-        names = [str(n) for n, _ in queries[start : start + block]]
-        matrix = np.asarray([[float(x) for x in v] for _, v in queries[start : start + block]], dtype=np.float64)
+    for own in blocks:
+        matrix = np.asarray([[float(x) for x in v] for _, v in own], dtype=np.float64)
         matrix /= np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        parts.append(rows.mapInArrow(_local_top_k(names, matrix, int(k)), schema))
+        best = rows.mapInArrow(_local_top_k([str(n) for n, _ in own], matrix, int(k)), schema)
+        best = best.withColumn("rank", rank).filter(F.col("rank") <= int(k))
+        # a full block is followed by others, whose vectors should not all wait in one plan
+        parts.append(cut_lineage(best) if len(own) == block else best)
     if not parts:
         return chunks.sparkSession.createDataFrame([], schema + ", rank int")
-    best = parts[0]
-    for part in parts[1:]:
-        best = best.unionByName(part)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc()))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= int(k))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _local_top_k(names: list[str], matrix: np.ndarray, k: int):

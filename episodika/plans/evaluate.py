@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -9,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from episodika.operators import vectors
+from episodika.session import cut_lineage
 
 # Lengths of a scene worth asking about and the default sample per series.
 SCENE_CHARS = (400, 900)
 PER_SERIES = 12
+#: questions asked at once
+BLOCK = 512
 
 
 def rank_in_hits(hits: DataFrame, gold: DataFrame) -> DataFrame:
@@ -30,69 +34,91 @@ def rank_in_hits(hits: DataFrame, gold: DataFrame) -> DataFrame:
     return gold.select("query_id").distinct().join(hit, "query_id", "left").join(show, "query_id", "left")
 
 
-def exact_ranks(chunks: DataFrame, questions: Sequence[tuple[str, str, Sequence[int], Sequence[float]]]) -> DataFrame:
+def exact_ranks(chunks: DataFrame, questions: DataFrame, block: int = BLOCK) -> DataFrame:
     """Exact ranks of gold among all episodes: query_id, in_series, global, series.
 
-    ``questions``: (id, series_id, gold episodes, vector), a bounded evaluation set. An episode scores as its best chunk
-    and its rank is one more than the number of better episodes. A first pass finds, per question, the best score of the
-    gold episodes and of their series; in the second only chunks beating the gold leave the scan and distinct episodes
-    are counted, so nothing is ever sorted as a whole. A question whose gold has no scored chunk has NULL ranks.
+    ``questions``: query_id, series_id, gold (array of episodes), vector - a table of any size, asked in blocks. An episode scores as its
+    best chunk and its rank is one more than the number of better episodes. A question whose gold has no scored chunk has NULL ranks.
+
+    The chunks of an episode are brought together once; then each block takes two passes. The first finds the best score of the gold
+    episodes and of their series, the second counts, per question and series, the episodes that beat the gold. What leaves a task is at
+    most a row for each question and series, never a chunk or an episode.
     """
     spark = chunks.sparkSession
-    rows = chunks.filter(F.coalesce("abs_ep", F.lit(0)) != 0).select("series_id", "abs_ep", "embedding")
-    names = [q for q, _, _, _ in questions]
-    home = [s for _, s, _, _ in questions]
-    gold = [{(s, int(e)) for e in es} for _, s, es, _ in questions]
-    matrix = np.asarray([[float(x) for x in v] for _, _, _, v in questions])
+    rows = chunks.filter(F.coalesce("abs_ep", F.lit(0)) != 0).select(F.col("series_id").cast("string"), F.col("abs_ep").cast("int"), "embedding")
+    rows = cut_lineage(rows.repartition("series_id", "abs_ep").sortWithinPartitions("series_id", "abs_ep"))
+    parts = [cut_lineage(_block_ranks(rows, own)) for own in vectors.question_blocks(questions, ["query_id", "series_id", "gold", "vector"], block)]
+    if not parts:
+        return spark.createDataFrame([], "query_id string, in_series int, global int, series int")
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _block_ranks(rows: DataFrame, questions: list[tuple]) -> DataFrame:
+    spark = rows.sparkSession
+    names, home = [str(q) for q, *_ in questions], [s for _, s, _, _ in questions]
+    matrix = np.asarray([[float(x) for x in v] for *_, v in questions])
     matrix /= np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    gold: dict[tuple[str, int], list[int]] = {}
+    at_home: dict[str, list[int]] = {}
+    for n, (_, series, episodes, _) in enumerate(questions):
+        at_home.setdefault(series, []).append(n)
+        for episode in episodes or []:
+            if episode is not None:
+                gold.setdefault((series, int(episode)), []).append(n)
     rows = rows.filter(F.size("embedding") == matrix.shape[1])
 
-    def similarities(batch: pa.RecordBatch) -> np.ndarray:
-        vecs = vectors._matrix(batch.column("embedding"), matrix.shape[1])
-        length = np.sqrt((vecs * vecs).sum(axis=1))
-        return matrix @ (vecs / np.where(length > 0, length, np.nan)[:, None]).T
-
-    def own_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def episodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[int], np.ndarray]]:
+        """Series, numbers and best scores (questions x episodes) of whole episodes; one that a batch cuts goes on in the next."""
+        carried = None
         for batch in batches:
-            if batch.num_rows == 0:
+            table = pa.Table.from_batches([batch]) if carried is None else pa.concat_tables([carried, pa.Table.from_batches([batch])])
+            if not table.num_rows:
                 continue
-            series = batch.column("series_id").to_pylist()
-            pairs = list(zip(series, batch.column("abs_ep").to_pylist()))
-            sims = similarities(batch)
-            own = np.where(np.array([[x == s for x in series] for s in home]), sims, -np.inf).max(axis=1)
-            hit = np.where(np.array([[p in g for p in pairs] for g in gold]), sims, -np.inf).max(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(hit), pa.array(own)], names=["query_id", "gold", "own"])
-
-    found = rows.mapInArrow(own_scores, "query_id string, gold double, own double").groupBy("query_id").agg(
-        F.max("gold").alias("gold"), F.max("own").alias("own")
-    )
-    best = {r["query_id"]: (r["gold"], r["own"]) for r in found.collect() if r["gold"] > float("-inf")}
-    floor = np.array([best[q][0] if q in best else np.inf for q in names])
+            series, number = table["series_id"].to_pylist(), table["abs_ep"].to_pylist()
+            starts = [0] + [i for i in range(1, len(series)) if (series[i], number[i]) != (series[i - 1], number[i - 1])]
+            carried = table.slice(starts[-1])
+            if len(starts) > 1:
+                yield best(table.slice(0, starts[-1]), series, number, starts[:-1])
+        if carried is not None:
+            yield best(carried, carried["series_id"].to_pylist(), carried["abs_ep"].to_pylist(), [0])
+
+    def best(table: pa.Table, series: list[str], number: list[int], starts: list[int]) -> tuple[list[str], list[int], np.ndarray]:
+        vecs = vectors._matrix(table["embedding"].combine_chunks(), matrix.shape[1])
+        length = np.sqrt((vecs * vecs).sum(axis=1))
+        sims = matrix @ np.where(length > 0, vecs.T / np.where(length > 0, length, 1.0), np.nan)
+        # a vector without direction scores nothing
+        sims = np.where(np.isnan(sims), -np.inf, sims)
+        return [series[i] for i in starts], [number[i] for i in starts], np.maximum.reduceat(sims, starts, axis=1)
 
-    def better_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            sims = similarities(batch)
-            q_idx, r_idx = np.nonzero(sims > floor[:, None])
-            taken = batch.take(pa.array(r_idx))
+    def own_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit, own = np.full(len(names), -np.inf), np.full(len(names), -np.inf)
+        for series, number, scores in episodes(batches):
+            for e, (s, n) in enumerate(zip(series, number, strict=True)):
+                for into, asked in ((own, at_home.get(s)), (hit, gold.get((s, n)))):
+                    if asked:
+                        into[asked] = np.maximum(into[asked], scores[asked, e])
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(hit), pa.array(own)], names=["query_id", "gold", "own"])
+
+    found = rows.mapInArrow(own_scores, "query_id string, gold double, own double").groupBy("query_id").agg(F.max("gold").alias("gold"), F.max("own").alias("own"))
+    known = {r["query_id"]: (r["gold"], r["own"]) for r in found.collect() if r["gold"] > float("-inf")}  # at most a block
+    floor = np.array([known[q][0] if q in known else np.inf for q in names])
+
+    def better(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for series, _, scores in episodes(batches):
+            # episodes are sorted by series
+            cuts = [0] + [i for i in range(1, len(series)) if series[i] != series[i - 1]]
+            n, top = np.add.reduceat((scores > floor[:, None]).astype(np.int64), cuts, axis=1), np.maximum.reduceat(scores, cuts, axis=1)
+            q, s = np.nonzero(n)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([names[i] for i in q_idx], pa.string()),
-                    taken.column("series_id").cast(pa.string()),
-                    taken.column("abs_ep").cast(pa.int32()),
-                    pa.array(sims[q_idx, r_idx], pa.float64()),
-                ],
-                names=["query_id", "series_id", "abs_ep", "score"],
+                [pa.array([names[i] for i in q], pa.string()), pa.array([series[cuts[i]] for i in s], pa.string()), pa.array(n[q, s]), pa.array(top[q, s])],
+                names=["query_id", "series_id", "n", "top"],
             )
 
-    schema = "query_id string, series_id string, abs_ep int, score double"
-    asked = spark.createDataFrame([(q, s, best[q][1] if q in best else None, q in best) for q, s in zip(names, home)], "query_id string, home string, own double, found boolean")
-    better = rows.mapInArrow(better_chunks, schema).groupBy("query_id", "series_id", "abs_ep").agg(F.max("score").alias("score"))
-    counts = better.join(asked, "query_id").groupBy("query_id").agg(
-        F.count_if(F.col("series_id") == F.col("home")).alias("inside"),
-        F.count("*").alias("all"),
-        F.count_distinct(F.when((F.col("series_id") != F.col("home")) & (F.col("score") > F.col("own")), F.col("series_id"))).alias("shows"),
+    asked = spark.createDataFrame([(q, s, known[q][1] if q in known else None, q in known) for q, s in zip(names, home, strict=True)], "query_id string, home string, own double, found boolean")
+    beaten = rows.mapInArrow(better, "query_id string, series_id string, n long, top double").groupBy("query_id", "series_id").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    counts = beaten.join(asked, "query_id").groupBy("query_id").agg(
+        F.sum(F.when(F.col("series_id") == F.col("home"), F.col("n"))).alias("inside"), F.sum("n").alias("all"),
+        F.count_if((F.col("series_id") != F.col("home")) & (F.col("top") > F.col("own"))).alias("shows"),
     )
     place = lambda c: F.when(F.col("found"), (F.coalesce(c, F.lit(0)) + 1).cast("int"))
     return asked.join(counts, "query_id", "left").select(

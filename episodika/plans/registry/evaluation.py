@@ -12,7 +12,7 @@ from episodika.operators.gate import ALL_EPISODES
 from episodika.plans import embedding, evaluate
 from episodika.plans.derived import TEXT_CHUNKS_SQL, VECTOR_CHUNKS_SQL, documents, table, text_chunks, vector_chunks
 from episodika.plans.registry.base import query
-from episodika.plans.registry.retrieval import MAX_QUESTIONS, QUESTIONS_SQL
+from episodika.plans.registry.retrieval import QUESTIONS_SQL
 from episodika.session import shared_folder
 from episodika.sources.landing import after_mark, resume_after
 from episodika.sources.tables import read_table
@@ -26,15 +26,12 @@ scored AS (SELECT g.query_id, g.series_id AS home, g.gold_ep, c.series_id, c.abs
 
 
 def questions(spark, sf_dir):
-    """First vector of every label as question, the episode of its last one as gold; bounded by the number of labels."""
+    """First vector of every label as question, the episode of its last one as gold: query_id, series_id, gold, vector."""
     rows = vector_chunks(spark, sf_dir).groupBy("series_id").agg(
         F.min_by("embedding", "vec_id").alias("v"),
         F.max_by("abs_ep", F.when(F.col("abs_ep").isNotNull(), F.col("vec_id"))).alias("ep"),
     )
-    found = rows.limit(MAX_QUESTIONS + 1).collect()
-    if len(found) > MAX_QUESTIONS:
-        raise ValueError("too many questions for one call")
-    return [(r["series_id"][1:], r["series_id"], [r["ep"]], r["v"]) for r in sorted(found, key=lambda r: r["series_id"])]
+    return rows.select(F.substring("series_id", 2, 99).alias("query_id"), "series_id", F.array("ep").alias("gold"), F.col("v").alias("vector"))
 
 
 @query(
@@ -52,9 +49,9 @@ def exact_gold_ranks(spark, sf_dir):
 def list_ranks(spark, sf_dir, types):
     asked = questions(spark, sf_dir)
     hits = vectors.search_many(
-        vector_chunks(spark, sf_dir), [(q, v) for q, _, _, v in asked], watched={}, unrecorded=ALL_EPISODES, types=types, k=60
+        vector_chunks(spark, sf_dir), asked, watched={}, unrecorded=ALL_EPISODES, types=types, k=60
     )
-    gold = spark.createDataFrame([(q, s, int(e)) for q, s, es, _ in asked for e in es], "query_id string, series_id string, abs_ep int")
+    gold = asked.select("query_id", "series_id", F.explode("gold").alias("abs_ep"))
     return evaluate.rank_in_hits(hits, gold)
 
 

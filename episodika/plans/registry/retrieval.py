@@ -126,17 +126,10 @@ def vector_topk_per_series(spark, sf_dir):
     return hits.select("series_id", "chunk_id", "abs_ep", "rank_in_series", score6())
 
 
-MAX_QUESTIONS = 10_000
-
-
 def label_questions(spark, sf_dir):
-    """The first stored vector of every label as a question; their number is checked before it reaches the driver."""
+    """The first stored vector of every label as a question: query_id, vector."""
     e = table(spark, sf_dir, "embeddings")
-    firsts = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"), F.min("vec_id").alias("vec_id"))
-    rows = firsts.limit(MAX_QUESTIONS + 1).collect()
-    if len(rows) > MAX_QUESTIONS:
-        raise ValueError("too many questions for one call; ask them in blocks")
-    return sorted((r["vec_id"], r["label"], [float(x) for x in r["v"]]) for r in rows)
+    return e.groupBy(F.col("label").cast("string").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
 
 
 QUESTIONS_SQL = """questions AS (
@@ -153,9 +146,8 @@ QUESTIONS_SQL = """questions AS (
     FROM r WHERE rank <= 25""",
 )
 def vector_topk_batch(spark, sf_dir):
-    questions = [(str(label), v) for _, label, v in label_questions(spark, sf_dir)]
     hits = vectors.search_many(
-        vector_chunks(spark, sf_dir), questions, watched=VECTOR_WATCHED, unrecorded=ALL_EPISODES, types=None, k=25
+        vector_chunks(spark, sf_dir), label_questions(spark, sf_dir), watched=VECTOR_WATCHED, unrecorded=ALL_EPISODES, types=None, k=25
     )
     return hits.select("query_id", "chunk_id", "abs_ep", "rank", score6())
 
@@ -168,7 +160,7 @@ def vector_topk_batch(spark, sf_dir):
 )
 def vector_topk_cells(spark, sf_dir):
     chunks = vector_chunks(spark, sf_dir)
-    centres = [v for _, _, v in label_questions(spark, sf_dir)]
+    centres = vector_index.choose_centres(chunks, 10)
     cells = vectors.build_cells(chunks, centres)
     hits = vectors.search_cells(
         cells, centres, vectors.cell_radii(cells), vector_of(spark, sf_dir, 5), watched=VECTOR_WATCHED, k=10
