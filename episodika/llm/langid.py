@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from episodika.llm.common import replace_columns, whole
+from episodika.llm.common import numbered, replace_columns, whole
 from episodika.session import cut_lineage
 
 #: rows of each label that the text model is fitted on, groups that they are drawn from, and buckets of trigrams
@@ -174,7 +174,15 @@ def address_parts(host: Column) -> tuple[Column, Column]:
 
 
 def languages(rows: DataFrame, model: tuple[list[str], np.ndarray, list[float]]) -> DataFrame:
-    """``rows`` (any columns with text, declared, host) without its text, with language, confidence, kept."""
+    """``rows`` (any columns with text, declared, host) without these three, with language, confidence, kept; columns called like a result give way."""
+    plain, at = numbered(rows)
+    told = _languages(plain.withColumnsRenamed({at[c]: c for c in ("text", "declared", "host")}), model)
+    gone = {"text", "declared", "host", "language", "confidence", "kept"}
+    others = [F.col(f"c{i}").alias(c) for i, c in enumerate(rows.columns) if c.lower() not in gone]
+    return told.select(*others, "language", "confidence", "kept")
+
+
+def _languages(rows: DataFrame, model: tuple[list[str], np.ndarray, list[float]]) -> DataFrame:
     known, log, *own_levels = model
     if not known:
         return replace_columns(rows, language=F.lit("und"), confidence=F.lit(0.0), kept=F.lit(False)).drop("text", "declared", "host")

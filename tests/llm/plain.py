@@ -186,3 +186,49 @@ def variants(rows, min_chars=7, min_count=2, ratio=10, every=31):
             root = form[root]
         out[w] = (form[w], root, n[w], len(near[w]), n[form[w]] if form[w] is not None else None)
     return out
+
+
+def fused_languages(rows, model, temper, trust, parent_rows, least, foreign):
+    """(language, confidence, kept) of each row (text, declared, host) by Bayes' rule, one row at a time; ``model`` as fitted."""
+    import math
+
+    known, log, levels = model
+
+    def grams(text):
+        letters = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip()
+        raw = f" {letters} ".encode() if letters else b""
+        return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 16 for i in range(len(raw) - 2)]
+
+    def softmax(values):
+        powers = [math.exp(v - max(values)) for v in values]
+        return [p / sum(powers) for p in powers]
+
+    def parts(host):
+        labels = host.split(".")
+        return (".".join(labels[-2:]), labels[-1]) if len(labels) > 1 else (host, "")
+
+    seen = []
+    for text, declared, host in rows:
+        own = grams(text)
+        evidence = [temper * sum(float(log[k, g]) for g in own) for k in range(len(known))]
+        host = (host or "").lower()
+        seen.append((len(own), evidence, softmax(evidence), (host, *parts(host)), (declared or "").split("-")[0].lower()))
+    sums = defaultdict(lambda: [0.0] * (len(known) + 1))
+    for n, _, soft, place, _ in seen:
+        if n:
+            for level in (place, place[1:], place[2:], ()):
+                for k, s in enumerate([*soft, 1.0]):
+                    sums[level][k] += s
+    every = [(sums[()][k] + 1) / (sums[()][-1] + len(known)) for k in range(len(known))]
+    smooth = lambda level, parent: [(sums[level][k] + parent_rows * parent[k]) / (sums[level][-1] + parent_rows) for k in range(len(known))]
+    out = []
+    for n, evidence, soft, place, declared in seen:
+        parent = smooth(place[1:], smooth(place[2:], every))
+        own = 1 if n else 0
+        prior = [math.log((max(sums[place][k] - soft[k] * own, 0) + parent_rows * parent[k]) / (sums[place][-1] - own + parent_rows)) for k in range(len(known))]
+        said = [0.0 if declared not in known else math.log(trust if c == declared else (1 - trust) / max(1, len(known) - 1)) for c in known]
+        posterior = softmax([e + p + s for e, p, s in zip(evidence, prior, said, strict=True)])
+        at = posterior.index(max(posterior))
+        best = posterior[at] / (1 + math.exp(min(700, -(evidence[at] - temper * n * levels[at]))) * foreign / (1 - foreign))
+        out.append((known[at], best, best >= least) if n else ("und", 0.0, False))
+    return out

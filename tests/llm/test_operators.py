@@ -524,6 +524,30 @@ def test_language_id_evidence(spark):
     assert langid.languages(df.limit(0), model).count() == 0
 
 
+def test_language_id_equals_a_plain_fusion(spark):
+    """Evidence, soft counts of hosts, domains, suffixes and all rows, declaration and rejection, recomputed one row at a time."""
+    r = random.Random(2)
+    words = {"en": "the of and river stone house", "de": "der die und fluss stein haus", "fr": "le la et fleuve pierre maison"}
+    labelled = [(i, " ".join(r.choice(words[lang].split()) for _ in range(30)), lang, None) for i, lang in enumerate(["en", "de", "fr"] * 20)]
+    train = spark.createDataFrame(labelled, "doc_id long, text string, lang string, source string")
+    hosts = ["a.example.de", "b.example.de", "x.org", "X.org", "localhost", None, ""]
+    rows = [(" ".join(r.choice(words[r.choice(["en", "de", "fr"])].split()) for _ in range(r.randrange(1, 9))), r.choice(["en", "de-AT", "xx", None, ""]), r.choice(hosts)) for _ in range(80)]
+    rows += [(None, "en", "x.org"), ("123 !", None, None), ("zzqj xkqv wwxz qqzj", "fr", "x.org"), ("der und " * 20_000, "en", "a.example.de")] + [("the river", "en", "x.org")] * 3
+    model = langid.fit_text(train)
+    want = plain.fused_languages(rows, model, langid.TEMPER, langid.TRUST, langid.PARENT_ROWS, langid.LEAST, langid.FOREIGN)
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "n long, text string, declared string, host string").repartition(3)
+    found = {x.n: (x.language, x.confidence, x.kept) for x in langid.languages(df, model).collect()}
+    for n, (language, confidence, kept) in enumerate(want):
+        assert found[n][0] == language and found[n][2] == kept and math.isclose(found[n][1], confidence, rel_tol=1e-6, abs_tol=1e-9), (n, rows[n], found[n], want[n])
+    assert {x[2] for x in want} == {True, False}
+
+
+def test_language_id_other_columns_and_ties(spark):
+    df = spark.createDataFrame([(1, "same same", None, None, "x")] * 2, "doc_id long, text string, declared string, host string, evidence string")
+    out = langid.languages(df.withColumns({c: F.lit("y") for c in ("domain", "suffix", "grams", "soft")}), (["aa", "bb"], np.zeros((2, langid.BUCKETS), np.float32), [-99.0, -99.0]))
+    assert {x.language for x in out.collect()} == {"aa"}  # equal posteriors: the first by name
+
+
 def test_foreign_texts_and_noise_are_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit_text(docs)
