@@ -9,7 +9,7 @@ from pyspark.sql import functions as F, types as T
 
 from episodika.operators import vectors
 from episodika.operators.gate import ALL_EPISODES
-from episodika.plans import embedding, evaluate
+from episodika.plans import chunkers, embedding, evaluate, vector_store
 from episodika.plans.derived import TEXT_CHUNKS_SQL, VECTOR_CHUNKS_SQL, documents, table, text_chunks, vector_chunks
 from episodika.plans.registry.base import query
 from episodika.plans.registry.retrieval import QUESTIONS_SQL
@@ -147,6 +147,34 @@ def incremental_embedding(spark, sf_dir):
     return fresh.select("chunk_id", value(0, "a"), value(4, "u"))
 
 
+@query(
+    "content_addressed_vectors",
+    f"""WITH u AS (SELECT doc_id, [{', '.join(_count(v) for v in 'aeiou')}] AS x FROM documents), s AS (SELECT doc_id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS n FROM u),
+    d AS (SELECT count(DISTINCT coalesce(text, '')) AS first_run FROM documents)
+    SELECT doc_id, round(CASE WHEN n > 0 THEN x[1] / n ELSE 0 END, 4) AS a, round(CASE WHEN n > 0 THEN x[5] / n ELSE 0 END, 4) AS u, first_run, 0 AS second_run FROM s, d""",
+)
+def content_addressed_vectors(spark, sf_dir):
+    """Every distinct text is encoded once; a second run over the same texts, under other ids, encodes nothing."""
+    store = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = vector_store.encode_missing(d, store, "vowels", letter_encoder)
+    second = vector_store.encode_missing(d.withColumn("doc_id", -F.col("doc_id")), store, "vowels", letter_encoder)
+    value = lambda i, name: F.round(F.col("embedding")[i].cast("double"), 4).alias(name)
+    return vector_store.with_vectors(d, store, "vowels").select("doc_id", value(0, "a"), value(4, "u"), F.lit(first).alias("first_run"), F.lit(second).alias("second_run"))
+
+
+# no SQL check: one of the five methods chooses cuts one after the other; a test compares ranks with brute force
+@query("chunker_comparison")
+def chunker_comparison(spark, sf_dir):
+    """Scenes of the sample as questions, the texts of all English documents as plots."""
+    store = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    scenes = text_chunks(spark, sf_dir).filter("type = 'event'")
+    plots = scenes.groupBy("series_id", "abs_ep").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("plot"))
+    plots = plots.withColumn("head", F.concat("series_id", F.lit(" "), "abs_ep"))
+    asked = evaluate.sample_questions(scenes).select(F.col("chunk_id").alias("query_id"), "series_id", F.array("abs_ep").alias("gold"), F.substring("text", 1, 200).alias("text"))
+    return chunkers.summary(chunkers.compare(plots, asked, store, "vowels", letter_encoder))
+
+
 # no SQL check: cuts are chosen one after the other; a test compares with hand-made sentences
 @query("chunk_semantic")
 def chunk_semantic(spark, sf_dir):
