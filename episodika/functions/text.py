@@ -299,12 +299,6 @@ def host_matches(url: Column | str, host: str) -> Column:
     return F.coalesce((name == host) | name.endswith("." + host), F.lit(False))
 
 
-def infobox_ok(value: Column, want: str) -> Column:
-    """Case-insensitive equality with a wanted value; a leading ``!`` negates, a missing value counts as empty."""
-    v = F.lower(F.coalesce(value, F.lit("")))
-    return v != want[1:].lower() if want.startswith("!") else v == want.lower()
-
-
 def episode_label(season: Column, number: Column, abs_ep: Column, title: Column) -> Column:
     # Fixed format of an episode label.
     lead = F.when(F.coalesce(season, F.lit(0)) != 0, F.format_string("%d기 %d화 ", season, number)).otherwise(F.lit(""))

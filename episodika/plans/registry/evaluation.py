@@ -14,7 +14,7 @@ from episodika.plans.derived import TEXT_CHUNKS_SQL, VECTOR_CHUNKS_SQL, document
 from episodika.plans.registry.base import query
 from episodika.plans.registry.retrieval import QUESTIONS_SQL
 from episodika.session import shared_folder
-from episodika.sources.landing import after_mark, resume_after
+from episodika.sources.landing import after_mark, first_writer, items_of, json_document, resume_after
 from episodika.sources.tables import read_table
 from episodika.streaming import incremental
 
@@ -163,6 +163,34 @@ def content_addressed_vectors(spark, sf_dir):
     return vector_store.with_vectors(d, store, "vowels").select("doc_id", value(0, "a"), value(4, "u"), F.lit(first).alias("first_run"), F.lit(second).alias("second_run"))
 
 
+@query(
+    "vectors_filled_in",
+    f"""WITH u AS (SELECT doc_id, [{', '.join(_count(v) for v in 'aeiou')}] AS x FROM documents), s AS (SELECT doc_id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS n FROM u)
+    SELECT s.doc_id, round(CASE WHEN vec_id IS NOT NULL THEN CAST(embedding[1] AS DOUBLE) WHEN n > 0 THEN x[1] / n ELSE 0 END, 4) AS first FROM s LEFT JOIN embeddings ON vec_id = doc_id""",
+)
+def vectors_filled_in(spark, sf_dir):
+    """Chunks after an embedding run: stored vectors stay, missing ones are filled in."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    chunks = table(spark, sf_dir, "documents").join(e, "doc_id", "left").select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.lit("event").alias("type"), "text", "embedding")
+    rows = embedding.with_new_vectors(chunks, embedding.embed(chunks, letter_encoder))
+    return rows.select("doc_id", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
+
+
+@query("landed_items", "SELECT doc_id, lang, source FROM documents")
+def landed_items(spark, sf_dir):
+    """JSON documents, one of each source, read back as their items."""
+    folder = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select("source", F.struct("doc_id", "lang").alias("item"))
+    d.groupBy("source").agg(F.collect_list("item").alias("data")).write.partitionBy("source").json(folder)
+    landed = json_document(spark, folder, T.StructType.fromDDL("data array<struct<doc_id:long,lang:string>>, source string"))
+    return items_of(landed.withColumn("data", F.transform("data", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["lang"].alias("lang"), F.col("source").alias("source")))))
+
+
+@query("directory_map", "SELECT p_brand, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY 1")
+def directory_map(spark, sf_dir):
+    return first_writer(table(spark, sf_dir, "part"), "p_brand", "p_name", "p_partkey")
+
+
 # no SQL check: one of the five methods chooses cuts one after the other; a test compares ranks with brute force
 @query("chunker_comparison")
 def chunker_comparison(spark, sf_dir):

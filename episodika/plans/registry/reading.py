@@ -183,6 +183,32 @@ def recommend_pool(spark, sf_dir):
     return rows.select("series_id", "overlap", F.md5("intro").alias("intro"))
 
 
+@query(
+    "series_lookup",
+    "SELECT 'c' || c_custkey AS series_id, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name ELSE 'K ' || c_name END AS name FROM customer WHERE c_custkey = 7",
+)
+def series_lookup(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    series = c.select(F.concat(F.lit("c"), "c_custkey").alias("series_id"), F.col("c_name").alias("title"), F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.concat(F.lit("K "), "c_name")).alias("title_ko"))
+    return catalog.series_info(series, "c7").select("series_id", "name")
+
+
+@query(
+    "episode_lookup",
+    """SELECT o_orderkey, CASE WHEN o_orderpriority <> '3-MEDIUM' THEN substr(o_orderpriority, 1, 1) || '기 ' || o_orderkey % 100 || '화 ' ELSE '' END || '(전체 ' || o_orderkey % 1000 || '화)'
+      || CASE WHEN o_orderkey % 2 = 0 THEN ' 〈Order ' || o_orderkey || '〉' WHEN o_orderkey % 3 > 0 THEN ' 〈F ' || o_orderkey || '〉' ELSE '' END AS label
+    FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 1000 % 3 = 0""",
+)
+def episode_lookup(spark, sf_dir):
+    key = F.col("o_orderkey")
+    episodes = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderstatus").alias("series_id"), (key % 1000).cast("int").alias("abs_ep"),
+        F.when(F.col("o_orderpriority") != "3-MEDIUM", F.substring("o_orderpriority", 1, 1).cast("int")).alias("tmdb_season"), (key % 100).cast("int").alias("tmdb_number"),
+        F.lit("").alias("title_ko"), F.when(key % 2 == 0, F.concat(F.lit("Order "), key)).alias("title_en"), F.when(key % 3 > 0, F.concat(F.lit("F "), key)).alias("fandom_title"),
+    )
+    return catalog.episodes_of(episodes, "F", range(0, 1000, 3)).select("o_orderkey", "label")
+
+
 # ---- reviews --------------------------------------------------------------------------------------------------------
 def summary_sql(series_id: str, seen: int, budget: int) -> str:
     return f"""WITH {TEXT_CHUNKS_SQL}, r AS (SELECT * FROM chunks WHERE series_id = '{series_id}' AND type IN ('episode', 'plot') AND abs_ep BETWEEN 1 AND {seen}),
