@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from episodika.llm import queries as llm_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -109,4 +110,4 @@ def test_entry_without_this_part(gone, tmp_path):
         block = "import importlib.abc, sys\nclass No(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, *a):\n        if name in ('corpus_pipeline', 'episodika.llm'): raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\n"
     out = subprocess.run([sys.executable, "-c", block + "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=root, capture_output=True, text=True, check=True)
     assert out.stdout.split()[-1] == str(not gone)
-    assert len(entry.queries()) - int(out.stdout.split()[-2]) == (11 if gone else 0)
+    assert len(entry.queries()) - int(out.stdout.split()[-2]) == (len(llm_queries.QUERIES) + 1 if gone else 0)
