@@ -41,6 +41,11 @@ ANALYZERS: dict[str, tuple[Callable[[Iterable[str]], list[str]], Callable[[Colum
 }
 
 
+def ranking() -> list[Column]:
+    """Best score first, ties by chunk id. Sums of the same weights in another order differ in their last bits; nine decimals make them ties."""
+    return [F.round("score", 9).desc(), F.col("chunk_id").asc()]
+
+
 def idf(total: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (total - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
@@ -85,7 +90,7 @@ def search(
             ),
         )
     )
-    return scored.drop("_matched", "_n").orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(int(k))
+    return scored.drop("_matched", "_n").orderBy(*ranking()).limit(int(k))
 
 
 # ---------------------------------------------------------------- inverted index
@@ -140,7 +145,7 @@ def search_index(
     weights = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weights = weights.select("term", idf(total.cast("double"), F.col("df")).alias("weight"))
     best = hits.join(weights, "term").groupBy("chunk_id", "series_id", "type", "abs_ep").agg(F.sum("weight").alias("score"))
-    return best.orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(int(k))
+    return best.orderBy(*ranking()).limit(int(k))
 
 
 def search_postings(
@@ -167,7 +172,7 @@ def search_postings(
         hits.join(weights, "term")
         .groupBy("chunk_id")
         .agg(F.sum("weight").alias("score"))
-        .orderBy(F.col("score").desc(), F.col("chunk_id").asc())
+        .orderBy(*ranking())
         .limit(int(k))
     )
-    return chunks.join(best, "chunk_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
+    return chunks.join(best, "chunk_id").orderBy(*ranking())

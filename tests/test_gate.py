@@ -1,5 +1,6 @@
 """Nothing beyond the watched position, and everything up to it, for every reading function."""
 
+import itertools
 import random
 
 import numpy as np
@@ -147,3 +148,13 @@ def test_reviews_and_dictionary_stay_behind_the_position(spark, chunks, seen):
 def test_run_time_check_fails_on_a_leak(chunks):
     with pytest.raises(Exception, match="beyond the watched position"):
         reading.assert_visible(chunks, 3).select("abs_ep").collect()
+
+
+def test_equal_keyword_scores_are_ties_whatever_the_order_of_the_words(spark):
+    words = ["alpha", "beta", "gamma"]
+    texts = [" ".join(p) for p in itertools.permutations(words)] + ["beta"] * 0 + ["gamma"] * 2
+    rows = [(f"{i:02}", "A", "event", 1, text) for i, text in enumerate(texts)] + [(f"x{i:02}", "A", "event", 1, text) for i, text in enumerate(reversed(texts[:6]))]
+    df = spark.createDataFrame(rows, "chunk_id string, series_id string, type string, abs_ep int, text string").cache()
+    scope = dict(watched={"A": 9}, series_ids=None, types=["event"], k=12, analyzer="simple")
+    for found in (keywords.search(df, [" ".join(words)], **scope), keywords.search_postings(keywords.build_postings(df, "simple"), df, [" ".join(words)], **scope)):
+        assert [r["chunk_id"] for r in found.collect()] == sorted(r[0] for r in rows if len(r[4]) > 5)
