@@ -119,8 +119,11 @@ def latest_per_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str]
 
 
 def copy_by_ids(source: DataFrame, ids: DataFrame, columns: Sequence[str], key: str = "series_id", skip: Sequence[str] = ()) -> DataFrame:
-    """Rows of the listed ids with the columns of the destination, aligned by name; columns the source lacks are NULL."""
+    """Rows of the listed ids with the columns of the destination, aligned by name; columns the source lacks are NULL.
+
+    The ids are hashed, as the rows, which hold whole texts, would else be sorted.
+    """
     wanted = [c for c in columns if c not in skip]
-    return source.join(ids.select(key), key, "left_semi").select(
+    return source.join(ids.select(key).hint("shuffle_hash"), key, "left_semi").select(
         *[F.col(c) if c in source.columns else F.lit(None).alias(c) for c in wanted]
     )

@@ -211,3 +211,12 @@ def test_names_are_found_in_shards_of_any_size(spark):
     for chars in (10_000, 12, 1):
         assert sorted(map(tuple, catalog.names_in(df, listed, chars).collect()), key=str) == want
     assert catalog.names_in(df, listed.limit(0)).count() == 0
+
+
+def test_copied_rows_are_not_sorted(spark):
+    source = spark.createDataFrame([(s, "x" * 9) for s in "aabc"], "series_id string, plot string")
+    ids = spark.createDataFrame([("a",), ("a",), ("c",)], "series_id string")
+    copied = merge.copy_by_ids(source, ids, ["series_id", "plot", "added"])
+    plan = copied._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortAggregate", "")
+    assert sorted(r["series_id"] for r in copied.collect()) == ["a", "a", "c"]
