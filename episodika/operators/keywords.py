@@ -10,13 +10,16 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from episodika.functions.stem import STOP_WORDS, english_stems, stem
+from episodika.functions.stem import STOP_WORDS, english_stems, is_stop_word, stem, word_stem
 from episodika.operators.gate import Watched, narrowed, visible
 
 # Fixed value: what counts as a word of the question.
 QUERY_WORD = r"[A-Za-z0-9]{2,}"
 DOCUMENT_WORD = r"[\p{L}\p{N}]+"
 
+#: rows whose postings make one file at most, on average
+CHUNKS_PER_FILE = 5_000
+
 
 def query_words(texts: Iterable[str]) -> list[str]:
     """Distinct lower-case words of the question texts in order of appearance."""
@@ -63,7 +66,8 @@ def search(
 ) -> DataFrame:
     """Top-k rows by summed rarity, ties by chunk id.
 
-    Two scans and no shuffle of the rows: the first counts visible rows and rows per query term (partial aggregation
+    Stems are made in Python, of one word a row, so that no batch there holds whole texts; only words with a wanted stem are shuffled.
+    Plain words need two scans and no shuffle of the rows: the first counts visible rows and rows per query term (partial aggregation
     over at most ``len(terms) + 1`` keys), the second scores each row in place and keeps ``k``.
     """
     to_terms, to_words = ANALYZERS[analyzer]
@@ -72,6 +76,10 @@ def search(
     rows = visible(narrowed(chunks, series_ids=series_ids, types=types), watched=watched, unrecorded=unrecorded)
     if not terms or series_ids == []:
         return rows.withColumn("score", F.lit(None).cast("double")).filter(F.lit(False))
+    if analyzer == "english":
+        words = rows.select("chunk_id", F.explode(document_words("text")).alias("word")).filter(~is_stop_word(F.col("word")))
+        hits = words.select("chunk_id", word_stem("word").alias("term")).filter(F.col("term").isin(terms)).distinct()
+        return _best(hits, rows.agg(F.count("*")).scalar(), rows, k)
     wanted = F.array(*[F.lit(t) for t in terms])
     matched = F.array_intersect(to_words("text"), wanted)
 
@@ -93,6 +101,20 @@ def search(
     return scored.drop("_matched", "_n").orderBy(*ranking()).limit(int(k))
 
 
+def _best(hits: DataFrame, total: Column, chunks: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best ``chunks`` from (chunk_id, term) pairs; ``total``: how many rows there are in all."""
+    weights = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    weights = weights.select("term", idf(total.cast("double"), F.col("df")).alias("weight"))
+    best = (
+        hits.join(weights, "term")
+        .groupBy("chunk_id")
+        .agg(F.sum("weight").alias("score"))
+        .orderBy(*ranking())
+        .limit(int(k))
+    )
+    return chunks.join(best, "chunk_id").orderBy(*ranking())
+
+
 # ---------------------------------------------------------------- inverted index
 
 
@@ -119,7 +141,11 @@ def write_postings(postings: DataFrame, path: str, partitions: int) -> None:
 
 
 def write_index(chunks: DataFrame, path: str, partitions: int, analyzer: str = "english") -> None:
-    """Postings of ``chunks`` under ``path`` with the number of rows of each (series, type, episode), which weights need; stems are made once, here."""
+    """Postings of ``chunks`` under ``path`` with the number of rows of each (series, type, episode), which weights need; stems are made once, here.
+
+    ``partitions`` is the least number of files; there are more of them with more rows, so that none is sorted as a large whole.
+    """
+    partitions = max(int(partitions), -(-chunks.count() // CHUNKS_PER_FILE))
     write_postings(build_postings(chunks, analyzer), f"{path}/postings", partitions)
     chunks.groupBy("series_id", "type", "abs_ep").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/sizes")
 
@@ -166,13 +192,4 @@ def search_postings(
     narrow = dict(series_ids=None if series_ids is None else list(series_ids), types=list(types))
     hits = visible(narrowed(postings.filter(F.col("term").isin(terms)), **narrow), **scope)
     total = visible(narrowed(chunks.select("series_id", "type", "abs_ep"), **narrow), **scope).agg(F.count("*")).scalar()
-    weights = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    weights = weights.select("term", idf(total.cast("double"), F.col("df")).alias("weight"))
-    best = (
-        hits.join(weights, "term")
-        .groupBy("chunk_id")
-        .agg(F.sum("weight").alias("score"))
-        .orderBy(*ranking())
-        .limit(int(k))
-    )
-    return chunks.join(best, "chunk_id").orderBy(*ranking())
+    return _best(hits, total, chunks, k)

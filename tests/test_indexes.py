@@ -79,3 +79,16 @@ def test_stored_postings_equal_the_direct_search(spark, chunks, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "In(term" in plan and "text" not in plan.split("ReadSchema")[1]
     assert keywords.search_index(spark, path, ["nothing here"], watched={}, unrecorded=ALL_EPISODES, series_ids=None, types=["event"]).isEmpty()
+
+
+def test_no_whole_text_goes_through_the_stemmer(chunks):
+    found = keywords.search(chunks, ["running boulders late"], watched={}, unrecorded=ALL_EPISODES, series_ids=None, types=["event"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "word_stem(word" in plan and "english_stems" not in plan
+
+
+def test_files_of_postings_grow_with_the_rows(spark, chunks, tmp_path, monkeypatch):
+    monkeypatch.setattr(keywords, "CHUNKS_PER_FILE", 5)
+    keywords.write_index(chunks, str(tmp_path / "grown"), 2)
+    files = len(spark.read.parquet(f"{tmp_path}/grown/postings").inputFiles())
+    assert files > 2 and files >= chunks.count() // 5 // 2
