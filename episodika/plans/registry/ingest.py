@@ -8,6 +8,7 @@ from episodika.operators import align
 from episodika.plans import seed
 from episodika.plans.derived import ENTRIES_SQL, LISTED_SQL, listed_episodes, raw_entries, table
 from episodika.plans.registry.base import query
+from episodika.session import cut_lineage
 
 
 def entries(spark, sf_dir):
@@ -73,12 +74,10 @@ owned AS (
 def owner_asof(spark, sf_dir):
     order = [F.col(c) for c in EPISODE_ORDER]
     points = align.number_from_one(listed_episodes(spark, sf_dir), {"n": "series_id"}, order, F.trunc("airdate", "quarter"))
-    points = points.select("series_id", F.col("n").cast("int").alias("abs_ep"))
+    points = cut_lineage(points.select("series_id", F.col("n").cast("int").alias("abs_ep")))
     return align.owner_of(points, entries(spark, sf_dir))
 
 
-
-
 @query(
     "map_episodes",
     WITH_ENTRIES + ", " + SLOTS_SQL + ", " + NUMBERED_SQL + ", " + OWNER_SQL
