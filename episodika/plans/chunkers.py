@@ -19,29 +19,31 @@ SCENE, PLOT = " 장면", " 줄거리"
 
 def pieces_of(plots: DataFrame, make_encoder: Callable[[], Encoder], methods: Sequence[str] = METHODS) -> DataFrame:
     """(method, series_id, abs_ep, text) of ``plots`` (series_id, abs_ep, head, plot): a row per piece, each under its episode's head."""
-    base = plots.select("series_id", "abs_ep", "head", "plot")
+    rows = plots.select("series_id", "abs_ep", "head", "plot")
+    if "semantic" in methods:
+        rows = semantic_pieces(rows, "plot", make_encoder)
     cut = {
-        "paragraph": lambda: base.withColumn("pieces", t.paragraphs("plot")), "overlap": lambda: base.withColumn("pieces", t.overlapping_pieces(t.paragraphs("plot"))),
-        "semantic": lambda: semantic_pieces(base, "plot", make_encoder), "fixed": lambda: base.withColumn("pieces", t.fixed_pieces("plot")),
-        "plot": lambda: base.withColumn("pieces", F.array("plot")),
+        "paragraph": lambda: t.paragraphs("plot"), "overlap": lambda: t.overlapping_pieces(t.paragraphs("plot")),
+        "semantic": lambda: F.col("pieces"), "fixed": lambda: t.fixed_pieces("plot"), "plot": lambda: F.array("plot"),
     }
-    parts = []
-    for method in methods:
-        label = PLOT if method == "plot" else SCENE
-        rows = cut[method]().select("series_id", "abs_ep", "head", F.explode("pieces").alias("piece"))
-        parts.append(rows.select(F.lit(method).alias("method"), "series_id", "abs_ep", F.concat("head", F.lit(label + "\n"), "piece").alias("text")))
-    return functools.reduce(DataFrame.unionByName, parts)
+    # a plot is cut by all methods in its own row: it is read once, and its like pieces stay together
+    of = lambda method: lambda piece: F.struct(F.lit(method).alias("method"), piece.alias("piece"))
+    made = F.concat(*[F.transform(cut[method](), of(method)) for method in methods])
+    rows = rows.select("series_id", "abs_ep", "head", F.explode(made).alias("x"))
+    label = F.when(F.col("x.method") == "plot", PLOT).otherwise(SCENE)
+    return rows.select("x.method", "series_id", "abs_ep", F.concat("head", label, F.lit("\n"), "x.piece").alias("text"))
 
 
 def compare(plots: DataFrame, questions: DataFrame, store: str, model: str, make_encoder: Callable[[], Encoder], methods: Sequence[str] = METHODS) -> DataFrame:
     """(method, query_id, in_series, global, series): exact ranks of every question's gold episode with each method.
 
     ``questions``: query_id, series_id, gold (array of episodes), text. Texts are encoded through the content-addressed ``store``: a piece
-    that two methods share, or that an earlier run had, is encoded once.
+    that two methods share, or that an earlier run had, is encoded once. Behind the encoder only its key goes on, not the text.
     """
-    pieces = cut_lineage(pieces_of(plots, make_encoder, methods))
-    vector_store.encode_missing(pieces.select("text").unionByName(questions.select("text")), store, model, make_encoder)
-    chunks = cut_lineage(vector_store.with_vectors(pieces, store, model))
+    pieces = cut_lineage(vector_store.keyed(pieces_of(plots, make_encoder, methods), model), "zstd")
+    texts = pieces.select("_key", "text").unionByName(vector_store.keyed(questions.select("text"), model))
+    vector_store.encode_missing(texts, store, model, make_encoder)
+    chunks = cut_lineage(vector_store.with_vectors(pieces.drop("text"), store, model))
     asked = cut_lineage(vector_store.with_vectors(questions, store, model).withColumnRenamed("embedding", "vector").drop("text"))
     parts = [evaluate.exact_ranks(chunks.filter(F.col("method") == m), asked).withColumn("method", F.lit(m)) for m in methods]
     return functools.reduce(DataFrame.unionByName, parts).select("method", "query_id", "in_series", "global", "series")

@@ -62,13 +62,13 @@ def stored_once(spark: SparkSession, name: str, source: str, write: Callable[[st
     return _STORED[key]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The same rows read back from a table written into the shared folder.
 
     Ends a growing plan or a part used several times. Unlike a checkpoint the written table has a known size, so later
-    joins can choose a broadcast; like one it survives the loss of executors.
+    joins can choose a broadcast; like one it survives the loss of executors. Long texts are worth a stronger ``compression``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

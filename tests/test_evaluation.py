@@ -68,3 +68,16 @@ def test_chunkers_on_the_same_questions(spark, tmp_path):
     assert vector_store.encode_missing(texts, store, "m", letters) == 0
     assert vector_store.encode_missing(texts.limit(3), store, "other", letters) == texts.limit(3).distinct().count()
     assert vector_store.with_vectors(texts, store, "m").filter("embedding IS NULL").count() == 0
+
+
+def test_texts_go_no_further_than_the_encoder(spark, tmp_path):
+    def letters():
+        return lambda texts: np.array([[1.0 + text.count("a"), 1.0] for text in texts], dtype=np.float64)
+
+    plots = spark.createDataFrame([("s", 1, "S 1", "a b. c d."), ("s", 2, "S 2", "")], "series_id string, abs_ep int, head string, plot string")
+    pieces = chunkers.pieces_of(plots, letters)
+    assert "Union" not in pieces._jdf.queryExecution().optimizedPlan().toString()
+    rows = vector_store.keyed(pieces, "m")
+    assert vector_store.encode_missing(rows, str(tmp_path / "store"), "m", letters) == pieces.select("text").distinct().count()
+    found = vector_store.with_vectors(rows.drop("text"), str(tmp_path / "store"), "m")
+    assert "text" not in found.columns and found.filter("embedding IS NOT NULL").count() == pieces.count()
