@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
@@ -39,8 +41,28 @@ def let(value: Column, body) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    """Both ends without any Unicode white space; only the ends are looked at, not each gap between."""
-    return F.btrim(_col(text), F.lit(SPACE))
+    """Both ends without any Unicode white space.
+
+    Trimming by a list of characters lays out the whole text; one that begins and ends with a printed ASCII character stays as it is.
+    """
+
+    def trimmed(x: Column) -> Column:
+        b = x.cast("binary")
+        printed = [F.substring(b, i, 1).between(F.lit(b"!"), F.lit(b"~")) for i in (1, -1)]
+        return F.when(printed[0] & printed[1], x).otherwise(F.btrim(x, F.lit(SPACE)))
+
+    return let(_col(text), trimmed)
+
+
+def replace_marked(text: Column, marks: tuple[str, ...], pattern: str, new: str) -> Column:
+    """``regexp_replace`` for a pattern that never matches without one of ``marks``, which are looked for in bytes first."""
+    return let(text, lambda x: F.when(reduce(or_, [x.contains(m) for m in marks]), F.regexp_replace(x, pattern, new)).otherwise(x))
+
+
+def at_least(text: Column | str, n: int | Column) -> Column:
+    """Has ``n`` characters or more; those of a text of ``4 * n`` bytes need not be counted."""
+    t = _col(text)
+    return (F.octet_length(t) >= 4 * n) | (F.length(t) >= n)
 
 
 def full_match(text: Column, pattern: str) -> Column:
@@ -79,21 +101,22 @@ def clean_html(text: Column | str) -> Column:
 def clean_markup(text: Column | str) -> Column:
     """Chunk body without spoiler marks, links, references, templates, emphasis and stray line-head punctuation."""
     t = F.coalesce(_col(text), F.lit(""))
-    t = F.regexp_replace(t, r"(?s)~!.*?!~", " ")
-    t = F.replace(F.replace(t, F.lit("~!"), F.lit(" ")), F.lit("!~"), F.lit(" "))
-    # each pattern begins with the one character or class that it needs, so that most places are passed over at once
-    for pattern, new in (
-        (r"(?=[!\[])!?\[([^\]\n]*)\]\((?:https?://|/)[^)\s]*\)", "$1"),
-        (r"(?is)<(?:ref[^>]*/>|ref.*?</ref>|/?[a-z][^>\n]{0,80}>)", " "),
-        (r"\{\{[^{}]*\}\}", " "),
-        (r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1"),
-        (r"(?=[{}\[\]'_*])(?:\{\{|\}\}|\[\[|\]\]|'{2,}|__|\*\*)", ""),
-        (r"(?m)^[ \t]*[,;:][ \t]*", ""),
+    # each pattern with what a text must hold for it to match, and beginning with the one character or class that it needs
+    for marks, pattern, new in (
+        (("~!",), r"(?s)~!.*?!~", " "),
+        (("~!",), "~!", " "),
+        (("!~",), "!~", " "),
+        (("](",), r"(?=[!\[])!?\[([^\]\n]*)\]\((?:https?://|/)[^)\s]*\)", "$1"),
+        (("<",), r"(?is)<(?:ref[^>]*/>|ref.*?</ref>|/?[a-z][^>\n]{0,80}>)", " "),
+        (("{{",), r"\{\{[^{}]*\}\}", " "),
+        (("[[",), r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1"),
+        (("{{", "}}", "[[", "]]", "''", "__", "**"), r"(?=[{}\[\]'_*])(?:\{\{|\}\}|\[\[|\]\]|'{2,}|__|\*\*)", ""),
+        ((",", ";", ":"), r"(?m)^[ \t]*[,;:][ \t]*", ""),
         # a single space stays as it is
-        (r"[ \t]{2,}|\t", " "),
-        (r"(?U)\n\s*\n+", "\n"),
+        (("  ", "\t"), r"[ \t]{2,}|\t", " "),
+        (("\n",), r"(?U)\n\s*\n+", "\n"),
     ):
-        t = F.regexp_replace(t, pattern, new)
+        t = replace_marked(t, marks, pattern, new)
     return strip(t)
 
 
@@ -112,7 +135,9 @@ def head_of(text: Column | str) -> Column:
 def body_of(text: Column | str) -> Column:
     """What follows the first line; empty when there is one line only."""
     t = _col(text)
-    return F.when(t.contains("\n"), F.substring(t, F.length(head_of(t)) + 2, F.length(t))).otherwise(F.lit(""))
+    # cut as bytes: nothing is counted, and a line end is never inside a character
+    rest = F.substring(t.cast("binary"), F.octet_length(head_of(t)) + 2, F.octet_length(t)).cast("string")
+    return F.when(t.contains("\n"), rest).otherwise(F.lit(""))
 
 
 def clean_plot(text: Column | str) -> Column:
@@ -132,7 +157,7 @@ def clean_plot(text: Column | str) -> Column:
         solid = F.length(F.regexp_replace(line, r"(?U)\s", ""))
         # each Japanese letter takes three bytes: a line of single bytes has none
         wide = F.octet_length(line) > F.length(line)
-        is_short = (F.length(line) < SHORT_LINE) & ~line.rlike("(?U)" + SENTENCE_END)
+        is_short = ~at_least(line, SHORT_LINE) & ~line.rlike("(?U)" + SENTENCE_END)
         return ~(wide & (japanese > solid * JAPANESE_SHARE)) & ~is_short
 
     return F.array_join(F.filter(F.transform(F.split(t, "\n", -1), strip), wanted), "\n")
@@ -144,25 +169,33 @@ def paragraphs(text: Column | str, target: int = PARAGRAPH_TARGET) -> Column:
     parts = F.flatten(
         F.transform(
             parts,
-            lambda p: F.when(F.length(p) <= 2 * target, F.array(p)).otherwise(
+            lambda p: F.when(~at_least(p, 2 * target + 1), F.array(p)).otherwise(
                 F.filter(F.split(p, r"(?U)(?<=[.!?])\s+", -1), lambda x: x != "")
             ),
         )
     )
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    # parts have no space at their ends, so the piece that grows needs no trimming; it is counted by its parts and joined when full
+    sized = F.transform(parts, lambda p: F.struct(p.alias("text"), F.length(p).alias("size")))
+    none = F.array().cast("array<string>")
+    empty = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("size"))
 
     def pack(state: Column, part: Column) -> Column:
-        full = (state["open"] != "") & (F.length(state["open"]) + F.length(part) > target)
-        return F.struct(
-            F.when(full, F.array_append(state["done"], state["open"])).otherwise(state["done"]).alias("done"),
-            F.when(full | (state["open"] == ""), part).otherwise(strip(F.concat(state["open"], F.lit("\n"), part))).alias("open"),
-        )
+        def step(full: Column) -> Column:
+            begins = full | (state["size"] == 0)
+            return F.struct(
+                F.when(full, F.array_append(state["done"], F.array_join(state["open"], "\n"))).otherwise(state["done"]).alias("done"),
+                F.when(begins, F.array(part["text"])).otherwise(F.array_append(state["open"], part["text"])).alias("open"),
+                F.when(begins, part["size"]).otherwise(state["size"] + 1 + part["size"]).alias("size"),
+            )
+
+        return step((state["size"] > 0) & (state["size"] + part["size"] > target))
 
     return F.aggregate(
-        parts,
+        sized,
         empty,
         pack,
-        lambda s: F.when(s["open"] != "", F.array_append(s["done"], s["open"])).otherwise(s["done"]),
+        lambda s: F.when(s["size"] > 0, F.array_append(s["done"], F.array_join(s["open"], "\n"))).otherwise(s["done"]),
     )
 
 

@@ -150,7 +150,8 @@ def episode_chunks(rows: DataFrame) -> DataFrame:
 
 def plot_chunks(rows: DataFrame) -> DataFrame:
     """The plot in two sizes out of one pass: whole (``plot``) and in pieces of about 700 characters (``event``)."""
-    plots = rows.withColumn("_plot", clean_plot("plot")).filter(F.col("_plot") != "")
+    # exploded from an array of one, so that the filter is not pushed under it, and under a shuffle, and the plot cleaned twice
+    plots = rows.withColumn("_plot", F.explode(F.array(clean_plot("plot")))).filter(F.col("_plot") != "")
     whole = F.array(F.struct(F.lit("plot").alias("type"), F.lit(0).alias("i"), F.col("_plot").alias("body")))
     scenes = F.transform(paragraphs("_plot"), lambda p, i: F.struct(F.lit("event").alias("type"), (i + 1).alias("i"), p.alias("body")))
     each = plots.withColumn("c", F.explode(F.concat(whole, scenes)))

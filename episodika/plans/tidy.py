@@ -29,7 +29,7 @@ def tidy(chunks: DataFrame) -> DataFrame:
     # exploded from an array of one, so that the filter below is not pushed under it and the body computed twice
     rows = chunks.withColumn("_body", F.explode(F.array(F.when(~whole, tidy_body(kind, t.body_of("text"))))))
     least = F.when(kind == "episode", t.MIN_BODY["episode"]).otherwise(t.MIN_BODY["other"])
-    rows = rows.filter(whole | (F.length("_body") >= least))
+    rows = rows.filter(whole | t.at_least("_body", least))
     head = F.regexp_replace(t.head_of("text"), UNTITLED, "")
     rows = rows.withColumn(
         "text", F.when(whole, t.clean_markup("text")).otherwise(F.concat(head, F.lit("\n"), F.col("_body")))
