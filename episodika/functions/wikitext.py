@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from episodika.functions.dates import infobox_dates
-from episodika.functions.text import PLACEHOLDER, first_present, full_match, is_prose, let, strip
+from episodika.functions.text import PLACEHOLDER, first_present, full_match, is_prose, let, replace_marked, strip
 
 # ---- Fixed values: patterns and key lists ---------------------------------------------------------------------------
 INLINE = r"nihongo\d?|nihongo[ -]?(?:title|foot)|tt|tooltip|w|wp|wikipedia|lang|ruby|abbr|small|big|nowrap|c|color"
@@ -177,33 +177,39 @@ def _read_page_unwrapped(text: pa.Array) -> pa.Array:
 
 
 def _prepared(wikitext: Column) -> Column:
-    t = F.regexp_replace(wikitext, r"(?is)<gallery.*?</gallery>", "")
-    t = F.regexp_replace(t, r"(?is)<ref[^>]*/>|<ref.*?</ref>", "")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(t, r"(?i)<br\s*/?>", " ⏎ ")
+    t = wikitext
+    for marks, pattern, new in (
+        (("<g", "<G"), r"(?is)<gallery.*?</gallery>", ""),
+        (("<r", "<R"), r"(?is)<ref[^>]*/>|<ref.*?</ref>", ""),
+        (("<!--",), r"(?s)<!--.*?-->", ""),
+        (("<b", "<B"), r"(?i)<br\s*/?>", " ⏎ "),
+    ):
+        t = replace_marked(t, marks, pattern, new)
+    return t
 
 
 def plain(text: Column) -> Column:
     """Shown text of markup without templates."""
     t = text
-    for pattern, new in (
-        (r"\{\{[^{}]*\}\}", ""),
-        (r"(?s)\{\|.*?\|\}", ""),
-        (r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1"),
-        (r"\[(?:https?:)?//[^\s\]]*\s*([^\]]*)\]", "$1"),
-        (r"'{2,}", ""),
-        (r"</?[A-Za-z][^>\n]*>", ""),
-        (r"(?m)^={2,}[^=\n].*?={2,}[ \t]*$", ""),
-        (r"(?m)^[*#:;]+", ""),
+    # each pattern with what a text must hold for it to match
+    for marks, pattern, new in (
+        (("{{",), r"\{\{[^{}]*\}\}", ""),
+        (("{|",), r"(?s)\{\|.*?\|\}", ""),
+        (("[[",), r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1"),
+        (("[//", "[http"), r"\[(?:https?:)?//[^\s\]]*\s*([^\]]*)\]", "$1"),
+        (("''",), r"'{2,}", ""),
+        (("<",), r"</?[A-Za-z][^>\n]*>", ""),
+        (("==",), r"(?m)^={2,}[^=\n].*?={2,}[ \t]*$", ""),
+        (("*", "#", ":", ";"), r"(?m)^[*#:;]+", ""),
     ):
-        t = F.regexp_replace(t, pattern, new)
+        t = replace_marked(t, marks, pattern, new)
     return t
 
 
 def section_text(text: Column) -> Column:
-    t = F.regexp_replace(plain(text), r"[ \t]*⏎[ \t]*", "\n")
-    t = F.regexp_replace(t, r"(?m)^[ \t]*[,;:][ \t]*", "")
-    return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    t = replace_marked(plain(text), ("⏎",), r"[ \t]*⏎[ \t]*", "\n")
+    t = replace_marked(t, (",", ";", ":"), r"(?m)^[ \t]*[,;:][ \t]*", "")
+    return strip(replace_marked(t, ("\n\n\n",), r"\n{3,}", "\n\n"))
 
 
 def field_text(value: Column, limit: int | None = None) -> Column:
@@ -213,7 +219,9 @@ def field_text(value: Column, limit: int | None = None) -> Column:
 
 
 def section_links(text: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]*)"), F.lit(1)), strip)
+    none = F.array().cast("array<string>")
+    linked = F.when(text.contains("[["), F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]*)"), F.lit(1))).otherwise(none)
+    found = F.transform(linked, strip)
     return F.array_distinct(F.filter(found, lambda x: (x != "") & ~x.contains(":")))
 
 
@@ -328,9 +336,9 @@ def _episode(e: Column, limits: Limits) -> Column:
     dated = lambda k: F.when(~box[k].rlike(YEAR), F.nullif(box[k], F.lit("")))
 
     def span(k: str) -> Column:
-        value = F.coalesce(box[k], F.lit(""))
-        first, last = (F.regexp_extract(value, SPAN, g).try_cast("int") for g in (1, 2))
-        return F.when((last - first).between(1, 9), last - first + 1)
+        # numbers are read where there are some: an empty text costs a caught error in each cast
+        first, last = (F.regexp_extract(box[k], SPAN, g).cast("int") for g in (1, 2))
+        return F.when(box[k].rlike(SPAN), F.when((last - first).between(1, 9), last - first + 1))
 
     cast = F.filter(s, lambda x: x["title"].rlike(CAST))
     in_order = F.filter(cast, lambda x: x["title"].rlike("(?i)order"))
